@@ -48,8 +48,8 @@ def predict(rows: DataFrame, vectors: DataFrame, seed: int = SEED) -> DataFrame:
 def _urn_batches(batches):
     for batch in batches:
         alpha = batch["frac"].flatten().to_numpy().reshape(-1, N_CATEGORIES) * batch["conc"].to_numpy()[:, None]
-        u = batch["u"].flatten().to_numpy().reshape(-1, FEW)
         n = batch["n"].to_numpy()
+        u = batch["u"].flatten().to_numpy().reshape(max(len(n), 1), -1)
         y = np.zeros(alpha.shape, dtype="int64")
         mass = np.cumsum(alpha, axis=1)[:, -1]
         for t in range(int(n.max(initial=0))):
