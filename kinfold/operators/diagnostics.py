@@ -89,7 +89,6 @@ def rhat_rank(draws: DataFrame, scores=None) -> DataFrame:
     return a.join(b, SERIES).withColumn("rhat", F.greatest("rhat_bulk", "rhat_folded"))
 
 
-@F.pandas_udf("array<double>")
 def _lag_products(left: pd.Series, right: pd.Series) -> pd.Series:
     """Per row: sum_i left[i] right[i + k] for k = 0 .. len(right) - 1."""
 
@@ -124,9 +123,10 @@ def _lag_sums(centred: DataFrame, keys, offset: int, block: int) -> DataFrame:
             F.sort_array(F.collect_list(F.when(~F.col("r.left"), point))).alias("right"),
         )
     )
+    lag_products = F.pandas_udf(_lag_products, "array<double>")
     products = pieces.select(
         *keys, "half", "h",
-        F.posexplode(_lag_products(F.transform("left", lambda p: p["x"]), F.transform("right", lambda p: p["x"]))).alias("k", "s"),
+        F.posexplode(lag_products(F.transform("left", lambda p: p["x"]), F.transform("right", lambda p: p["x"]))).alias("k", "s"),
     )
     return (
         products.where(F.col("k") < block)
