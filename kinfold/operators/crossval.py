@@ -53,7 +53,7 @@ def is_loo(loglik: DataFrame) -> DataFrame:
     return _log_sum(loglik, -1, "total").select(*POINT, (F.log(F.col("draws")) - F.col("total")).alias("elpd"))
 
 
-def tail_length(draws, reff=1.0):
+def tail_length(draws, reff):
     """Number of largest ratios that are smoothed: min(S / 5, 3 sqrt(S / reff)), rounded up."""
     return F.ceil(F.least(draws / 5, 3 * F.sqrt(draws / reff)))
 
@@ -109,15 +109,16 @@ def _tail_sums(ratios: pd.Series, peak: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["k", "weight", "weighted"])
 
 
-def psis_loo(loglik: DataFrame, reff: float = 1.0) -> DataFrame:
+def psis_loo(loglik: DataFrame, reff: float | dict = 1.0) -> DataFrame:
     """Per point: elpd by Pareto-smoothed importance sampling, and the Pareto shape (Vehtari, Gelman & Gabry 2017).
 
-    Only the tail of a point, 3 sqrt(S) ratios at most, is brought together for the fit;
+    `reff` is the relative efficiency of the draws, one number or one per model. Only the tail of a point, 3 sqrt(S) ratios at most, is brought together for the fit;
     the body is summed by Spark.
     """
     tail_sums = F.pandas_udf(_tail_sums, "k double, weight double, weighted double")
     placed = ranked(loglik.withColumn("r", -F.col("ll")), POINT, ["r", "chain", "draw"], "ratios")
-    size = F.least(tail_length(F.col("total"), reff), F.col("total") - 1)
+    efficiency = label(F.col("model"), reff) if isinstance(reff, dict) else F.lit(float(reff))
+    size = F.least(tail_length(F.col("total"), efficiency), F.col("total") - 1)
     first = F.col("total") - size
     peak = placed.groupBy(*POINT).agg(F.max("r").alias("peak"))
     tail = (

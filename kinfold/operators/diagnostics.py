@@ -244,6 +244,14 @@ def ess_tail(draws: DataFrame, probs=TAIL_PROBS) -> DataFrame:
     return effective_size(rows, [*SERIES, "kind"]).groupBy(*SERIES).agg(F.min("ess").alias("ess_tail"))
 
 
+def relative_efficiency(draws: DataFrame) -> dict:
+    """Mean effective size of a model's series over its number of draws, per model."""
+    rows = halves(draws, chain_lengths(draws)).withColumn("x", F.col("value"))
+    sizes = effective_size(rows.select(*SERIES, "half", "h", "t", "x"), SERIES).groupBy("model").agg(F.avg("ess").alias("e"))
+    drawn = draws.groupBy("model").agg(F.countDistinct("chain", "draw").alias("n"))
+    return {r["model"]: r["e"] / r["n"] for r in sizes.join(drawn, "model").collect()}
+
+
 def summary(draws: DataFrame, prob: float = SUMMARY_HDI_PROB, probs=TAIL_PROBS) -> DataFrame:
     """Mean, sd, interval, Monte Carlo errors, effective sizes and R-hat of every series."""
     lengths = chain_lengths(draws)

@@ -74,37 +74,41 @@ class Block:
         """Tables (Antoniak 1974), simplexes given tables, then concentrations by random walk."""
         a = conc[self.g] * frac[self.g, self.k]
         tables = rng.binomial(self.v, a / (a + self.j))
-        counts = np.zeros((self.size, N_CATEGORIES))
-        np.add.at(counts, (self.g, self.k), tables)
+        counts = np.bincount(self.g * N_CATEGORIES + self.k, tables, self.size * N_CATEGORIES).reshape(self.size, -1)
         draw = np.maximum(rng.standard_gamma(alpha + counts), 1e-300)
         frac = np.maximum(draw / draw.sum(axis=1, keepdims=True), 1e-300)
+        now = self.log_target(frac, conc, rate)
         for scale in CONC_SCALES:
             proposal = conc * np.exp(scale * rng.standard_normal(self.size))
-            gain = self.log_target(frac, proposal, rate) - self.log_target(frac, conc, rate)
-            conc = np.where(np.log(rng.random(self.size)) < gain, proposal, conc)
+            then = self.log_target(frac, proposal, rate)
+            moved = np.log(rng.random(self.size)) < then - now
+            conc, now = np.where(moved, proposal, conc), np.where(moved, then, now)
         return frac, conc
 
 
 def _log_alpha(alpha, keys, log_frac):
     """Log density of the shared Dirichlet parameters on the log scale, from the keys' summed log shares."""
-    z = (np.log(alpha) - ALPHA_MU) / ALPHA_SIGMA
-    normal = math.lgamma(alpha.sum()) - sum(math.lgamma(a) for a in alpha)
-    return keys * normal + ((alpha - 1) * log_frac).sum() - 0.5 * (z * z).sum()
+    total = keys * math.lgamma(sum(alpha))
+    for a, s in zip(alpha, log_frac):
+        z = (math.log(a) - ALPHA_MU) / ALPHA_SIGMA
+        total += (a - 1) * s - keys * math.lgamma(a) - 0.5 * z * z
+    return total
 
 
 def update_hyper(rng, alpha, keys, log_frac, conc_sum):
     """Rate by its Gamma conditional; alphas by two passes of single moves and one joint scale move."""
     rate = rng.gamma(LAMBDA_SHAPE + keys, 1.0 / (LAMBDA_RATE + conc_sum))
+    alpha, log_frac = [float(a) for a in alpha], [float(s) for s in log_frac]
     now = _log_alpha(alpha, keys, log_frac)
-    moves = [k for _ in range(2) for k in range(N_CATEGORIES)] + [slice(None)]
-    for k in moves:
-        step = SCALE_STEP if isinstance(k, slice) else ALPHA_STEP
-        proposal = alpha.copy()
-        proposal[k] = proposal[k] * math.exp(step * rng.standard_normal())
+    singles = [(k,) for _ in range(2) for k in range(N_CATEGORIES)]
+    for types in [*singles, tuple(range(N_CATEGORIES))]:
+        step = ALPHA_STEP if len(types) == 1 else SCALE_STEP
+        factor = math.exp(step * rng.standard_normal())
+        proposal = [a * factor if k in types else a for k, a in enumerate(alpha)]
         then = _log_alpha(proposal, keys, log_frac)
         if math.log(rng.random()) < then - now:
             alpha, now = proposal, then
-    return alpha, rate
+    return np.array(alpha), rate
 
 
 def _start_hyper():
