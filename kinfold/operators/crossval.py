@@ -100,12 +100,12 @@ def smooth_tail(ratios: np.ndarray) -> tuple[float, np.ndarray]:
 
 
 def _tail_sums(ratios: pd.Series, peak: pd.Series) -> pd.DataFrame:
-    """Per point: shape, sum of tail weights, and sum of tail weights times likelihoods."""
+    """Per point: shape, sum of tail weights, and sum of tail weights over raw ratios."""
     out = []
     for raw, top in zip(ratios, peak):
         x = np.asarray(raw) - top
         k, smooth = smooth_tail(x)
-        out.append((k, np.exp(smooth).sum(), np.exp(smooth - x[1:] - top).sum()))
+        out.append((k, np.exp(smooth).sum(), np.exp(smooth - x[1:]).sum()))
     return pd.DataFrame(out, columns=["k", "weight", "weighted"])
 
 
@@ -131,9 +131,10 @@ def psis_loo(loglik: DataFrame, reff: float | dict = 1.0) -> DataFrame:
         .groupBy(*POINT, "peak")
         .agg(F.sum(F.exp(F.col("r") - F.col("peak"))).alias("b"), F.count(F.lit(1)).alias("n"))
     )
-    weighted = F.col("n") * F.exp(-F.col("peak")) + F.col("weighted")
+    # A likelihood is the inverse of its raw ratio, so a body draw adds exp(-peak), taken out of the log.
+    weighted = F.log(F.col("n") + F.col("weighted")) - F.col("peak")
     return body.join(tail, POINT).select(
-        *POINT, (F.log(weighted) - F.log(F.col("b") + F.col("weight"))).alias("elpd"), F.col("k").alias("pareto_k")
+        *POINT, (weighted - F.log(F.col("b") + F.col("weight"))).alias("elpd"), F.col("k").alias("pareto_k")
     )
 
 
