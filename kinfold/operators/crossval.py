@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.functions.columns import label
+from kinfold.functions.columns import add_all, label
 from kinfold.functions.values import COMPARISON_LABELS, MODELS
 from kinfold.operators.likelihood import log_likelihood, pattern_id, patterns, with_models
 from kinfold.operators.ranks import ranked
@@ -183,25 +183,38 @@ def compare(elpd: DataFrame, points: DataFrame, models=MODELS, lppd: DataFrame |
     return out.join(totals, "model").withColumn("p_loo", F.col("lppd") - F.col("elpd")).drop("lppd")
 
 
-def stacking_weights(elpd: DataFrame, points: DataFrame, models=MODELS, steps: int = 500, tolerance: float = 1e-6) -> DataFrame:
+def stacking_weights(
+    elpd: DataFrame, points: DataFrame, models=MODELS, steps: int = 200, tolerance: float = 1e-6, accelerate: bool = True
+) -> DataFrame:
     """Weights that maximise the summed log score of the mixture (Yao et al. 2018).
 
     The score is concave; each fixed-point step scales a weight by the mean share its
     model has in the mixture. A step is one aggregate that returns one number per model.
+    `accelerate` extrapolates from every two steps (Varadhan & Roland 2008) and lets a
+    third step settle the result.
     """
     models = list(models)
     wide = side_by_side(elpd, points, models)
     peak = F.greatest(*[F.col(m) for m in models]) if len(models) > 1 else F.col(models[0])
     scaled = materialise(wide.select("respondents", *[F.exp(F.col(m) - peak).alias(m) for m in models]), "stacking")
-    weights = [1.0 / len(models)] * len(models)
-    spark = elpd.sparkSession
-    for _ in range(steps):
-        mix = sum((F.lit(w) * F.col(m) for w, m in zip(weights, models)), F.lit(0.0))
-        n = F.sum("respondents")
-        row = scaled.agg(*[(F.sum(F.col("respondents") * F.lit(w) * F.col(m) / mix) / n).alias(m) for w, m in zip(weights, models)]).first()
-        moved = [row[m] for m in models]
-        step = max(abs(a - b) for a, b in zip(moved, weights))
-        weights = moved
-        if step < tolerance:
+
+    def step(w):
+        mix = add_all([F.lit(float(x)) * F.col(m) for x, m in zip(w, models)])
+        shares = [F.sum(F.col("respondents") * F.lit(float(x)) * F.col(m) / mix) / F.sum("respondents") for x, m in zip(w, models)]
+        return np.array(scaled.agg(*[s.alias(m) for s, m in zip(shares, models)]).first())
+
+    weights, taken = np.full(len(models), 1.0 / len(models)), 0
+    while taken < steps:
+        first = step(weights)
+        taken += 1
+        if accelerate and np.abs(first - weights).max() >= tolerance:
+            second = step(first)
+            r, v = first - weights, second - 2 * first + weights
+            size = max(1.0, np.linalg.norm(r) / max(np.linalg.norm(v), 1e-300))
+            ahead = np.clip(weights + 2 * size * r + size * size * v, 1e-12, None)
+            first = step(ahead / ahead.sum())
+            taken += 2
+        moved, weights = np.abs(first - weights).max(), first
+        if moved < tolerance:
             break
-    return spark.createDataFrame(list(zip(models, weights)), "model string, weight double")
+    return elpd.sparkSession.createDataFrame([(m, float(w)) for m, w in zip(models, weights)], "model string, weight double")

@@ -21,8 +21,9 @@ from kinfold.functions.values import (
 )
 from kinfold.sources.workspace import materialise, parallelism, scratch_path
 
-# Cells of sufficient statistics that one task may hold.
+# Cells of sufficient statistics, and drawn vectors, that one task may hold.
 TASK_CELLS = 200_000
+TASK_VECTORS = 1_000_000
 # Random-walk scales of the samplers.
 CONC_SCALES = (0.15, 0.4, 1.0)
 ALPHA_STEP, SCALE_STEP = 0.35, 0.25
@@ -37,7 +38,10 @@ class RunLength:
 
 
 def key_statistics(tails: DataFrame) -> DataFrame:
-    """One row per (model, key): arrays v[type][j] and u[j] of tail counts, as (cell, j, n) lists."""
+    """One row per (model, key) with its tail counts as a list.
+
+    A list has nine numbers per name a person can give at most, however many people there are.
+    """
     code = F.when(F.col("category").isNull(), F.lit(N_CATEGORIES))
     for k, c in enumerate(CATEGORIES):
         code = code.when(F.col("category") == c, F.lit(k))
@@ -213,10 +217,11 @@ def fit(tails: DataFrame, run: RunLength = RunLength(), task_cells: int = TASK_C
     Models whose statistics fit one task run a chain per task; larger ones run by sweeps.
     """
     stats = materialise(key_statistics(tails), "statistics")
-    sizes = {r["model"]: r["n"] for r in stats.groupBy("model").agg(F.sum("n_cells").alias("n")).collect()}
-    small = [m for m, n in sizes.items() if n <= task_cells]
+    sizes = stats.groupBy("model").agg(F.sum("n_cells").alias("cells"), F.count(F.lit(1)).alias("keys")).collect()
+    small = [r["model"] for r in sizes if r["cells"] <= task_cells and r["keys"] * run.draws <= TASK_VECTORS]
     parts = [_fit_in_tasks(stats.where(F.col("model").isin(small)), run)] if small else []
-    parts += [_fit_by_sweeps(stats.where(F.col("model") == m), m, run) for m in sizes if m not in small]
+    large = [r["model"] for r in sizes if r["model"] not in small]
+    parts += [_fit_by_sweeps(stats.where(F.col("model") == m), m, run) for m in large]
     drawn = parts[0]
     for p in parts[1:]:
         drawn = drawn.unionByName(p)

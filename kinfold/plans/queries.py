@@ -477,4 +477,4 @@ def elpd_compare(spark, sf_dir):
 def stacking_weights(spark, sf_dir):
     loglik, points = _pointwise(spark, sf_dir)
     elpd = crossval.is_loo(loglik)
-    return rounded(crossval.stacking_weights(elpd, points, steps=5, tolerance=0.0))
+    return rounded(crossval.stacking_weights(elpd, points, steps=5, tolerance=0.0, accelerate=False))
