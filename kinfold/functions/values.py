@@ -34,8 +34,14 @@ CATEGORY_LABELS = {
     "lender_ij_lender_ji": "Not B. Friend or S. Kin\n(Indebted)",
 }
 CATEGORY_LABELS_LONG = {
-    c: label.replace("B. Friend", "Best Friend").replace("S. Kin", "Salient Kin")
-    for c, label in CATEGORY_LABELS.items()
+    "friend_lender_ij": "Best Friend\n(Non-indebted)",
+    "family_lender_ij": "Salient Kin\n(Non-indebted)",
+    "friend_family_lender_ij": "Best Friend + Salient Kin\n(Non-indebted)",
+    "stranger_lender_ij": "Not Best Friend or Salient Kin\n(Non-indebted)",
+    "friend_lender_ij_lender_ji": "Best Friend\n(Indebted)",
+    "family_lender_ij_lender_ji": "Salient Kin\n(Indebted)",
+    "friend_family_lender_ij_lender_ji": "Best Friend + Salient Kin\n(Indebted)",
+    "lender_ij_lender_ji": "Not Best Friend or Salient Kin\n(Indebted)",
 }
 
 # Model names, their stacked variants in order, and chart labels.

@@ -6,6 +6,9 @@ the check at small scale, not a way to run at large scale.
 
 from __future__ import annotations
 
+import math
+import re
+
 from kinfold.functions.columns import NORMAL_CENTRE, NORMAL_MIDDLE, NORMAL_TAIL
 from kinfold.functions.values import (
     ALPHA_MU, ALPHA_SIGMA, CATEGORIES, CATEGORY_LABELS, CATEGORY_LABELS_LONG, COMMON, COMPARISON_LABELS,
@@ -316,6 +319,39 @@ CTES["waic"] = """
   SELECT model, point, max(respondents) AS respondents, ln(avg(exp(ll))) AS lppd, var_samp(ll) AS p_waic FROM pointll GROUP BY model, point"""
 CTES["isloo"] = """
   SELECT model, point, max(respondents) AS respondents, -ln(avg(exp(-ll))) AS elpd FROM pointll GROUP BY model, point"""
+# Pareto-smoothed ratios: tail of min(S/5, 3 sqrt(S)) draws, Zhang & Stephens fit on a grid.
+_TAIL = math.ceil(min(TOTAL_DRAWS / 5, 3 * math.sqrt(TOTAL_DRAWS)))
+_GRID = 30 + math.isqrt(_TAIL)
+CTES["ratios"] = """
+  SELECT model, point, chain, draw, -ll - max(-ll) OVER (PARTITION BY model, point) AS x, max(-ll) OVER (PARTITION BY model, point) AS peak,
+         row_number() OVER (PARTITION BY model, point ORDER BY -ll, chain, draw) - 1 AS r FROM pointll"""
+CTES["cutoffs"] = f"SELECT model, point, x AS cut FROM ratios WHERE r = {TOTAL_DRAWS - _TAIL - 1}"
+CTES["excess"] = f"""
+  SELECT model, point, r, cut, exp(x) - exp(cut) AS e,
+         row_number() OVER (PARTITION BY model, point ORDER BY r) AS i, count(*) OVER (PARTITION BY model, point) AS n
+  FROM ratios JOIN cutoffs USING (model, point) WHERE r >= {TOTAL_DRAWS - _TAIL} AND x > cut"""
+CTES["anchors"] = """
+  SELECT model, point, max(n) AS n, max(e) FILTER (i = CAST(floor(n / 4e0 + 0.5e0) AS BIGINT)) AS quarter, max(e) FILTER (i = n) AS largest
+  FROM excess GROUP BY model, point"""
+CTES["candidates"] = f"""
+  SELECT model, point, n, g, (1 - sqrt({_GRID} / (g - 0.5e0))) / (3 * quarter) + 1 / largest AS b
+  FROM anchors CROSS JOIN range(1, {_GRID + 1}) t(g)"""
+CTES["profiles"] = """
+  SELECT c.model, c.point, max(c.n) AS n, c.g, max(c.b) AS b, max(c.n) * (ln(-max(c.b) / avg(ln(1 - c.b * e.e))) - avg(ln(1 - c.b * e.e)) - 1) AS p
+  FROM candidates c JOIN excess e ON c.model = e.model AND c.point = e.point GROUP BY c.model, c.point, c.g"""
+CTES["profiled"] = """
+  SELECT model, point, max(n) AS n, sum(b * w) / sum(w) AS b FROM (
+    SELECT *, exp(p - max(p) OVER (PARTITION BY model, point)) AS w FROM profiles) GROUP BY model, point"""
+CTES["shapes"] = """
+  SELECT p.model, p.point, max(p.n) AS n, avg(ln(1 - p.b * e)) AS k0, max(p.b) AS b
+  FROM profiled p JOIN excess x ON p.model = x.model AND p.point = x.point GROUP BY p.model, p.point"""
+CTES["fitted"] = "SELECT model, point, n, (n * k0 + 5) / (n + 10) AS k, -k0 / b AS sigma FROM shapes"
+CTES["smoothed"] = """
+  SELECT model, point, r, least(0e0, ln(sigma * (pow(1 - (i - 0.5e0) / f.n, -k) - 1) / k + exp(cut))) AS x, k
+  FROM excess JOIN fitted f USING (model, point)"""
+CTES["psis"] = """
+  SELECT model, point, max(s.k) AS k, ln(sum(exp(coalesce(s.x, q.x) - q.x))) - ln(sum(exp(coalesce(s.x, q.x)))) - max(peak) AS elpd
+  FROM ratios q LEFT JOIN smoothed s USING (model, point, r) GROUP BY model, point"""
 CTES["elpds"] = """
   SELECT p.id, i.model, i.elpd, w.lppd FROM points p JOIN isloo i USING (point) JOIN waic w USING (model, point)"""
 CTES["totals"] = """
@@ -368,8 +404,6 @@ CTES["banded"] = """
 
 
 def _needed(sql, found):
-    import re
-
     for name in CTES:
         if name not in found and re.search(rf"\b(?:FROM|JOIN|UNPIVOT)\s+{name}\b|\b{name}\s+(?:USING|CROSS)", sql):
             found.add(name)
@@ -515,6 +549,10 @@ _BODIES = {
         SELECT model, count(*) AS series, count(*) FILTER (NOT coalesce(r_hat < 1.01e0, false)) AS rhat_fails,
         count(*) FILTER (NOT coalesce(ess_bulk > 50, false)) AS ess_bulk_fails, count(*) FILTER (NOT coalesce(ess_tail > 50, false)) AS ess_tail_fails
         FROM summary GROUP BY model)""",
+    "diagnostic_violations": f"""SELECT {SERIES}, {_r('r_hat, ess_bulk, ess_tail')} FROM summary
+        WHERE NOT coalesce(r_hat < 1.01e0 AND ess_bulk > 50 AND ess_tail > 50, false)""",
+    "loo_pointwise": """SELECT model, point, respondents, round(p.elpd, 6) AS elpd, round(k, 6) AS pareto_k
+        FROM psis p JOIN isloo USING (model, point)""",
     "ppc_draws": f"SELECT model, chain, draw, id, {TYPES} FROM ppc",
     "ppc_crosstab": "SELECT model, chain, draw, category, y, respondents FROM cells",
     "ppc_frequency": f"SELECT model, category, number_of_lenders, y_observed_count, {_r('y_count_ppc_mean, y_count_ppc_std')} FROM freq",

@@ -412,6 +412,12 @@ def diagnostic_gate(spark, sf_dir):
     return diagnostics.gate(diagnostics.summary(Fitted(spark, sf_dir).long()), min_ess=50)
 
 
+@query
+def diagnostic_violations(spark, sf_dir):
+    missed = diagnostics.violations(diagnostics.summary(Fitted(spark, sf_dir).long()), min_ess=50)
+    return rounded(missed.select(*draws.SERIES, "r_hat", "ess_bulk", "ess_tail"))
+
+
 # Predictive checks
 
 
