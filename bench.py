@@ -31,8 +31,8 @@ def predictive_check(spark, sf_dir):
     vectors, _ = bootstrap(rows, MANY_DRAWS)
     vectors = materialise(vectors.where("model = 'Extended'"), "vectors")
     start = time.perf_counter()
-    predicted = predictive.predict(likelihood.with_models(rows, ["Extended"]), vectors)
-    predictive.frequency_summary(predictive.crosstab(predicted), 4 * MANY_DRAWS).collect()
+    cells = predictive.predict_cells(likelihood.with_models(rows, ["Extended"]), vectors)
+    predictive.frequency_summary(cells, 4 * MANY_DRAWS).collect()
     return time.perf_counter() - start, 8 * rows.count() * 4 * MANY_DRAWS
 
 

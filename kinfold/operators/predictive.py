@@ -13,7 +13,7 @@ from kinfold.operators.likelihood import pack_draws, spread_join
 from kinfold.operators.network import count_histogram
 
 # Rows with at most this many balls carry their uniforms in one array; a survey names at most five.
-FEW = 8
+FEW = 5
 # Balls folded per inner step for the other rows.
 BLOCK = 1024
 
@@ -28,11 +28,25 @@ def predict(rows: DataFrame, vectors: DataFrame, seed: int = SEED) -> DataFrame:
     Arrow batch then takes all its t-th balls at once. Rows with very many balls are
     folded in the JVM with a state of eight counts.
     """
+    few, many = _balls(rows, vectors, seed)
+    schema = ", ".join(["model string, chain int, draw int, id string", *[f"{c} long" for c in CATEGORIES]])
+    return few.mapInArrow(_count_batches, schema).unionByName(many)
+
+
+def predict_cells(rows: DataFrame, vectors: DataFrame, seed: int = SEED) -> DataFrame:
+    """The crosstab of `predict`, counted inside each Arrow batch before rows leave it."""
+    few, many = _balls(rows, vectors, seed)
+    schema = "model string, chain int, draw int, category string, y long, respondents long"
+    counted = few.mapInArrow(_cell_batches, schema).unionByName(crosstab(many))
+    return counted.groupBy("model", "chain", "draw", "category", "y").agg(F.sum("respondents").alias("respondents"))
+
+
+def _balls(rows, vectors, seed):
+    """(rows with up to FEW balls and their uniforms, finished counts of the others)."""
     require(rows, "model", "key", "id", "lender_ij")
     slim = rows.select("model", "key", "id", F.col("lender_ij").cast("long").alias("n"))
     packs = pack_draws(vectors)
     names = ["model", "chain", "draw", "id"]
-    schema = ", ".join(["model string, chain int, draw int, id string", *[f"{c} long" for c in CATEGORIES]])
 
     def uniform(t):
         return hash_uniform(F.col("stem"), t)
@@ -40,29 +54,60 @@ def predict(rows: DataFrame, vectors: DataFrame, seed: int = SEED) -> DataFrame:
     stem = F.concat_ws("|", F.lit(str(seed)), *names)
     few = spread_join(slim.where(F.col("n") <= FEW), packs).withColumn("stem", stem)
     balls = [F.when(F.col("n") >= t, uniform(t)).otherwise(F.lit(0.0)) for t in range(1, FEW + 1)]
-    simulated = few.select(*names, "n", "frac", "conc", F.array(*balls).alias("u")).mapInArrow(_urn_batches, schema)
     many = spread_join(slim.where(F.col("n") > FEW), packs).withColumn("stem", stem)
-    return simulated.unionByName(_folded(many, uniform).select(*names, *CATEGORIES))
+    return (
+        few.select(*names, "n", "frac", "conc", F.array(*balls).alias("u")),
+        _folded(many, uniform).select(*names, *CATEGORIES),
+    )
 
 
-def _urn_batches(batches):
+def _simulate(batch):
+    """Counts by row and type; the t-th balls of all rows are taken together."""
+    n = batch["n"].to_numpy()
+    alpha = batch["frac"].flatten().to_numpy().reshape(-1, N_CATEGORIES) * batch["conc"].to_numpy()[:, None]
+    u = batch["u"].flatten().to_numpy().reshape(max(len(n), 1), -1)
+    y = np.zeros(alpha.shape, dtype="int64")
+    mass = np.cumsum(alpha, axis=1)[:, -1]
+    for t in range(int(n.max(initial=0))):
+        at = np.flatnonzero(n > t)
+        edges = np.cumsum(alpha[at] + y[at], axis=1)[:, :-1]
+        v = u[at, t] * (mass[at] + t)
+        y[at, (v[:, None] >= edges).sum(axis=1)] += 1
+    return y
+
+
+def _count_batches(batches):
     for batch in batches:
-        alpha = batch["frac"].flatten().to_numpy().reshape(-1, N_CATEGORIES) * batch["conc"].to_numpy()[:, None]
-        n = batch["n"].to_numpy()
-        u = batch["u"].flatten().to_numpy().reshape(max(len(n), 1), -1)
-        y = np.zeros(alpha.shape, dtype="int64")
-        mass = np.cumsum(alpha, axis=1)[:, -1]
-        for t in range(int(n.max(initial=0))):
-            at = np.flatnonzero(n > t)
-            edges = np.cumsum(alpha[at] + y[at], axis=1)[:, :-1]
-            v = u[at, t] * (mass[at] + t)
-            y[at, (v[:, None] >= edges).sum(axis=1)] += 1
+        y = _simulate(batch)
         kept = [batch[c] for c in ("model", "chain", "draw", "id")]
         yield pa.RecordBatch.from_arrays(
             kept + [pa.array(y[:, k]) for k in range(N_CATEGORIES)], names=["model", "chain", "draw", "id", *CATEGORIES]
         )
 
 
+def _cell_batches(batches):
+    for batch in batches:
+        y = _simulate(batch)
+        model = batch["model"].dictionary_encode()
+        chain, draw = (batch[c].to_numpy().astype("int64") for c in ("chain", "draw"))
+        chains, draws = chain.max(initial=0) + 1, draw.max(initial=0) + 1
+        seen, place = np.unique((model.indices.to_numpy() * chains + chain) * draws + draw, return_inverse=True)
+        width = int(y.max(initial=0)) + 1
+        cell = (place.reshape(-1, 1) * N_CATEGORIES + np.arange(N_CATEGORIES)) * width + y
+        counts = np.bincount(cell.ravel())
+        at = np.flatnonzero(counts)
+        which = seen[at // (N_CATEGORIES * width)]
+        types = pa.DictionaryArray.from_arrays(pa.array(at // width % N_CATEGORIES), pa.array(list(CATEGORIES)))
+        yield pa.RecordBatch.from_arrays(
+            [
+                model.dictionary.take(pa.array(which // (chains * draws))),
+                pa.array(which // draws % chains, pa.int32()), pa.array(which % draws, pa.int32()),
+                types.dictionary_decode(), pa.array(at % width), pa.array(counts[at]),
+            ],
+            names=["model", "chain", "draw", "category", "y", "respondents"],
+        )
+
+
 def _folded(df, uniform):
     """The same urn, ball by ball: state is the counts, balls run in blocks."""
     alpha = F.transform("frac", lambda f: f * F.col("conc"))

@@ -40,9 +40,9 @@ class Analysis:
         return draws.stack_models(draws.posterior_table(self.draws), draws.parameter_order(self.respondents))
 
     def predictive(self) -> DataFrame:
-        predicted = predictive.predict(likelihood.with_models(self.sample), self.vectors)
-        cells = predictive.frequency_summary(predictive.crosstab(predicted), self.run.chains * self.run.draws)
-        return predictive.band(predictive.compare_observed(cells, self.sample))
+        cells = predictive.predict_cells(likelihood.with_models(self.sample), self.vectors)
+        summary = predictive.frequency_summary(cells, self.run.chains * self.run.draws)
+        return predictive.band(predictive.compare_observed(summary, self.sample))
 
     def cross_validation(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(pointwise elpd, comparison, weights)."""

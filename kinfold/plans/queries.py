@@ -39,7 +39,7 @@ class Fitted(Survey):
         return predictive.predict(likelihood.with_models(self.rows), self.vectors)
 
     def frequencies(self):
-        cells = predictive.crosstab(self.predicted())
+        cells = predictive.predict_cells(likelihood.with_models(self.rows), self.vectors)
         return predictive.compare_observed(predictive.frequency_summary(cells, 4 * DRAWS), self.rows)
 
 

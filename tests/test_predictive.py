@@ -80,3 +80,12 @@ def test_crosstab_counts_every_respondent(spark):
     totals = rows(cells.groupBy("chain", "draw", "category").agg(F.sum("respondents").alias("n")), "n")
     assert totals == {(30,)}
     assert np.isclose(cells.agg(F.sum(F.col("y") * F.col("respondents"))).first()[0], 30 * 2 * 6)
+
+
+def test_cells_counted_in_batches_equal_the_crosstab(spark):
+    s = sample(spark, [(n % 12, 0, 0, 0, 0, 0, 0, 0) for n in range(1, 40)])
+    keyed = lk.with_models(s, ["Baseline"])
+    assert rows(pp.predict_cells(keyed, vectors(spark, 6)), *CELL) == rows(pp.crosstab(pp.predict(keyed, vectors(spark, 6))), *CELL)
+
+
+CELL = ("model", "chain", "draw", "category", "y", "respondents")
