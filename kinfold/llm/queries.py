@@ -5,18 +5,64 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import ngram_join
+from kinfold.llm import mixing, ngram_join, sharding, trie_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_vector_bin_packing(spark, sf_dir):
+    return sharding.shard(documents(spark, sf_dir))
+
+
 def op4_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.jaccard_components(documents(spark, sf_dir))
 
 
+def op7_source_mixing(spark, sf_dir):
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op8_trie_dedup(spark, sf_dir):
+    return trie_dedup.exact_groups(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op1_vector_bin_packing": op1_vector_bin_packing,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op7_source_mixing": op7_source_mixing,
+    "op8_trie_dedup": op8_trie_dedup,
+}
+# Words as runs of anything but the six ASCII spaces, as in every contract above.
+WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+
+ORACLES = {
+    "op7_source_mixing": f"""
+WITH sized AS (SELECT doc_id, source, CAST({WORDS} AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS HUGEINT) AS c,
+             [3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS w
+      FROM sized GROUP BY source),
+-- Sources stop in order of size to weight: before each, words of those that have stopped and weights of the rest.
+o AS (SELECT *, row_number() OVER (ORDER BY c * CAST(6 / w AS INTEGER), source NULLS LAST) AS k FROM s),
+r AS (SELECT *, coalesce(sum(c) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+             sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights,
+             sum(c) OVER () AS total FROM o),
+stop AS (SELECT min_by(3 * total - 4 * used, k) AS spare, min_by(weights, k) AS weights, min(k) AS k
+         FROM r WHERE w * (3 * total - 4 * used) <= 4 * c * weights),
+t AS (SELECT r.source, r.c AS source_size, CASE WHEN r.k < stop.k THEN CAST(2 * r.c AS DOUBLE)
+             ELSE CAST(r.w * stop.spare AS DOUBLE) / CAST(2 * stop.weights AS DOUBLE) END AS target FROM r, stop),
+d AS (SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+             CASE WHEN source_size > 0 THEN target / CAST(source_size AS DOUBLE) ELSE 0.0 END AS rate,
+             CAST('0x' || substr(md5('7|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+      FROM sized JOIN t ON sized.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken,
+       CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS copies FROM d
+""",
+    "op8_trie_dedup": """
+WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, coalesce(text, '') AS body FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, text_sha256
+FROM d WINDOW g AS (PARTITION BY body)
+""",
 }
-ORACLES = {}
