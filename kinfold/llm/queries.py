@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import mixing, ngram_join, sharding, trie_dedup
+from kinfold.llm import mixing, ngram_join, secrets, sharding, trie_dedup, winnowing
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,23 @@ def op1_vector_bin_packing(spark, sf_dir):
     return sharding.shard(documents(spark, sf_dir))
 
 
+def op2_secret_ledger(spark, sf_dir):
+    versions = documents(spark, sf_dir).select(F.col("doc_id").alias("path"), "text")
+    findings, _ = secrets.scan(versions)
+    counts = [F.size(secrets.of_rank(F.col("spans"), k)).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(secrets.BASE)]
+    base = secrets.of_rank(F.col("spans"), *range(len(secrets.BASE)))
+    return findings.select(
+        F.col("path").alias("doc_id"), *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"),
+    )
+
+
+def op6_winnowing(spark, sf_dir):
+    return winnowing.compared_with_edits(documents(spark, sf_dir)).select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited_text", 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+    )
+
+
 def op4_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.jaccard_components(documents(spark, sf_dir))
 
@@ -30,7 +47,9 @@ def op8_trie_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_vector_bin_packing": op1_vector_bin_packing,
+    "op2_secret_ledger": op2_secret_ledger,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op6_winnowing": op6_winnowing,
     "op7_source_mixing": op7_source_mixing,
     "op8_trie_dedup": op8_trie_dedup,
 }
