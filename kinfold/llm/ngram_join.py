@@ -56,7 +56,7 @@ def gram_sets(column: pa.Array, width: int):
     whole = (left >= width) | (place == 0)
     grams, doc = grams[whole], doc[whole]
     ends = np.r_[0, np.cumsum(np.bincount(doc, minlength=words.docs))]
-    sets = [np.unique(grams[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+    sets = [_distinct(grams[a:b]) for a, b in zip(ends[:-1], ends[1:])]
     offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int64)
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     total = np.r_[np.uint64(0), np.cumsum(mix(flat + _STEP))]
@@ -64,6 +64,11 @@ def gram_sets(column: pa.Array, width: int):
     return offsets, flat, marks
 
 
+def _distinct(values):
+    values = np.sort(values)
+    return values[runs(values)]
+
+
 def _flagged(batch: pa.RecordBatch, digest: bool) -> pa.RecordBatch:
     flag = pa.array([digest] * batch.num_rows, pa.bool_())
     return pa.RecordBatch.from_arrays([*batch.columns, flag], schema=ARROW.append(pa.field("digest", pa.bool_())))

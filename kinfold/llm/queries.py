@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import mixing, ngram_join, secrets, sharding, trie_dedup, winnowing
+from kinfold.llm import bpe, mixing, ngram_join, secrets, sharding, trie_dedup, winnowing
+
+
+# Vocabulary files of public tokenizers.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +49,14 @@ def op8_trie_dedup(spark, sf_dir):
     return trie_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op10_bpe(spark, sf_dir, tokenizer_file=f"{TOKENIZERS}/byte_bpe_50k.json"):
+    ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_file)
+    return bpe.decode(ids, tokenizer_file).select(
+        "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_vector_bin_packing": op1_vector_bin_packing,
     "op2_secret_ledger": op2_secret_ledger,
@@ -52,6 +64,7 @@ QUERIES = {
     "op6_winnowing": op6_winnowing,
     "op7_source_mixing": op7_source_mixing,
     "op8_trie_dedup": op8_trie_dedup,
+    "op10_bpe": op10_bpe,
 }
 # Words as runs of anything but the six ASCII spaces, as in every contract above.
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"

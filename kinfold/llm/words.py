@@ -45,22 +45,26 @@ class Words:
         return np.bincount(self.doc, minlength=self.docs)
 
     def hashes(self) -> np.ndarray:
-        """One unsigned 64-bit hash for each word, of its bytes eight at a time."""
-        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
-        chunks = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
-        length = self.end - self.start
-        h = _SEED ^ length.astype(np.uint64)
-        active, at, left = np.arange(len(h)), self.start.copy(), length.copy()
-        while len(active):
-            part = chunks[at]
-            short = left < 8
-            if short.any():
-                keep = (np.uint64(1) << (np.minimum(left, 7).astype(np.uint64) * np.uint64(8))) - np.uint64(1)
-                part = np.where(short, part & keep, part)
-            h[active] = mix(h[active] ^ (part * _M2 + _SEED))
-            more = left > 8
-            active, at, left = active[more], at[more] + 8, left[more] - 8
-        return h
+        return span_hashes(self.data, self.start, self.end)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """One unsigned 64-bit hash for each span of bytes, read eight at a time."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    chunks = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+    length = end - start
+    h = _SEED ^ length.astype(np.uint64)
+    active, at, left = np.arange(len(h)), start.astype(np.int64), length.astype(np.int64)
+    while len(active):
+        part = chunks[at]
+        short = left < 8
+        if short.any():
+            keep = (np.uint64(1) << (np.minimum(left, 7).astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+            part = np.where(short, part & keep, part)
+        h[active] = mix(h[active] ^ (part * _M2 + _SEED))
+        more = left > 8
+        active, at, left = active[more], at[more] + 8, left[more] - 8
+    return h
 
 
 def slices(column: pa.Array, limit: int = PASS_BYTES):
