@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bpe, mixing, ngram_join, secrets, sharding, trie_dedup, winnowing
+from kinfold.llm import bpe, chat, mixing, ngram_join, quality, secrets, sharding, trie_dedup, winnowing
 
 
 # Vocabulary files of public tokenizers.
@@ -30,6 +30,10 @@ def op2_secret_ledger(spark, sf_dir):
     )
 
 
+def op5_quality_machine(spark, sf_dir):
+    return quality.classified(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_winnowing(spark, sf_dir):
     return winnowing.compared_with_edits(documents(spark, sf_dir)).select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited_text", 256).alias("edited_sha256"),
@@ -37,6 +41,16 @@ def op6_winnowing(spark, sf_dir):
     )
 
 
+def op3_chat_formatting(spark, sf_dir):
+    own = r"\### Assistant: </turn> ok"
+    more = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(own).alias("text"),
+    )
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digests(chat.format_chat(turns))
+
+
 def op4_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.jaccard_components(documents(spark, sf_dir))
 
@@ -60,7 +74,9 @@ def op10_bpe(spark, sf_dir, tokenizer_file=f"{TOKENIZERS}/byte_bpe_50k.json"):
 QUERIES = {
     "op1_vector_bin_packing": op1_vector_bin_packing,
     "op2_secret_ledger": op2_secret_ledger,
+    "op3_chat_formatting": op3_chat_formatting,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_quality_machine": op5_quality_machine,
     "op6_winnowing": op6_winnowing,
     "op7_source_mixing": op7_source_mixing,
     "op8_trie_dedup": op8_trie_dedup,
