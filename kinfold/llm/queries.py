@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bpe, chat, mixing, ngram_join, quality, secrets, sharding, trie_dedup, winnowing
+from kinfold.llm import bpe, chat, lm, mixing, ngram_join, quality, secrets, sharding, trie_dedup, winnowing
 
 
 # Vocabulary files of public tokenizers.
@@ -71,6 +71,10 @@ def op10_bpe(spark, sf_dir, tokenizer_file=f"{TOKENIZERS}/byte_bpe_50k.json"):
     )
 
 
+def op9_attention_scores(spark, sf_dir, tokenizer_file=f"{TOKENIZERS}/byte_bpe_50k.json"):
+    return lm.language_scores(documents(spark, sf_dir), tokenizer_file)
+
+
 QUERIES = {
     "op1_vector_bin_packing": op1_vector_bin_packing,
     "op2_secret_ledger": op2_secret_ledger,
@@ -80,6 +84,7 @@ QUERIES = {
     "op6_winnowing": op6_winnowing,
     "op7_source_mixing": op7_source_mixing,
     "op8_trie_dedup": op8_trie_dedup,
+    "op9_attention_scores": op9_attention_scores,
     "op10_bpe": op10_bpe,
 }
 # Words as runs of anything but the six ASCII spaces, as in every contract above.
