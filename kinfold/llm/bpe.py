@@ -27,7 +27,9 @@ from kinfold.sources.workspace import scratch_path
 LEXICON = 32_768
 FREQUENT = 1 / (1 << 17)
 # Pieces whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+# Bytes of text that one pass holds.
+PASS = 1 << 20
 # Pieces longer than this are merged with a queue.
 LONG = 256
 
@@ -443,7 +445,7 @@ def frequent_words(docs: DataFrame, special=(), text_col: str = "text", size: in
     def task(batches):
         pieces, counts, total = Pieces(special), {}, 0
         for batch in batches:
-            for _, texts in slices(batch.column("text")):
+            for _, texts in slices(batch.column("text"), PASS):
                 data, start, end, _ = pieces.split(texts)
                 hashes, first, times = np.unique(span_hashes(data, start, end), return_index=True, return_counts=True)
                 total += len(start)
@@ -479,7 +481,7 @@ def encode(docs: DataFrame, tokenizer_file: str, text_col: str = "text", into: s
         encoder = Encoder(Vocabulary.of(held.value), lexicon.open())
         for batch in batches:
             others = batch.select([c for c in batch.schema.names if c != text_col])
-            for first, texts in slices(batch.column(text_col)):
+            for first, texts in slices(batch.column(text_col), PASS):
                 ids, offsets = encoder.encode(texts)
                 packed = pa.Array.from_buffers(
                     pa.binary(), len(texts), [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))]
@@ -499,13 +501,13 @@ def decode(encoded: DataFrame, tokenizer_file: str, ids_col: str = "ids", into:
     def task(batches):
         vocabulary = Vocabulary.of(held.value)
         for batch in batches:
-            column = batch.column(ids_col)
-            texts = []
-            for value in column:
-                ids = np.frombuffer(value.as_py() or b"", "<u4").astype(np.int64)
-                content = vocabulary.content[ragged(vocabulary.starts[ids], vocabulary.lengths[ids])]
-                texts.append(content.tobytes().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, into])
+            for first in range(0, batch.num_rows, 500):
+                rows, texts = batch.slice(first, 500), []
+                for value in rows.column(ids_col):
+                    ids = np.frombuffer(value.as_py() or b"", "<u4").astype(np.int64)
+                    content = vocabulary.content[ragged(vocabulary.starts[ids], vocabulary.lengths[ids])]
+                    texts.append(content.tobytes().decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], names=[*rows.schema.names, into])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema], f"`{into}` string"])
     return encoded.mapInArrow(task, schema)
