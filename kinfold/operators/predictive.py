@@ -7,17 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.functions.columns import array_sum, hash_uniform, require
-from kinfold.functions.values import BAND_Z, CATEGORIES, N_CATEGORIES, SEED
+from kinfold.functions.columns import hash_uniform, require
+from kinfold.functions.values import BAND_Z, CATEGORIES, MODELS, N_CATEGORIES, SEED
 from kinfold.operators.likelihood import pack_draws, spread_join
 from kinfold.operators.network import count_histogram
 
-# Rows with at most this many balls carry their uniforms in one array; a survey names at most five.
-FEW = 5
-# Balls folded per inner step for the other rows.
-BLOCK = 1024
-
-
 def predict(rows: DataFrame, vectors: DataFrame, seed: int = SEED) -> DataFrame:
     """Simulated counts for every row and draw: (model, chain, draw, id, counts).
 
@@ -25,53 +19,42 @@ def predict(rows: DataFrame, vectors: DataFrame, seed: int = SEED) -> DataFrame:
     proportional to alpha_k plus the balls of type k so far. The uniform of a ball
     depends on (seed, model, chain, draw, id, t) only, so results do not move with
     partitioning or retries. Spark hashes the uniforms and deals out rows and draws; each
-    Arrow batch then takes all its t-th balls at once. Rows with very many balls are
-    folded in the JVM with a state of eight counts.
+    Arrow batch then takes all its t-th balls at once, whatever their number.
     """
-    few, many = _balls(rows, vectors, seed)
     schema = ", ".join(["model string, chain int, draw int, id string", *[f"{c} long" for c in CATEGORIES]])
-    return few.mapInArrow(_count_batches, schema).unionByName(many)
+    return _balls(rows, vectors, seed).mapInArrow(_count_batches, schema)
 
 
 def predict_cells(rows: DataFrame, vectors: DataFrame, seed: int = SEED) -> DataFrame:
     """The crosstab of `predict`, counted inside each Arrow batch before rows leave it."""
-    few, many = _balls(rows, vectors, seed)
     schema = "model string, chain int, draw int, category string, y long, respondents long"
-    counted = few.mapInArrow(_cell_batches, schema).unionByName(crosstab(many))
+    counted = _balls(rows, vectors, seed).mapInArrow(_cell_batches, schema)
     return counted.groupBy("model", "chain", "draw", "category", "y").agg(F.sum("respondents").alias("respondents"))
 
 
 def _balls(rows, vectors, seed):
-    """(rows with up to FEW balls and their uniforms, finished counts of the others)."""
+    """Rows and draws joined, with one uniform for each ball."""
     require(rows, "model", "key", "id", "lender_ij")
     slim = rows.select("model", "key", "id", F.col("lender_ij").cast("long").alias("n"))
-    packs = pack_draws(vectors)
     names = ["model", "chain", "draw", "id"]
-
-    def uniform(t):
-        return hash_uniform(F.col("stem"), t)
-
-    stem = F.concat_ws("|", F.lit(str(seed)), *names)
-    few = spread_join(slim.where(F.col("n") <= FEW), packs).withColumn("stem", stem)
-    balls = [F.when(F.col("n") >= t, uniform(t)).otherwise(F.lit(0.0)) for t in range(1, FEW + 1)]
-    many = spread_join(slim.where(F.col("n") > FEW), packs).withColumn("stem", stem)
-    return (
-        few.select(*names, "n", "frac", "conc", F.array(*balls).alias("u")),
-        _folded(many, uniform).select(*names, *CATEGORIES),
-    )
+    joined = spread_join(slim, pack_draws(vectors)).withColumn("stem", F.concat_ws("|", F.lit(str(seed)), *names))
+    balls = F.sequence(F.lit(1).cast("long"), F.col("n"))
+    uniforms = F.when(F.col("n") > 0, F.transform(balls, lambda t: hash_uniform(F.col("stem"), t)))
+    return joined.select(*names, "n", "frac", "conc", F.coalesce(uniforms, F.array().cast("array<double>")).alias("u"))
 
 
 def _simulate(batch):
     """Counts by row and type; the t-th balls of all rows are taken together."""
     n = batch["n"].to_numpy()
     alpha = batch["frac"].flatten().to_numpy().reshape(-1, N_CATEGORIES) * batch["conc"].to_numpy()[:, None]
-    u = batch["u"].flatten().to_numpy().reshape(max(len(n), 1), -1)
+    u = batch["u"].flatten().to_numpy()
+    first = np.cumsum(n) - n
     y = np.zeros(alpha.shape, dtype="int64")
     mass = np.cumsum(alpha, axis=1)[:, -1]
     for t in range(int(n.max(initial=0))):
         at = np.flatnonzero(n > t)
         edges = np.cumsum(alpha[at] + y[at], axis=1)[:, :-1]
-        v = u[at, t] * (mass[at] + t)
+        v = u[first[at] + t] * (mass[at] + t)
         y[at, (v[:, None] >= edges).sum(axis=1)] += 1
     return y
 
@@ -108,36 +91,6 @@ def _cell_batches(batches):
         )
 
 
-def _folded(df, uniform):
-    """The same urn, ball by ball: state is the counts, balls run in blocks."""
-    alpha = F.transform("frac", lambda f: f * F.col("conc"))
-    df = df.withColumn("alpha", alpha).withColumn("mass", array_sum(F.col("alpha")))
-
-    def ball(state, t):
-        v = uniform(t) * (F.col("mass") + (t - 1))
-        weights = F.zip_with("alpha", state, lambda a, y: a + y)
-        scan = F.aggregate(
-            F.slice(weights, 1, N_CATEGORIES - 1),
-            F.struct(F.lit(0.0).alias("edge"), F.lit(0).alias("pick"), v.alias("v")),
-            lambda s, w: F.struct(
-                (s["edge"] + w).alias("edge"),
-                (s["pick"] + (s["v"] >= s["edge"] + w).cast("int")).alias("pick"),
-                s["v"].alias("v"),
-            ),
-            lambda s: s["pick"],
-        )
-        return F.transform(F.array(scan), lambda p: F.transform(state, lambda y, k: y + (k == p).cast("long")))[0]
-
-    def block(state, first):
-        last = F.least(first + (BLOCK - 1), F.col("n"))
-        return F.aggregate(F.sequence(first, last), state, ball)
-
-    zeros = F.array_repeat(F.lit(0).cast("long"), N_CATEGORIES)
-    starts = F.sequence(F.lit(1).cast("long"), F.col("n"), F.lit(BLOCK).cast("long"))
-    counted = df.withColumn("__y", F.aggregate(starts, zeros, block))
-    return counted.withColumns({c: F.col("__y")[k] for k, c in enumerate(CATEGORIES)})
-
-
 def crosstab(predicted: DataFrame) -> DataFrame:
     """Rows of each draw with y lenders of a type; values a draw lacks have no row.
 
@@ -155,26 +108,26 @@ def crosstab(predicted: DataFrame) -> DataFrame:
 def frequency_summary(cells: DataFrame, n_draws: int) -> DataFrame:
     """Mean and sample standard deviation of the cell counts over all draws.
 
-    A draw without the value counts as zero, which the sums cover in closed form.
+    Draws without the value count as zero: with n draws that have it, their mean m and variance v, the squared
+    deviations over all D draws add up to n v + n (D - n) / D m^2, which neither overflows nor cancels.
     """
-    c = F.col("respondents")
-    sums = cells.groupBy("model", "category", "y").agg(F.sum(c).alias("s"), F.sum(c * c).alias("ss"))
-    s, ss, d = F.col("s").cast("double"), F.col("ss").cast("double"), float(n_draws)
-    return sums.select(
-        "model", "category", "y",
-        (s / d).alias("mean"),
-        F.sqrt(F.greatest(ss - s * s / d, F.lit(0.0)) / (d - 1)).alias("std"),
+    c = F.col("respondents").cast("double")
+    sums = cells.groupBy("model", "category", "y").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.avg(c).alias("m"), F.var_pop(c).alias("v")
     )
+    n, m, d = F.col("n"), F.col("m"), float(n_draws)
+    spread = n * F.col("v") + n * (d - n) / d * m * m
+    return sums.select("model", "category", "y", (n * m / d).alias("mean"), F.sqrt(spread / (d - 1)).alias("std"))
 
 
-def compare_observed(summary: DataFrame, sample: DataFrame) -> DataFrame:
+def compare_observed(summary: DataFrame, sample: DataFrame, models=MODELS) -> DataFrame:
     """Observed frequency of every value beside its predictive mean and deviation.
 
     The observed grid is the union of values over all types; predicted-only values drop
     out and observed-only values have no mean.
     """
     observed = count_histogram(sample).withColumn(
-        "model", F.explode(F.array(*[F.lit(m) for m in ("Baseline", "Extended", "Sex")]))
+        "model", F.explode(F.array(*[F.lit(m) for m in models]))
     )
     joined = observed.join(summary, ["model", "category", "y"], "left")
     return joined.select(

@@ -34,13 +34,31 @@ def test_counts_sum_to_lenders_and_do_not_depend_on_partitioning(spark, monkeypa
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-def test_long_rows_follow_the_same_urn(spark, monkeypatch):
-    s = sample(spark, [(n, 0, 0, 0, 0, 0, 0, 0) for n in (3, 7, 8)])
-    keyed = lk.with_models(s, ["Baseline"])
-    expected = rows(pp.predict(keyed, vectors(spark, 5)))
-    monkeypatch.setattr(pp, "FEW", 2)
-    monkeypatch.setattr(pp, "BLOCK", 3)
-    assert rows(pp.predict(keyed, vectors(spark, 5))) == expected
+def test_rows_with_many_balls_follow_the_same_urn(spark):
+    s = sample(spark, [(n, 0, 0, 0, 0, 0, 0, 0) for n in (1, 3, 40)])
+    stems = pp._balls(lk.with_models(s, ["Baseline"]), vectors(spark, 5), pp.SEED)
+    drawn = {(r["chain"], r["draw"], r["id"]): r["u"] for r in stems.collect()}
+    for r in pp.predict(lk.with_models(s, ["Baseline"]), vectors(spark, 5)).collect():
+        counts = [0] * 8
+        for t, u in enumerate(drawn[r["chain"], r["draw"], r["id"]]):
+            edges = np.cumsum([3.0 * f + c for f, c in zip(FRAC, counts)])
+            counts[int((u * (edges[-1]) >= edges[:-1]).sum())] += 1
+            assert edges[-1] == pytest.approx(3.0 + t)
+        assert [r[c] for c in CATEGORIES] == counts
+
+
+def test_counts_of_a_billion_respondents_keep_their_deviation(spark):
+    draws, base = 12000, 1_000_000_000
+    cells = spark.range(draws).selectExpr(
+        "'Baseline' AS model", "0 AS chain", "CAST(id AS INT) AS draw", "'c' AS category", "1L AS y",
+        f"{base} + (id * 7919) % 11 - 5 AS respondents",
+    )
+    expected = cells.selectExpr("stddev_samp(CAST(respondents - 1000000000 AS DOUBLE)) AS s").first()["s"]
+    got = pp.frequency_summary(cells, draws).first()
+    assert got["std"] == pytest.approx(expected, rel=1e-9)
+    half = pp.frequency_summary(cells.where("draw < 6000"), draws).first()
+    values = cells.selectExpr("CASE WHEN draw < 6000 THEN CAST(respondents AS DOUBLE) ELSE 0D END AS v")
+    assert half["std"] == pytest.approx(values.selectExpr("stddev_samp(v) AS s").first()["s"], rel=1e-9)
 
 
 def test_urn_has_the_moments_of_the_distribution(spark):
