@@ -49,8 +49,9 @@ def patterns(sample: DataFrame) -> DataFrame:
 
 
 def pattern_id():
-    """Text key of a pattern."""
-    return F.concat_ws("|", "group_id", F.col("female").cast("string"), *[F.col(c).cast("string") for c in CATEGORIES])
+    """Text key of a pattern, from every column that patterns are grouped by; null is written as a sign no value has."""
+    columns = ["group_id", "female", "lender_ij", *CATEGORIES]
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns])
 
 
 def group_proportions(sample: DataFrame, models=MODELS) -> DataFrame:

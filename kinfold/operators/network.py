@@ -63,7 +63,7 @@ def within_group_pairs(pairs: DataFrame, respondents: DataFrame) -> DataFrame:
     )
 
 
-def tied_dyads(nominations: DataFrame, respondents: DataFrame, dedupe: bool = True) -> DataFrame:
+def tied_dyads(nominations: DataFrame, respondents: DataFrame, dedupe: bool = False) -> DataFrame:
     """Every ordered pair with a tie in either direction, with all relation columns.
 
     Each counted pair is mirrored before one aggregation on (i, j); this brings the

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kinfold.functions.values import MAX_RHAT, MIN_ESS
 from kinfold.operators import crossval, diagnostics, draws, likelihood, network, predictive, report, sampler
 from kinfold.sources import survey
-from kinfold.sources.workspace import materialise
+from kinfold.sources.workspace import materialise, scratch
 
 
 class Analysis:
@@ -53,11 +53,16 @@ class Analysis:
 
 
 def run(spark, primary, secondary, ties, out, length=sampler.RunLength(), dedupe=False, strict=True) -> Analysis:
-    """Run every stage and write its table under `out`.
+    """Run every stage and write its table under `out`; scratch tables are removed at the end.
 
     With `strict`, a model that misses a convergence bound raises after the tables of the
     diagnostics are written.
     """
+    with scratch(spark):
+        return _run(spark, primary, secondary, ties, out, length, dedupe, strict)
+
+
+def _run(spark, primary, secondary, ties, out, length, dedupe, strict) -> Analysis:
     a = Analysis(spark, primary, secondary, ties, dedupe, strict).fit(length)
 
     def save(name, table):

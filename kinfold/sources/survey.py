@@ -13,18 +13,22 @@ def read_table(spark: SparkSession, path: str, columns: dict, limit: int | None
     """Scan a CSV with a header row.
 
     `columns` maps each source column to (name, type). Every NA token becomes null
-    before the cast; columns not listed are dropped. `limit` reads the first rows only.
+    before the cast; columns not listed are dropped. `limit` reads the first rows only. A value that its type cannot
+    hold as it is - text, or a fraction for an integer - stops the scan. Quotes inside quoted fields are doubled.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False)
+    raw = spark.read.csv(path, header=True, inferSchema=False, escape='"')
     if limit is not None:
         raw = raw.limit(limit)
     require(raw, *columns)
     out = []
     for source, (name, kind) in columns.items():
         text = F.when(~F.col(f"`{source}`").isin(*NA_TOKENS), F.col(f"`{source}`"))
+        value = text
         if kind in ("int", "long"):
-            text = text.try_cast("double")
-        out.append(text.try_cast(kind).alias(name))
+            value = text.try_cast("double")
+            value = F.when(value == F.floor(value), value)
+        bad = F.raise_error(F.concat(F.lit(f"{source} cannot be read as {kind}: "), text))
+        out.append(F.coalesce(value.try_cast(kind), F.when(text.isNotNull(), bad).cast(kind)).alias(name))
     return raw.select(*out)
 
 
@@ -63,12 +67,20 @@ def read_nominations(spark, path, limit=None) -> DataFrame:
 
 
 def respondents(primary: DataFrame, secondary: DataFrame) -> DataFrame:
-    """Inner join on id. The group of the primary table is kept; null ids never match."""
+    """One-to-one inner join on id; an id that repeats in a table stops it.
+
+    The group of the primary table is kept; null ids never match. The check is an aggregate by id, which the join
+    needs the rows dealt out by anyway.
+    """
     require(primary, "id", "group_id", "female")
     require(secondary, "id", "group_txt", "hh_id")
-    return primary.select("id", "group_id", "female").join(
-        secondary.select("id", "group_txt", "hh_id"), "id", "inner"
-    )
+    return _by_id(primary, "group_id", "female").join(_by_id(secondary, "group_txt", "hh_id"), "id", "inner")
+
+
+def _by_id(table: DataFrame, *columns: str) -> DataFrame:
+    rows = table.where(F.col("id").isNotNull()).groupBy("id").agg(F.first(F.struct(*columns)).alias("r"), F.count(F.lit(1)).alias("n"))
+    once = F.when(F.col("n") == 1, F.col("r")).otherwise(F.raise_error(F.concat(F.lit("repeated id "), F.col("id"))))
+    return rows.select("id", once.alias("r")).select("id", *[F.col(f"r.{c}") for c in columns])
 
 
 def write_draws(draws: DataFrame, path: str) -> None:

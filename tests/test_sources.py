@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from kinfold.functions.values import NA_TOKENS
 from kinfold.operators.tables import distinct_rows, duplicate_keys, frequency, profile
 from kinfold.sources import survey
-from kinfold.sources.workspace import materialise, shared_folder
+from kinfold.sources.workspace import materialise, scratch, shared_folder
 from tests.conftest import rows
 
 
@@ -40,6 +40,47 @@ def test_join_keeps_primary_group_and_drops_null_ids(spark):
     assert rows(joined, "id", "group_id", "female", "group_txt", "hh_id") == {("a", "1", 1, "t", "h")}
 
 
+def test_repeated_ids_stop_the_join(spark):
+    first = spark.createDataFrame([("a", "1", 1), ("a", "1", 0)], "id string, group_id string, female int")
+    second = spark.createDataFrame([("a", "9", "t", "h")], "id string, group_id string, group_txt string, hh_id string")
+    for one, two in ((first, second), (first.limit(1), second.unionByName(second))):
+        with pytest.raises(Exception, match="repeated id a"):
+            survey.respondents(one, two).collect()
+
+
+def test_quotes_and_bad_values(spark, tmp_path):
+    path = write(tmp_path / "q.csv", 'villageId,i,female\n1,"c ""x""",1\n')
+    assert rows(survey.read_primary(spark, path), "id", "female") == {('c "x"', 1)}
+    for k, bad in enumerate(("1.9", "yes")):
+        path = write(tmp_path / f"bad{k}.csv", f"villageId,i,female\n1,a,{bad}\n")
+        with pytest.raises(Exception, match="female cannot be read as int"):
+            survey.read_primary(spark, path).collect()
+
+
+def test_scratch_is_removed(spark, tmp_path):
+    import os
+
+    with scratch(spark) as paths:
+        df = materialise(spark.range(5), "gone")
+        assert df.count() == 5 and os.path.isdir(paths[0].removeprefix("file:"))
+    assert not os.path.exists(paths[0].removeprefix("file:"))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
+
+
 def test_table_checks(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("b", None)], "k string, v int")
     assert rows(profile(df), "column_name", "type", "non_null", "row_count") == {("k", "string", 3, 3), ("v", "int", 2, 3)}
