@@ -1,9 +1,10 @@
 """Posterior sampling of the three hierarchical Dirichlet-Multinomial models.
 
 Sufficient statistics are the tail counts, so a sweep never touches respondents. Given
-the shared hyperparameters the keys are independent, which gives two ways to run the
-same chain: all keys of a chain in one task while they are few, else a Spark pass over
-the keys per sweep, with only nine sums per chain returned to set the hyperparameters.
+the shared hyperparameters the keys are independent. A sweep draws the numbers of a key from a
+stream of (seed, model, chain, sweep, key), those of the hyperparameters from another one, so
+a chain does not depend on where its keys are: all in one task while they are few, else in a Spark
+pass over the keys per sweep that returns nine sums per chain. Only the order of these sums differs.
 """
 
 from __future__ import annotations
@@ -122,19 +123,36 @@ def _start_hyper():
 VECTOR_SCHEMA = "model string, key string, chain int, draw int, frac array<double>, conc double, hyper_alpha array<double>, hyper_lambda double"
 
 
+def _key_stream(run: RunLength, model: str, chain: int, sweep: int, key: str):
+    return np.random.default_rng([run.seed, MODELS.index(model), 1, chain, sweep, *key.encode()])
+
+
+def _hyper_stream(run: RunLength, model: str, chain: int, sweep: int):
+    return np.random.default_rng([run.seed, MODELS.index(model), 2, chain, sweep])
+
+
+def _move_key(block, rng, sweep, frac, conc, alpha, rate):
+    """One sweep of one key; the first starts it."""
+    if sweep == 0:
+        frac, conc = block.start(rng)
+    return block.update(rng, frac, conc, alpha, rate)
+
+
 def _run_chain(run: RunLength):
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         model, number = pdf["model"].iloc[0], int(pdf["chain"].iloc[0])
         pdf = pdf.sort_values("key")
-        block = Block(list(pdf["cells"]))
-        rng = np.random.default_rng([run.seed, MODELS.index(model), number])
-        frac, conc = block.start(rng)
+        keys, blocks = list(pdf["key"]), [Block([c]) for c in pdf["cells"]]
+        state = [(None, None)] * len(keys)
         alpha, rate = _start_hyper()
-        keys = list(pdf["key"])
         fracs, concs, alphas, rates = [], [], [], []
         for sweep in range(run.tune + run.draws):
-            frac, conc = block.update(rng, frac, conc, alpha, rate)
-            alpha, rate = update_hyper(rng, alpha, block.size, np.log(frac).sum(axis=0), conc.sum())
+            state = [
+                _move_key(b, _key_stream(run, model, number, sweep, k), sweep, *s, alpha, rate)
+                for k, b, s in zip(keys, blocks, state)
+            ]
+            frac, conc = np.concatenate([f for f, _ in state]), np.concatenate([c for _, c in state])
+            alpha, rate = update_hyper(_hyper_stream(run, model, number, sweep), alpha, len(keys), np.log(frac).sum(axis=0), conc.sum())
             if sweep >= run.tune:
                 fracs.append(frac)
                 concs.append(conc)
@@ -157,20 +175,16 @@ def _fit_in_tasks(stats: DataFrame, run: RunLength) -> DataFrame:
     return stats.select("model", "key", "cells", chains).groupBy("model", "chain").applyInPandas(_run_chain(run), VECTOR_SCHEMA)
 
 
-def _sweep_keys(run: RunLength, sweep: int, hyper: dict):
-    """Advance every key of a batch by one sweep; random numbers depend on (seed, chain, sweep, key) only."""
+def _sweep_keys(run: RunLength, model: str, sweep: int, hyper: dict):
+    """Advance every key of a batch by one sweep."""
 
     def advance(batches):
         for pdf in batches:
             frac, conc = [], []
-            for row in pdf.itertuples():
-                rng = np.random.default_rng([run.seed, row.chain, sweep, *row.key.encode()])
-                block = Block([row.cells])
-                if sweep == 0:
-                    f, c = block.start(rng)
-                else:
-                    f, c = np.asarray(row.frac)[None, :], np.array([row.conc])
-                f, c = block.update(rng, f, c, *hyper[row.chain])
+            before = zip(pdf["frac"], pdf["conc"]) if sweep else [(None, None)] * len(pdf)
+            for key, chain, cells, (f, c) in zip(pdf["key"], pdf["chain"], pdf["cells"], before):
+                now = (None, None) if sweep == 0 else (np.asarray(f)[None, :], np.array([c]))
+                f, c = _move_key(Block([cells]), _key_stream(run, model, int(chain), sweep, key), sweep, *now, *hyper[chain])
                 frac.append(f[0])
                 conc.append(c[0])
             yield pd.DataFrame({"key": pdf["key"], "chain": pdf["chain"], "frac": frac, "conc": conc})
@@ -189,13 +203,13 @@ def _fit_by_sweeps(stats: DataFrame, model: str, run: RunLength) -> DataFrame:
     kept = []
     for sweep in range(run.tune + run.draws):
         moved = cells.join(state, ["key", "chain"]).mapInPandas(
-            _sweep_keys(run, sweep, hyper), "key string, chain int, frac array<double>, conc double"
+            _sweep_keys(run, model, sweep, hyper), "key string, chain int, frac array<double>, conc double"
         )
         moved.write.parquet(f"{path}/sweep={sweep}")
         state = spark.read.schema(moved.schema).parquet(f"{path}/sweep={sweep}")
         logs = [F.sum(F.log(F.element_at("frac", k + 1))).alias(f"s{k}") for k in range(N_CATEGORIES)]
         for r in state.groupBy("chain").agg(F.count(F.lit(1)).alias("n"), F.sum("conc").alias("c"), *logs).collect():
-            rng = np.random.default_rng([run.seed, r["chain"], sweep])
+            rng = _hyper_stream(run, model, r["chain"], sweep)
             log_frac = np.array([r[f"s{k}"] for k in range(N_CATEGORIES)])
             hyper[r["chain"]] = update_hyper(rng, hyper[r["chain"]][0], r["n"], log_frac, r["c"])
         if sweep >= run.tune:
