@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.sources.workspace import materialise
+
 GRAM, WINDOW = 4, 8
 SPACES = r"[\x20\x09-\x0D]+"
 # A kept hash and its position share one number: hash bits above, position (counted backwards) below, so the
@@ -91,24 +93,24 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return found.withColumn("fingerprint", fingerprint(F.col("kept"))).withColumn("positions", F.transform("kept", position_of))
 
 
-def with_next(docs: DataFrame, values: list[str], enrich=lambda rows: rows) -> DataFrame:
-    """The enriched rows, each with `next_<value>` of the row that follows by descending doc_id; after the last, the first.
+def with_next(docs: DataFrame, values: list[str]) -> DataFrame:
+    """The rows, each with `next_<value>` of the row that follows by descending doc_id; after the last, the first.
 
     Rows are ordered within blocks of ids; a block's last row takes its values from the largest row of the next
     block that has rows. Rows of one id follow each other by their values; a null id comes after all others.
     """
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     blocked = docs.withColumn("place", key).withColumn("block", F.floor(F.col("place") / BLOCK).cast("long"))
-    # One row per block of ids that occur.
+    # One row per block of ids that occur, written so that its size is known to the join with whole rows.
     down = Window.orderBy(F.desc("block"))
-    chain = blocked.groupBy("block").agg(F.max("place").alias("top")).select(
+    chain = materialise(blocked.groupBy("block").agg(F.max("place").alias("top")).select(
         F.coalesce(F.lag("block").over(Window.orderBy("block")), F.first("block").over(down)).alias("next_block"), "block", "top"
-    )
-    tops = enrich(blocked.join(chain.select("block", F.col("top").alias("place")), ["block", "place"], "left_semi"))
+    ), "blocks")
+    tops = blocked.join(chain.select("block", F.col("top").alias("place")), ["block", "place"], "left_semi")
     heads = tops.groupBy("block").agg(F.max(F.struct(*values)).alias("after")).withColumnRenamed("block", "next_block")
-    after = chain.select("block", "next_block").join(heads, "next_block").select("block", "after")
+    after = materialise(chain.select("block", "next_block").join(heads, "next_block").select("block", "after"), "heads")
     order = Window.partitionBy("block").orderBy(F.desc("place"), *[F.desc(v) for v in values])
-    led = enrich(blocked).withColumn("following", F.lead(F.struct(*values)).over(order)).join(after, "block")
+    led = blocked.withColumn("following", F.lead(F.struct(*values)).over(order)).join(after, "block")
     return led.select("*", *[F.coalesce(F.col("following")[v], F.col("after")[v]).alias(f"next_{v}") for v in values]).drop(
         "place", "block", "following", "after"
     )
@@ -123,8 +125,13 @@ def edited(text: Column, other: Column) -> Column:
 def compared_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document with its edited text (last half from the next document by descending id), the fingerprints of
     both, and how alike its fingerprint is to the edited text's and to the next document's."""
-    rows = with_next(whole_texts(docs, id_col, text_col), ["text", "kept"], lambda d: d.withColumn("kept", kept(F.col("text"))))
-    changed = rows.withColumn("edited_text", edited(F.col("text"), F.col("next_text"))).withColumn("edited_kept", kept(F.col("edited_text")))
+    rows = with_next(whole_texts(docs, id_col, text_col), ["text"])
+    changed = rows.withColumn("edited_text", edited(F.col("text"), F.col("next_text")))
+    # Fingerprints are made after the rows have moved: they would add more to the shuffle than they cost to make.
+    changed = changed.select(
+        "doc_id", "text", "edited_text", kept(F.col("text")).alias("kept"), kept(F.col("next_text")).alias("next_kept"),
+        kept(F.col("edited_text")).alias("edited_kept"),
+    )
     return changed.select(
         "doc_id", "text", "edited_text", fingerprint(F.col("kept")).alias("fingerprint"),
         fingerprint(F.col("edited_kept")).alias("edited_fingerprint"),
