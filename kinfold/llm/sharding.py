@@ -27,7 +27,7 @@ CELL_GROUPS = 50_000
 CELL_ROWS = 100_000
 PARTS = ("bytes", "words", "rows")
 # Weights of the parts in the dot product: bytes are the law, the others are balanced beside it.
-WEIGHTS = np.array([16.0, 1.0, 1.0])
+WEIGHTS = np.array([64.0, 1.0, 1.0])
 
 
 def dot_place(items: np.ndarray, residual: np.ndarray) -> np.ndarray:
@@ -55,31 +55,54 @@ def level(loads: np.ndarray, total: float) -> float:
     return loads[0]
 
 
-def place_large(large: pd.DataFrame, totals: np.ndarray, shards: int):
-    """(pieces, placements, residual): how often each large group is cut, the shard of each piece, what is left."""
+def place_large(items: pd.DataFrame, totals: np.ndarray, shards: int):
+    """(shard of each item, keys without room, residual) for large groups and pieces (key, piece, bytes, words, rows).
+
+    An item goes among the shards with room for its bytes where the dot product is highest; without any, to the emptiest.
+    """
     fair = totals / shards
+    scale = np.maximum(fair, 1e-9)
     residual = np.tile(fair, (shards, 1))
-    large = large.sort_values(["bytes", "rows", "key"], ascending=False)
-    cut, rows = [], []
-    for r in large.itertuples():
-        whole = np.array([r.bytes, r.words, r.rows], float)
-        open_shards = np.flatnonzero(residual[:, 0] >= whole[0])
-        count = 1
-        if not len(open_shards) and r.rows > 1:
-            count = int(min(r.rows, np.ceil(whole[0] / (fair[0] * LARGE))))
-        cut.append((r.key, count))
-        for piece in range(count):
-            item = whole / count
-            inside = np.flatnonzero(residual[:, 0] >= item[0])
-            if not len(inside):
-                inside = np.array([int(np.argmax(residual[:, 0]))])
-            gain = np.maximum(residual[inside], 0.0) / np.maximum(fair, 1e-9) @ (WEIGHTS * item / np.maximum(fair, 1e-9))
-            k = int(inside[np.argmax(gain + 1e-6 * residual[inside, 0] / max(fair[0], 1e-9))])
-            residual[k] -= item
-            rows.append((r.key, piece, k))
+    chosen, homeless = np.zeros(len(items), np.int64), []
+    parts = items[list(PARTS)].to_numpy(float)
+    for i in np.lexsort((items["piece"], items["key"], -parts[:, 2], -parts[:, 0])):
+        inside = np.flatnonzero(residual[:, 0] >= parts[i, 0])
+        if not len(inside):
+            homeless.append(items["key"].iloc[i])
+            inside = np.array([int(np.argmax(residual[:, 0]))])
+        gain = np.maximum(residual[inside], 0.0) / scale @ (WEIGHTS * parts[i] / scale)
+        chosen[i] = k = int(inside[np.argmax(gain + 1e-6 * residual[inside, 0] / scale[0])])
+        residual[k] -= parts[i]
     loads = fair - residual
     heights = np.array([level(loads[:, d], totals[d]) for d in range(3)])
-    return cut, rows, np.maximum(heights - loads, 0.0)
+    return chosen, homeless, np.maximum(heights - loads, 0.0)
+
+
+def _pieces(rows: DataFrame, cuts: dict[str, int]) -> DataFrame:
+    """The rows of groups that are cut, with their piece; cuts are as few as large groups."""
+    table = rows.sparkSession.createDataFrame(list(cuts.items()), "key string, pieces int")
+    return rows.join(F.broadcast(table), "key").withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.col("pieces").cast("long")).cast("int"))
+
+
+def _place_with_cuts(rows: DataFrame, large: pd.DataFrame, totals: np.ndarray, shards: int):
+    """(cuts, placements (key, piece, shard), residual): groups without room are cut, counted and placed again."""
+    cuts: dict[str, int] = {}
+    piece = max(totals[0] / shards * LARGE, 1.0)
+    whole = large.assign(piece=0)[["key", "piece", *PARTS]]
+    homeless = large["key"][large["bytes"] > totals[0] / shards].tolist()
+    while True:
+        several = large[large["key"].isin(homeless) & (large["rows"] > 1) & ~large["key"].isin(cuts)]
+        cuts |= {r.key: int(min(r.rows, np.ceil(r.bytes / piece))) for r in several.itertuples()}
+        items = whole[~whole["key"].isin(cuts)]
+        if cuts:
+            counted = _pieces(rows, cuts).groupBy("key", "piece").agg(
+                F.sum("size").alias("bytes"), F.sum("words").alias("words"), F.count(F.lit(1)).alias("rows")
+            ).toPandas()
+            items = pd.concat([items, counted], ignore_index=True)
+        chosen, homeless, residual = place_large(items, totals, shards)
+        again = large[large["key"].isin(homeless) & (large["rows"] > 1) & ~large["key"].isin(cuts)]
+        if again.empty:
+            return cuts, [(k, int(p), int(c)) for k, p, c in zip(items["key"], items["piece"], chosen)], residual
 
 
 def _place_cell(residual: np.ndarray):
@@ -120,22 +143,21 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     is_large = F.greatest(*[(F.col(c) >= F.lit(max(b, 1.0))).cast("int") for c, b in zip(PARTS, bound)]) == 1
     # At most 3 * shards / LARGE groups can be large.
     large = groups.where(is_large).toPandas()
-    cut, placed, residual = place_large(large, totals, shards)
+    cuts, placed, residual = _place_with_cuts(rows, large, totals, shards)
 
     cells = max(1, -(-int(count or 0) // CELL_GROUPS))
     light = (
         groups.where(~is_large).withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(cells)))
         .groupBy("cell").applyInPandas(_place_cell(residual), "key string, shard int")
     )
-    cuts = F.broadcast(spark.createDataFrame(cut, "key string, pieces int"))
     spots = F.broadcast(spark.createDataFrame(placed, "key string, piece int, shard int"))
-    marked = rows.join(cuts, "key", "left")
-    of_large = marked.where("pieces is not null").withColumn(
-        "piece", F.pmod(F.xxhash64("doc_id"), F.col("pieces").cast("long")).cast("int")
-    ).join(spots, ["key", "piece"])
+    heavy = F.broadcast(spark.createDataFrame([(k,) for k in large["key"]], "key string"))
     columns = ["doc_id", "size", "text_crc32", "shard"]
-    of_light = marked.where("pieces is null").join(light, "key")
-    sharded = materialise(of_large.select(*columns).unionByName(of_light.select(*columns)), "sharded")
+    whole_or_light = rows if not cuts else rows.join(F.broadcast(spark.createDataFrame([(k,) for k in cuts], "key string")), "key", "left_anti")
+    of_cut = _pieces(rows, cuts).join(spots, ["key", "piece"])
+    of_whole = whole_or_light.join(spots.drop("piece"), "key")
+    of_light = rows.join(heavy, "key", "left_anti").join(light, "key")
+    sharded = materialise(of_cut.select(*columns).unionByName(of_whole.select(*columns)).unionByName(of_light.select(*columns)), "sharded")
     return _numbered(sharded).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
