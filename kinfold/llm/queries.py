@@ -91,6 +91,28 @@ QUERIES = {
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 ORACLES = {
+    "op3_chat_formatting": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, role AS r, coalesce(text, '') AS text, text AS x FROM conversations
+           UNION ALL BY NAME
+           SELECT -7 AS conv_id, turn, role, role AS r, '\### Assistant: </turn> ok' AS text, text AS x FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role))
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, r NULLS FIRST, x NULLS FIRST)) AS turns_sha256,
+       CAST(sum(CASE WHEN r = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(string_agg(CASE WHEN r = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, r NULLS FIRST, x NULLS FIRST)) AS loss_sha256,
+       CAST(sum(15 + length(regexp_replace(role, '([\\#<: ])', '\\\1', 'g')) + length(regexp_replace(text, '([\\#<])', '\\\1', 'g'))) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+""",
+    "op4_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT n, array_to_string(w[i:i + 3], ' ') AS g FROM w, LATERAL (SELECT unnest(range(1, greatest(len(w) - 2, least(len(w), 1) + 1))) AS i)),
+size AS (SELECT n, count(*) AS c FROM g GROUP BY n),
+common AS (SELECT a.n AS a, b.n AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.n <> b.n GROUP BY 1, 2),
+links AS (SELECT common.a, common.b FROM common JOIN size x ON x.n = a JOIN size y ON y.n = b WHERE 100 * common.c >= 85 * (x.c + y.c - common.c)),
+reach(a, b) AS (SELECT n, n FROM w UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT w.doc_id, coalesce(any_value(size.c), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM w LEFT JOIN size ON size.n = w.n JOIN reach ON reach.a = w.n JOIN w o ON o.n = reach.b GROUP BY w.n, w.doc_id
+""",
     "op7_source_mixing": f"""
 WITH sized AS (SELECT doc_id, source, CAST({WORDS} AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS HUGEINT) AS c,
