@@ -64,7 +64,10 @@ def log_gamma(x: Column) -> Column:
 
 
 def log_rising(a: Column, y: Column) -> Column:
-    """ln of the rising factorial a (a+1) ... (a+y-1); zero when y = 0."""
+    """ln of the rising factorial a (a+1) ... (a+y-1); zero when y = 0.
+
+    Up to 16 factors are multiplied out, more are a difference of log gammas; the two agree but for rounding.
+    """
     return (
         F.when(y <= 0, F.lit(0.0))
         .when(y == 1, F.log(a))

@@ -100,6 +100,14 @@ def pair_keys(dyads: DataFrame) -> DataFrame:
     )
 
 
+def profile_of_all_pairs(profiled: DataFrame, respondents: DataFrame) -> DataFrame:
+    """A profile of the tied pairs, counted over *all* ordered pairs: untied ones have no missing value."""
+    sizes = respondents.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+    pairs = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1))).first()[0] or 0
+    more = F.lit(pairs) - F.col("row_count")
+    return profiled.withColumn("non_null", F.col("non_null") + more).withColumn("row_count", F.col("row_count") + more)
+
+
 def dyad_totals(dyads: DataFrame, respondents: DataFrame) -> DataFrame:
     """Per group: column totals over *all* ordered pairs, tied or not, without listing them.
 

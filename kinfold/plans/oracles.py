@@ -452,7 +452,8 @@ _BODIES = {
     "scan_csv_na": "SELECT group_id, id, female FROM resp",
     "draws_snapshot": "SELECT model, chain, draw, parameter, category, round(value, 6) AS value FROM long",
     "profile_respondents": _profile("resp", [("id", "string"), ("group_id", "string"), ("female", "int"), ("group_txt", "string"), ("hh_id", "string")]),
-    "profile_dyads": _profile("tied", [("i_id", "string"), ("j_id", "string"), ("lender_ij", "bigint"), ("lender_ji", "bigint"), ("friend_ij", "bigint"), ("family_ij", "bigint")]),
+    "profile_composition": _profile("comp", [("id", "string"), ("lender_ij", "bigint"), ("lender_ji", "bigint"), *[(c, "bigint") for c in CATEGORIES]]),
+    "profile_dyads": _profile("dense", [("i_id", "string"), ("j_id", "string"), ("lender_ij", "bigint"), ("lender_ji", "bigint"), ("friend_ij", "bigint"), ("family_ij", "bigint")]),
     "respondents_primary": "SELECT id, group_id, female FROM resp",
     "respondents": "SELECT id, group_id, female, group_txt, hh_id FROM resp",
     "nominations_kept": "SELECT group_id, i_id, j_id, type, n, i_id || '_' || j_id AS ij_id FROM kept",

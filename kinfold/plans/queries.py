@@ -91,7 +91,13 @@ def profile_respondents(spark, sf_dir):
 
 @query
 def profile_dyads(spark, sf_dir):
-    return tables.profile(Survey(spark, sf_dir).dyads().select("i_id", "j_id", "lender_ij", "lender_ji", "friend_ij", "family_ij"))
+    s = Survey(spark, sf_dir)
+    return network.profile_of_all_pairs(tables.profile(s.dyads().select("i_id", "j_id", "lender_ij", "lender_ji", "friend_ij", "family_ij")), s.respondents)
+
+
+@query
+def profile_composition(spark, sf_dir):
+    return tables.profile(Survey(spark, sf_dir).composed().select("id", "lender_ij", "lender_ji", *CATEGORIES))
 
 
 @query
