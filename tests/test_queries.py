@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as driver
 from kinfold.plans.oracles import ORACLES
-from kinfold.plans.queries import QUERIES
+from kinfold.plans.queries import PREPARED, QUERIES, Fitted
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ("customer", "orders", "nation")
@@ -39,6 +39,14 @@ def agree(spark, name, folder):
     assert lines(found) == lines(expected)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def prepared(spark):
+    """The sample and its draws, written once for all queries."""
+    PREPARED[DATA] = Fitted(spark, DATA)
+    yield
+    del PREPARED[DATA]
+
+
 @pytest.mark.parametrize("name", CHOSEN)
 def test_query_agrees_with_sql(spark, name):
     agree(spark, name, DATA)
