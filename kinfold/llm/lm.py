@@ -4,8 +4,8 @@ Training texts give the counts of all their words. One bucket of words is counte
 subword ids are counted too, and every text gets its part of the base score. A small attention model is trained on
 windows of the training texts: tasks train copies of it, whose weights are averaged after each round.
 
-The model predicts the class of the next subword id: frequent ids are classes of their own, others share a few, where
-ids follow their counts. Texts are cut into blocks of STRIDE ids; a window of two blocks scores the second, so windows
+The model predicts whether a word begins, then the class of the next subword id among those that do or do not begin
+one: frequent ids are classes of their own, others share a few, where ids follow their counts. Texts are cut into blocks of STRIDE ids; a window of two blocks scores the second, so windows
 overlap and each id is scored once, from the ids before it only. A word's probability is that of its first id's class,
 given that a word begins, times a mixture: its share of the training words of that class, if it is in the lexicon of
 frequent words, and its spelling by the attention model up to the next beginning. These add up to one at most.
@@ -36,7 +36,7 @@ ALONE, GROUPS = 112, 16
 WIDTH, STRIDE = 16, 16
 # One window of WINDOW ids for each text, and one more for every WINDOW_EVERY of its words.
 WINDOW, WINDOW_EVERY = 2 * STRIDE, 4096
-COPY_WINDOWS, ROUNDS, BATCH, RATE = 8192, 4, 64, 0.06
+COPY_WINDOWS, ROUNDS, BATCH, RATE = 8192, 3, 64, 0.2
 MOST_PASSES = 12
 BYTES_PER_PAIR = 10
 REMEMBERED = 200_000
@@ -91,7 +91,7 @@ def _spread(buckets: int):
                 # New spellings.
                 distinct, at = np.unique(h, return_index=True)
                 raw = words.data.tobytes()
-                if len(spelled) > 4 * REMEMBERED:
+                if len(spelled) > 2 * REMEMBERED:
                     spelled = set()
                 for x, b, i in zip(distinct.tolist(), bucket_of(distinct, buckets).tolist(), at.tolist()):
                     if x not in spelled:
@@ -240,7 +240,8 @@ class Layout:
             )
         total = np.bincount(self.kind, count, CLASSES)
         self.log_share = np.log(count / total[self.kind]).astype(np.float32)
-        self.bias = np.log(np.maximum(total, 0.5) / total.sum()).astype(np.float32)
+        first, rest = total[:FIRST_CLASSES].sum(), max(0.5, total[FIRST_CLASSES:].sum())
+        self.bias = np.log(np.r_[np.maximum(total[:FIRST_CLASSES], 0.5) / first, np.maximum(total[FIRST_CLASSES:], 0.5) / rest, first / rest])
 
 
 FIRST_CLASSES = ALONE + GROUPS
@@ -248,12 +249,15 @@ CLASSES = 2 * FIRST_CLASSES
 ROWS = OWN_IDS + SHARED_IDS + 2
 SHAPES = {
     "embed": (ROWS, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH), "last": (WIDTH, WIDTH),
-    "near": (2 * STRIDE,), "out": (WIDTH, CLASSES), "bias": (CLASSES,),
+    "near": (2 * STRIDE,), "out": (WIDTH, CLASSES + 1), "bias": (CLASSES + 1,),
 }
 
 
 class Attention:
-    """One causal self-attention layer: what is attended to and the last input give the class of the next id."""
+    """One causal self-attention layer: what is attended to and the last input give the class of the next id.
+
+    Outputs are the logits of the classes and, last, that a word begins; classes of the other kind have no part.
+    """
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = weights
@@ -296,13 +300,17 @@ class Attention:
             p /= np.maximum(p.sum(axis=2, keepdims=True), 1e-9)
             h = np.tanh(p @ v + u)
             z = h @ w["out"] + w["bias"]
+            valid, begins = y >= 0, y < FIRST_CLASSES
+            gate = 1 / (1 + np.exp(-np.clip(z[:, :, -1], -30, 30)))
+            z[:, :, :-1] = np.where((np.arange(CLASSES) < FIRST_CLASSES) == begins[:, :, None], z[:, :, :-1], np.float32(-1e9))
+            z[:, :, -1] = -1e9
             z = np.exp(z - z.max(axis=2, keepdims=True))
             z /= z.sum(axis=2, keepdims=True)
-            valid = y >= 0
             n = max(1, int(valid.sum()))
             z[np.arange(len(x))[:, None], np.arange(span)[None, :], np.maximum(y, 0)] -= 1
+            z[:, :, -1] = gate - begins
             z *= (valid[:, :, None] / n).astype(np.float32)
-            grad = {"out": h.reshape(-1, WIDTH).T @ z.reshape(-1, CLASSES), "bias": z.sum(axis=(0, 1))}
+            grad = {"out": h.reshape(-1, WIDTH).T @ z.reshape(-1, CLASSES + 1), "bias": z.sum(axis=(0, 1))}
             dh = (z @ w["out"].T) * (1 - h * h)
             dp = dh @ v.transpose(0, 2, 1)
             ds = p * (dp - (dp * p).sum(axis=2, keepdims=True))
@@ -315,7 +323,8 @@ class Attention:
             flat, rows = de.reshape(-1, WIDTH), x.ravel()
             grad["embed"] = np.column_stack([np.bincount(rows, flat[:, j], ROWS) for j in range(WIDTH)])
             for name, g in grad.items():
-                g = g.astype(np.float32)
+                # Squares of smaller numbers would leave the range of normal floats.
+                g = np.where(np.abs(g) < 1e-18, 0, g).astype(np.float32)
                 seen[name] += g * g
                 w[name] -= np.float32(RATE if name == "embed" else RATE / 3) * g / np.sqrt(seen[name])
 
@@ -333,9 +342,10 @@ class Attention:
         """
         q, k, v, u = self.tables()
         # The bias is one more input that is always 1; no sum can leave the range of the exponential.
-        out = np.vstack([self.w["out"], self.w["bias"] - self.w["bias"].max()])
-        out = (out * min(1.0, MOST_LOGIT / np.abs(out).sum(axis=0).max())).astype(np.float32)
-        sums = np.column_stack([np.ones(CLASSES), np.arange(CLASSES) < FIRST_CLASSES]).astype(np.float32)
+        out = np.vstack([self.w["out"], self.w["bias"]]).astype(np.float32)
+        out *= min(1.0, MOST_LOGIT / np.abs(out).sum(axis=0).max())
+        kinds_of = (out[:, FIRST_CLASSES:CLASSES].copy(), out[:, :FIRST_CLASSES].copy())
+        ones = np.ones(FIRST_CLASSES, np.float32)
         far = (np.arange(STRIDE)[:, None] + STRIDE) - np.arange(2 * STRIDE)[None, :]
         near = np.where(far >= 0, np.exp(np.clip(self.w["near"][np.clip(far, 0, 2 * STRIDE - 1)], -20, 20)), 0).astype(np.float32)
         target, begins = np.empty(kinds.shape, np.float32), np.empty(kinds.shape, np.float32)
@@ -351,12 +361,18 @@ class Attention:
             seen /= np.maximum(p.sum(axis=2, keepdims=True), 1e-9)
             seen += u[own]
             np.tanh(seen, out=h[:, :, :WIDTH])
-            z = h.reshape(-1, WIDTH + 1) @ out
-            np.exp(z, out=z)
-            total = z @ sums
+            h = h.reshape(-1, WIDTH + 1)
+            gate = h @ out[:, -1]
             y = kinds[a:a + chunk].ravel()
-            target[a:a + chunk] = np.log(z[np.arange(len(y)), y] / total[:, 0]).reshape(-1, STRIDE)
-            begins[a:a + chunk] = np.log(total[:, 1] / total[:, 0]).reshape(-1, STRIDE)
+            one = np.empty(len(y), np.float32)
+            for first, of_kind in enumerate(kinds_of):
+                at = np.flatnonzero((y < FIRST_CLASSES) == bool(first))
+                z = h[at] @ of_kind
+                np.exp(z, out=z)
+                own_class = y[at] - (0 if first else FIRST_CLASSES)
+                one[at] = np.log(z[np.arange(len(at)), own_class] / (z @ ones)) - np.logaddexp(0, -gate[at] if first else gate[at])
+            target[a:a + chunk] = one.reshape(-1, STRIDE)
+            begins[a:a + chunk] = -np.logaddexp(0, -gate).reshape(-1, STRIDE)
         return target, begins
 
 
