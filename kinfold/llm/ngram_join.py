@@ -31,6 +31,9 @@ from kinfold.sources.workspace import materialise
 CLASSES = 3
 # Bytes of text for an n-gram, to size buckets before anything is counted.
 BYTES_PER_GRAM = 6
+# Rounds in which each n-gram gets another leader, before all pairs that are left are verified. They are made while
+# members meet more often than so many times each; the result is the same without them.
+STAR_ROUNDS, FEW_MEETINGS = 4, 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -219,18 +222,34 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _possible(percent: int, x: str, y: str):
-    """Whether two prefixes that meet in an n-gram leave room for the overlap a link needs.
+    """Whether two sets may be linked whose first common n-gram this is: at most what is left from there is common.
 
-    `at` counts n-grams before it in the whole set: matches are at most the shared ones before it, itself, and the rest.
+    `at` counts the n-grams before it in the whole set. A linked pair passes at its first common n-gram, so testing
+    every n-gram in which prefixes meet loses none.
     """
     def c(side, name):
         return F.col(f"{side}.{name}")
 
     small, large = F.least(c(x, "n"), c(y, "n")), F.greatest(c(x, "n"), c(y, "n"))
-    before = F.least(c(x, "at") - c(x, "own"), c(y, "at") - c(y, "own"))
-    after = F.least(c(x, "n") - c(x, "at"), c(y, "n") - c(y, "at"))
-    best = before + after
-    return (100 * small >= percent * large) & ((100 + percent) * best >= percent * (small + large))
+    left = F.least(c(x, "n") - c(x, "at"), c(y, "n") - c(y, "at"))
+    return (100 * small >= percent * large) & ((100 + percent) * left >= percent * (small + large))
+
+
+def _enough(percent: int):
+    """Whether the prefixes of x and y have enough in common for a link.
+
+    What they share outside both prefixes lies beyond the one that ends first, so it is at most the rest of a set
+    after its prefix.
+    """
+    common = F.size(F.array_intersect(F.col("x.grams"), F.col("y.grams")))
+    after = F.greatest(*[F.expr(f"({percent} * {s}.n + 99) div 100 - 1") for s in ("x", "y")])
+    return (100 + percent) * (common + after) >= percent * (F.col("x.n") + F.col("y.n"))
+
+
+def _first():
+    """Whether x and y meet in this n-gram for the first time."""
+    before = [F.slice(F.col(f"{s}.grams"), F.lit(1), F.col(f"{s}.at") - F.col(f"{s}.own")) for s in ("x", "y")]
+    return ~F.arrays_overlap(*before)
 
 
 def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -272,21 +291,51 @@ def classes_and_links(docs: DataFrame, width: int = 4, percent: int = 85, id_col
     tried = materialise(_verify(_ordered(within.unionByName(between), "mark", "leader"), sets, percent), "tried")
     links = tried.where("linked").select("u", "v")
 
-    joined = materialise(components(links), "joined")
+    rest, crowded = _parted(prefixes, links)
+    for turn in range(STAR_ROUNDS):
+        if not crowded:
+            break
+        # Another leader of each n-gram, drawn by hash.
+        draw = rest.groupBy("gram").agg(F.min(F.struct(F.xxhash64("mark", "gram", F.lit(turn)), "mark")).alias("s"))
+        leaders = rest.join(draw.select("gram", F.col("s.mark").alias("chosen")), "gram").where("mark = chosen")
+        star = (
+            rest.alias("x").join(leaders.alias("y"), F.col("x.gram") == F.col("y.gram"))
+            .where("x.component <> y.component").where(_possible(percent, "x", "y"))
+            .select(F.col("x.mark").alias("a"), F.col("y.mark").alias("b"))
+        )
+        new = materialise(_verify(_untried(star, tried), sets, percent), "tried")
+        tried, links = tried.unionByName(new), links.unionByName(new.where("linked").select("u", "v"))
+        rest, crowded = _parted(prefixes, links)
+    meets = F.col("x.component") < F.col("y.component")
+    if crowded:
+        # Whole prefixes go along where many pairs meet often, so that each pair is made once and most are refuted.
+        rest = rest.join(prefixes.select("mark", "grams"), "mark")
+        meets = meets & _possible(percent, "x", "y") & _first() & _enough(percent)
+    else:
+        meets = meets & _possible(percent, "x", "y")
+    pairs = rest.alias("x").join(rest.alias("y"), "gram").where(meets).select(F.col("x.mark").alias("a"), F.col("y.mark").alias("b"))
+    more = _verify(_untried(pairs, tried), sets, percent).where("linked").select("u", "v")
+    return documents, materialise(links.unionByName(more), "links")
+
+
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    return _ordered(pairs, "a", "b").join(tried.select("u", "v"), ["u", "v"], "left_anti")
+
+
+def _parted(prefixes: DataFrame, links: DataFrame):
+    """Rows (mark, n, own, component, gram, at) of the n-grams whose members are in several components, and whether
+    members meet there more than FEW_MEETINGS times each."""
+    joined = components(links)
     members = (
         prefixes.join(joined, F.col("mark") == F.col("node"), "left")
         .select("mark", "n", "own", F.coalesce("component", "mark").alias("component"), F.posexplode("grams").alias("k", "gram"))
-        .withColumn("at", F.col("own") + F.col("k"))
+        .withColumn("at", F.col("own") + F.col("k")).drop("k")
     )
     parted = members.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gram")
-    rest = materialise(members.join(parted, "gram").drop("k"), "rest")
-    open_pairs = (
-        rest.alias("x").join(rest.alias("y"), "gram").where("x.component < y.component").where(_possible(percent, "x", "y"))
-        .select(F.col("x.mark").alias("a"), F.col("y.mark").alias("b"))
-    )
-    left = _ordered(open_pairs, "a", "b").join(tried.select("u", "v"), ["u", "v"], "left_anti")
-    more = _verify(left, sets, percent).where("linked").select("u", "v")
-    return documents, materialise(links.unionByName(more), "links")
+    rest = materialise(members.join(parted, "gram"), "rest")
+    by_gram = rest.groupBy("gram").agg(F.count(F.lit(1)).cast("double").alias("m"))
+    rows, meetings = by_gram.agg(F.sum("m"), F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()
+    return rest, bool(rows) and meetings > FEW_MEETINGS * rows
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
