@@ -2,7 +2,7 @@
 
 Training texts give the counts of all their words. One bucket of words is counted in one place; there the words'
 subword ids are counted too, and every text gets its part of the base score. A small attention model is trained on
-windows of the training texts: tasks train copies of it, whose weights are averaged after each round.
+all ids of the training texts, in consecutive windows: tasks train copies of it, whose weights are averaged after each round.
 
 The model predicts whether a word begins, then the class of the next subword id among those that do or do not begin
 one: frequent ids are classes of their own, others share a few, where ids follow their counts. Texts are cut into blocks of STRIDE ids; a window of two blocks scores the second, so windows
@@ -34,9 +34,9 @@ OWN_IDS, SHARED_IDS = 1024, 64
 # Classes: the most frequent ids alone, the others in groups, for ids that begin a word and for the rest.
 ALONE, GROUPS = 112, 16
 WIDTH, STRIDE = 16, 16
-# One window of WINDOW ids for each text, and one more for every WINDOW_EVERY of its words.
-WINDOW, WINDOW_EVERY = 2 * STRIDE, 4096
-COPY_WINDOWS, ROUNDS, BATCH, RATE = 8192, 3, 64, 0.2
+# Targets of a training window.
+WINDOW = 2 * STRIDE
+COPY_WINDOWS, ROUNDS, BATCH, RATE = 8192, 4, 64, 0.2
 MOST_PASSES = 12
 BYTES_PER_PAIR = 10
 REMEMBERED = 200_000
@@ -461,47 +461,38 @@ def layout_of(fields: dict) -> Layout:
 # ---------------------------------------------------------------- training
 
 def _windows(held, held_layout):
-    """Training windows of input rows and target classes, placed by the text's hash."""
+    """Training windows of input rows and target classes: each text's ids and its end in order, each a target once."""
 
     def task(batches):
         subwords, layout = Subwords(Vocabulary.of(held.value)), layout_of(held_layout.value)
         for batch in batches:
-            refs = batch.column("ref").to_numpy(zero_copy_only=False).view(np.uint64)
-            for first, texts in slices(batch.column("text")):
+            seats = batch.column("seat").to_numpy(zero_copy_only=False).view(np.uint64)
+            for first, texts in slices(batch.column("text"), PASS):
                 words = words_of(texts)
-                n = words.per_doc()
-                word_at = np.r_[0, np.cumsum(n)]
-                ref = refs[first:first + len(texts)]
-                of = np.repeat(np.arange(len(texts)), 1 + n // WINDOW_EVERY)
+                ids, per_word = subwords.of(words, words.hashes())
+                per_text = np.bincount(words.doc, per_word, words.docs).astype(np.int64)
+                windows = -(-(per_text + 1) // WINDOW)
+                base = np.r_[0, np.cumsum(windows * WINDOW)]
+                x, y = np.full(base[-1], NOTHING, np.int16), np.full(base[-1], -1, np.int16)
+                x[base[:-1]] = BEGIN
+                x[ragged(base[:-1] + 1, per_text)] = layout.row[ids]
+                y[ragged(base[:-1], per_text)] = layout.kind[ids]
+                y[base[:-1] + per_text] = layout.kind[layout.end]
+                of = np.repeat(np.arange(len(texts)), windows)
                 turn = (np.arange(len(of)) - np.searchsorted(of, of)).astype(np.uint64)
-                # Words from a hashed place on, as many as a window can need.
-                draw = mix(ref[of] + turn * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                place = (draw % (n[of] + 1).astype(np.uint64)).astype(np.int64)
-                place = np.where(draw % np.uint64(8) == 0, 0, np.minimum(place, np.maximum(0, n[of] - 8)))
-                length = np.minimum(n[of] - place, WINDOW)
-                pick = ragged(word_at[of] + place, length)
-                part = type(words)(words.data, np.repeat(np.arange(len(of)), length), words.start[pick], words.end[pick], len(of))
-                ids, per_word = subwords.of(part, part.hashes())
-                per_text = np.bincount(part.doc, per_word, len(of)).astype(np.int64)
-                at = np.r_[0, np.cumsum(per_text)]
-                x, y = np.full((len(of), WINDOW), NOTHING, np.int16), np.full((len(of), WINDOW), -1, np.int16)
-                for i in range(len(of)):
-                    own = ids[at[i]:at[i + 1]]
-                    ends = place[i] + length[i] == n[of[i]]
-                    seq = np.r_[own, [layout.end]] if ends else own
-                    begin = place[i] == 0
-                    inputs = np.r_[[BEGIN], layout.row[own]] if begin else layout.row[own]
-                    outputs = seq if begin else seq[1:]
-                    m = min(WINDOW, len(outputs))
-                    x[i, :m], y[i, :m] = inputs[:m], layout.kind[outputs[:m]]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(mix(ref[of] ^ (turn + np.uint64(1))).view(np.int64)),
-                    pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in y], pa.binary()),
-                ], names=["draw", "x", "y"])
+                draw = mix(mix(seats[first:first + len(texts)])[of] + turn * np.uint64(0x9E3779B97F4A7C15))
+                yield pa.RecordBatch.from_arrays([pa.array(draw.view(np.int64)), _rows_of(x), _rows_of(y)], names=["draw", "x", "y"])
 
     return task
 
 
+def _rows_of(flat: np.ndarray) -> pa.Array:
+    """Each WINDOW numbers as one binary value."""
+    n = len(flat) // WINDOW
+    ends = np.arange(n + 1, dtype=np.int32) * np.int32(WINDOW * flat.itemsize)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+
+
 def _train_copy(flat, number: int):
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["draw", "x", "y"])
@@ -517,7 +508,7 @@ def _train_copy(flat, number: int):
 
 
 def train(spark: SparkSession, windows: DataFrame, bias: np.ndarray, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Weights averaged over copies; a copy has about COPY_WINDOWS windows, so copies grow in number with the texts."""
+    """Weights averaged over copies; a copy has about COPY_WINDOWS windows, so copies grow in number with the ids."""
     weights = Attention.start(bias)
     copies = max(1, -(-windows.count() // COPY_WINDOWS))
     dealt = windows.withColumn("copy", F.pmod(F.xxhash64("draw"), F.lit(copies)))
@@ -560,9 +551,9 @@ def learn(texts: DataFrame, tokenizer_file: str):
     begins = np.array([vocabulary.content[s] == 32 if n else False for s, n in zip(vocabulary.starts, vocabulary.lengths)])
     layout = Layout(dict(zip(ids["key"].tolist(), ids["n"].tolist())), rows, begins)
     held_layout = spark.sparkContext.broadcast(vars(layout))
-    windows = materialise(
-        texts.where("train").select("ref", "text").mapInArrow(_windows(fields, held_layout), "draw long, x binary, y binary"), "windows"
-    )
+    # Rows of one text have seats of their own, so its copies are dealt out too.
+    seated = texts.where("train").select(F.xxhash64("ref", "doc_id").alias("seat"), "text")
+    windows = materialise(seated.mapInArrow(_windows(fields, held_layout), "draw long, x binary, y binary"), "windows")
     weights = train(spark, windows, layout.bias)
     return Model.fields(layout, weights, lexicon, totals["all"], totals["once"]), base, totals["all"], totals["distinct"], rows
 

@@ -376,6 +376,30 @@ def test_attention_scores_each_id_once_and_adds_up():
         assert np.exp(layout.log_share[layout.kind == kind]).sum() == pytest.approx(1, abs=1e-3)
 
 
+class Held:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_training_windows_hold_each_id_once():
+    vocabulary = bpe.Vocabulary(TOKENIZER)
+    layout = lm.Layout({i: 5 for i in range(500)}, 3, np.arange(len(vocabulary.starts)) % 2 == 0)
+    rng = np.random.default_rng(4)
+    body = ["", "one", " ".join(rng.choice(["ba", "ke", "mirun", "soa"], 31)), " ".join(rng.choice(["ba", "ke", "mirun", "soa"], 4000)), None, "one"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array(range(6), pa.int64()), pa.array(body)], names=["seat", "ref", "text"])
+    parts = list(lm._windows(Held(vars(vocabulary)), Held(vars(layout)))([batch]))
+    x, y = (np.frombuffer(b"".join(v for p in parts for v in p.column(c).to_pylist()), np.int16) for c in ("x", "y"))
+    inputs, targets = [], []
+    for text in body:
+        w = words.words_of(pa.array([text or ""], pa.large_string()))
+        ids, _ = lm.Subwords(vocabulary).of(w, w.hashes())
+        inputs += [lm.BEGIN, *layout.row[ids]]
+        targets += [*layout.kind[ids], layout.kind[layout.end]]
+    assert len(targets) > 4000 and y[y >= 0].tolist() == targets and x[y >= 0].tolist() == inputs
+    draws = np.concatenate([p.column("draw").to_numpy() for p in parts])
+    assert len(np.unique(draws)) == len(draws) == len(x) // lm.WINDOW
+
+
 def test_training_lowers_the_loss():
     rng = np.random.default_rng(7)
     layout = lm.Layout({i: 10 for i in range(40)}, 3, np.arange(40) % 3 == 0)
