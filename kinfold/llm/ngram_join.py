@@ -18,6 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ BYTES_PER_GRAM = 6
 STAR_ROUNDS, FEW_MEETINGS = 4, 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
+_DIGEST = np.dtype([("both", "<u8"), ("row", "<u8"), ("null", "u1")])
 
 
 def least_overlap(n, percent: int):
@@ -81,7 +83,7 @@ def _spread(width: int, buckets: int, classes: int, chosen_classes: bool):
     """Pairs (class, n-gram) dealt out by n-gram, a class once a task.
 
     With `chosen_classes`, input rows name the class they stand for; otherwise every document also gives a
-    digest (document, class, set size, counted n-grams).
+    digest (document, class, set size, counted n-grams, row, whether its id is null).
     """
 
     def task(batches):
@@ -92,7 +94,10 @@ def _spread(width: int, buckets: int, classes: int, chosen_classes: bool):
             return _flagged(pack(o, k, np.zeros(len(k), np.uint8), bucket_of(k, buckets)), False)
 
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            # With nulls in it a column of ids would come as floats.
+            ids = pc.fill_null(batch.column("doc_id"), 0).to_numpy(zero_copy_only=False)
+            null = pc.is_null(batch.column("doc_id")).to_numpy(zero_copy_only=False)
+            line = batch.column("row").to_numpy(zero_copy_only=False).view(np.uint64)
             named = batch.column("mark").to_numpy(zero_copy_only=False).view(np.uint64) if chosen_classes else None
             for first, texts in slices(batch.column("text")):
                 offsets, flat, marks = gram_sets(texts, width)
@@ -102,8 +107,10 @@ def _spread(width: int, buckets: int, classes: int, chosen_classes: bool):
                 if not chosen_classes:
                     counted = np.bincount(owner[take], minlength=len(marks))
                     own = ids[first:first + len(marks)].view(np.uint64)
-                    both = sizes.astype(np.uint64) | (counted.astype(np.uint64) << np.uint64(32))
-                    yield _flagged(pack(marks, own, both, bucket_of(mix(own), buckets)), True)
+                    digest = np.empty(len(marks), _DIGEST)
+                    digest["both"] = sizes.astype(np.uint64) | (counted.astype(np.uint64) << np.uint64(32))
+                    digest["row"], digest["null"] = line[first:first + len(marks)], null[first:first + len(marks)]
+                    yield _flagged(pack(marks, own, digest, bucket_of(mix(digest["row"]), buckets)), True)
                 fresh = np.zeros(len(marks), bool)
                 for i, m in enumerate(marks.tolist()):
                     fresh[i] = m not in seen and (named is None or named[first + i] == marks[i])
@@ -131,22 +138,24 @@ def _by_key(owners, keys):
     return owners, keys, np.repeat(df, df)
 
 
-DIGEST = "doc_id long, mark long, n long, counted long, shared long"
+DIGEST = "doc_id long, mark long, n long, counted long, shared long, row long"
 
 
 def _shared_counts(rows: pd.DataFrame) -> pd.DataFrame:
     """The digests, and for each class how many of its n-grams here another class has too (`n` is null)."""
-    marks, ids, both = unpack(rows[rows["digest"]], "u8")
+    marks, ids, digest = unpack(rows[rows["digest"]], _DIGEST)
+    both = digest["both"]
     digests = pa.table({
-        "doc_id": ids.view(np.int64), "mark": marks.view(np.int64), "n": (both & _LOW).astype(np.int64),
+        "doc_id": pa.array(ids.view(np.int64), mask=digest["null"] == 1), "mark": marks.view(np.int64), "n": (both & _LOW).astype(np.int64),
         "counted": (both >> np.uint64(32)).astype(np.int64), "shared": np.zeros(len(ids), np.int64),
+        "row": np.ascontiguousarray(digest["row"]).view(np.int64),
     })
     owners, _, df = _by_key(*unpack(rows[~rows["digest"]], "u1")[:2])
     marks, shared = np.unique(owners[df > 1], return_counts=True)
     nothing = pa.nulls(len(marks), pa.int64())
     counts = pa.table({
         "doc_id": nothing, "mark": marks.view(np.int64), "n": nothing, "counted": nothing,
-        "shared": shared.astype(np.int64),
+        "shared": shared.astype(np.int64), "row": nothing,
     })
     return pa.concat_tables([digests, counts]).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
 
@@ -259,6 +268,8 @@ def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
 def classes_and_links(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text"):
     """(documents, links): each document's class and set size; verified links (u, v) that connect the classes."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # A row is found again by its id and text, so neither a null id nor other texts of its id are in the way.
+    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
     buckets = buckets_for(text_volume(docs) / BYTES_PER_GRAM / CLASSES)
     spread = docs.mapInArrow(_spread(width, buckets, CLASSES, False), SCHEMA + ", digest boolean")
     counted = materialise(spread.groupBy("bucket").applyInPandas(_shared_counts, DIGEST), "counted")
@@ -266,10 +277,10 @@ def classes_and_links(docs: DataFrame, width: int = 4, percent: int = 85, id_col
 
     need = f"(({percent} * n + 99) div 100)"
     classes = counted.groupBy("mark").agg(
-        F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("counted").alias("counted"), F.sum("shared").alias("shared")
+        F.min("row").alias("row"), F.max("n").alias("n"), F.max("counted").alias("counted"), F.sum("shared").alias("shared")
     )
-    open_classes = classes.where(f"n > 0 and counted - shared <= n - {need}").select("doc_id", "mark")
-    again = docs.join(open_classes, "doc_id")
+    open_classes = classes.where(f"n > 0 and counted - shared <= n - {need}").select("row", "mark")
+    again = docs.join(open_classes, "row")
     sets = materialise(
         again.mapInArrow(_spread(width, buckets, 1, True), SCHEMA + ", digest boolean").drop("digest")
         .groupBy("bucket").applyInPandas(_with_frequency(buckets), SCHEMA)
@@ -349,19 +360,25 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     documents, links = classes_and_links(docs, width, percent, id_col, text_col)
     joined = components(links)
     classes = (
-        documents.where("n > 0").groupBy("mark").agg(F.min("doc_id").alias("first"))
+        documents.where("n > 0").groupBy("mark").agg(_smallest("doc_id").alias("first"))
         .join(joined, F.col("mark") == F.col("node"), "left")
         .select("mark", "first", F.coalesce("component", "mark").alias("component"))
     )
-    least = classes.groupBy("component").agg(F.min("first").alias("component_id"))
+    least = classes.groupBy("component").agg(_smallest("first").alias("component_id"))
     named = classes.join(least, "component").select(F.col("mark").alias("class_mark"), "component_id")
     return documents.join(named, (F.col("mark") == F.col("class_mark")) & (F.col("n") > 0), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class_mark").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
 
 
+def _smallest(column: str):
+    """The smallest value, where null comes first."""
+    return F.min(F.struct(column))[column]
+
+
 def keep_one_of_each(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """The documents whose id is the smallest of their component, with all their columns."""
+    """The documents whose id is the smallest of their component, with all their columns. Null is an id like others and
+    comes first, so all rows of a null id stay."""
     found = jaccard_components(docs, width, percent)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay, F.col("doc_id") == F.col("stays"), "left_semi")
+    stay = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("stays")).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")

@@ -203,6 +203,39 @@ def test_ngram_join(spark, docs, empty, table, width, percent):
         assert ngram_join.jaccard_components(docs).count() == len(table)
 
 
+NULL = -(1 << 63)
+
+
+def against_brute_force(spark, rows, width=5, percent=80):
+    """Components and what stays of (doc_id, text), where a null id is the smallest of all."""
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    sets, expected = brute_components([(NULL if d is None else d, t) for d, t in rows], width, percent)
+    component = {d: None if expected[NULL if d is None else d] == NULL else expected[d] for d, _ in rows}
+    found = ngram_join.jaccard_components(frame, width, percent).collect()
+    assert collections.Counter(tuple(r) for r in found) == collections.Counter((d, len(s), component[d]) for (d, _), s in zip(rows, sets))
+    kept = ngram_join.keep_one_of_each(frame, width, percent).collect()
+    assert collections.Counter(tuple(r) for r in kept) == collections.Counter(r for r in rows if component[r[0]] == r[0])
+    return component
+
+
+def near_texts(seed, groups, members=3):
+    """Groups of texts in each of which any two are linked."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(groups):
+        base = [f"w{k}" for k in rng.integers(0, 5000, 80)]
+        out.append([" ".join([*base, *(f"tail{k}" for k in range(m))]) for m in range(members)])
+    return out
+
+
+def test_ngram_join_with_null_and_large_ids(spark):
+    a, b, c, d = near_texts(1, 4)
+    big = (1 << 60) + 1
+    rows = [(None, a[0]), (big, a[1]), (big + 2, a[2]), (big + 4, b[0]), (big + 5, b[1]), (7, c[0]), (big + 8, c[1]), (None, d[0]), (None, "alone here"), (None, ""), (big + 10, None)]
+    component = against_brute_force(spark, rows)
+    assert component[big] is None and component[big + 5] == big + 4 and component[big + 8] == 7
+
+
 def test_quality_learns_and_keeps_its_columns(spark, docs, empty, table):
     rng = np.random.default_rng(2)
     good = [" ".join(rng.choice(["ka", "lo", "mirun", "tev", "soa"], 80)) for _ in range(300)]
