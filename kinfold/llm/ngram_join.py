@@ -113,8 +113,9 @@ def _spread(width: int, buckets: int, classes: int, chosen_classes: bool):
                     yield _flagged(pack(marks, own, digest, bucket_of(mix(digest["row"]), buckets)), True)
                 fresh = np.zeros(len(marks), bool)
                 for i, m in enumerate(marks.tolist()):
-                    fresh[i] = m not in seen and (named is None or named[first + i] == marks[i])
-                    seen.add(m)
+                    if m not in seen and (named is None or named[first + i] == marks[i]):
+                        fresh[i] = True
+                        seen.add(m)
                 take &= fresh[owner]
                 owners.append(marks[owner[take]])
                 keys.append(flat[take])
@@ -358,7 +359,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     an empty result; other columns are ignored. A null id counts as the smallest.
     """
     documents, links = classes_and_links(docs, width, percent, id_col, text_col)
-    joined = components(links)
+    joined = components(links.unionByName(_of_one_document(documents)))
     classes = (
         documents.where("n > 0").groupBy("mark").agg(_smallest("doc_id").alias("first"))
         .join(joined, F.col("mark") == F.col("node"), "left")
@@ -366,9 +367,24 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     )
     least = classes.groupBy("component").agg(_smallest("first").alias("component_id"))
     named = classes.join(least, "component").select(F.col("mark").alias("class_mark"), "component_id")
-    return documents.join(named, (F.col("mark") == F.col("class_mark")) & (F.col("n") > 0), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class_mark").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    filled = documents.where("n > 0").join(named, F.col("mark") == F.col("class_mark")).select("doc_id", "n", "component_id")
+    # A row with an empty set is in the component of its document's other rows, if it has any.
+    empty = documents.where("n = 0").select("doc_id", "n")
+    others = (
+        filled.join(empty.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
+        .groupBy("doc_id").agg(_smallest("component_id").alias("component_id")).select(F.col("doc_id").alias("own"), "component_id", F.lit(True).alias("found"))
+    )
+    alone = empty.join(others, F.col("doc_id") == F.col("own"), "left").select(
+        "doc_id", "n", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
+    return filled.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _of_one_document(documents: DataFrame) -> DataFrame:
+    """Links (u, v) between the classes of one doc_id. Null needs none: each of its components has null as smallest id."""
+    named = documents.where("n > 0 and doc_id is not null")
+    several = named.groupBy("doc_id").agg(F.min("mark").alias("u"), F.max("mark").alias("v")).where("u < v").select("doc_id", "u")
+    return named.join(several, "doc_id").select("u", F.col("mark").alias("v")).where("u <> v").distinct()
 
 
 def _smallest(column: str):

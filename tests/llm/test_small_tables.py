@@ -236,6 +236,25 @@ def test_ngram_join_with_null_and_large_ids(spark):
     assert component[big] is None and component[big + 5] == big + 4 and component[big + 8] == 7
 
 
+def test_ngram_join_with_several_texts_of_one_id(spark):
+    a, b, c, d = near_texts(2, 4)
+    rows = [(1, a[0]), (1, b[0]), (1, c[0]), (20, a[1]), (21, b[1]), (22, c[1]), (30, d[0]), (31, d[1]), (31, a[2]), (40, ""), (40, c[2]), (41, ""), (41, None)]
+    component = against_brute_force(spark, rows)
+    assert {component[k] for k in (20, 21, 22, 30, 31, 40)} == {1} and component[41] == 41
+
+
+def test_second_pass_sends_every_named_class():
+    first, second = near_texts(5, 2, members=1)
+    column = pa.array([first[0], second[0]], pa.large_string())
+    marks = ngram_join.gram_sets(column, 4)[2].view(np.int64)
+    pairs = [(t, m) for t in (0, 1) for m in marks.tolist()]
+    batch = pa.RecordBatch.from_arrays([
+        pa.array([1] * 4), pa.array([3] * 4), pa.array([column[t].as_py() for t, _ in pairs], pa.large_string()), pa.array([m for _, m in pairs], pa.int64())
+    ], names=["doc_id", "row", "text", "mark"])
+    sent = [np.frombuffer(o, np.int64) for out in ngram_join._spread(4, 128, 1, True)([batch]) for o in out.column("owners").to_pylist()]
+    assert set(np.concatenate(sent).tolist()) == set(marks.tolist())
+
+
 def test_quality_learns_and_keeps_its_columns(spark, docs, empty, table):
     rng = np.random.default_rng(2)
     good = [" ".join(rng.choice(["ka", "lo", "mirun", "tev", "soa"], 80)) for _ in range(300)]
