@@ -7,8 +7,9 @@ all ids of the training texts, in consecutive windows: tasks train copies of it,
 The model predicts whether a word begins, then the class of the next subword id among those that do or do not begin
 one: frequent ids are classes of their own, others share a few, where ids follow their counts. Texts are cut into blocks of STRIDE ids; a window of two blocks scores the second, so windows
 overlap and each id is scored once, from the ids before it only. A word's probability is that of its first id's class,
-given that a word begins, times a mixture: its share of the training words of that class, if it is in the lexicon of
-frequent words, and its spelling by the attention model up to the next beginning. These add up to one at most.
+given that a word begins, times a mixture: its share of the training words of that class, and its spelling by the
+attention model up to the next beginning. These add up to one at most. Counts of frequent words are broadcast; those of
+all others come with the texts that hold them.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from kinfold.llm.words import mix, slices, span_hashes, words_of
 from kinfold.sources.workspace import materialise
 
 FOLDS, HELD_FOLD = 7, 2
-# Words whose share of all training words is at least one in this many have a share of their own in the mixture.
-LEXICON = 1 << 19
+# About as many words may have their counts broadcast; the limit on a word's count grows with the bytes of text, and
+# the result is the same at any limit.
+LEXICON, BYTES_PER_WORD = 1 << 19, 6
 # Least part of the mixture for shares and for spelling.
 LEAST_PART = 0.02
 # Ids with an embedding of their own, and embeddings the others share.
@@ -113,11 +115,14 @@ def _spread(buckets: int):
     return task
 
 
-STATS = "kind string, key long, n long, first long, owners binary, sums binary, known binary"
+STATS = "kind string, key long, n long, owners binary, sums binary, known binary, rare binary"
+_RARE = np.dtype([("ref", "<u8"), ("word", "<u8"), ("n", "<u4")])
+_WORD = np.dtype([("word", "<u8"), ("n", "<u4")])
 
 
-def _count(vocabulary_fields, lexicon_share: float):
-    """From all pairs of a bucket's words: counts, frequent words, ids, and each text's part of the base score."""
+def _count(vocabulary_fields, least: int, buckets: int):
+    """From all pairs of a bucket's words: counts, words that occur `least` times, ids, and each text's part of the base
+    score with its other training words."""
     held = vocabulary_fields
 
     def reduce(rows: pd.DataFrame) -> pd.DataFrame:
@@ -135,7 +140,7 @@ def _count(vocabulary_fields, lexicon_share: float):
         log = np.repeat(np.log10(count + 1.0), size)
         known = np.repeat(count > 0, size)
         total = int(count.sum())
-        out = [(kind, 0, n, 0, None, None, None) for kind, n in (("all", total), ("distinct", int((count > 0).sum())), ("once", int((count == 1).sum())))]
+        out = [(kind, 0, n, None, None, None, None) for kind, n in (("all", total), ("distinct", int((count > 0).sum())), ("once", int((count == 1).sum())))]
         # Ids of all training words.
         texts = pa.array([b" ".join(rows["spelling"]).decode()], pa.large_string())
         spelled = words_of(texts, lower=False)
@@ -146,38 +151,54 @@ def _count(vocabulary_fields, lexicon_share: float):
         ids, lengths = word_ids(vocabulary, spelled.data, spelled.start[at], spelled.end[at])
         per_id = np.bincount(ids, np.repeat(seen, lengths)).astype(np.int64)
         used = np.flatnonzero(per_id)
-        out += [("id", i, c, 0, None, None, None) for i, c in zip(used.tolist(), per_id[used].tolist())]
-        often = np.flatnonzero(seen >= total * lexicon_share)
-        first = ids[np.r_[0, np.cumsum(lengths)[:-1]][often]] if len(often) else often
+        out += [("id", i, c, None, None, None, None) for i, c in zip(used.tolist(), per_id[used].tolist())]
+        first = ids[np.r_[0, np.cumsum(lengths)[:-1]].astype(np.int64)[:len(at)]]
+        per_first = np.bincount(first, seen).astype(np.int64)
+        used = np.flatnonzero(per_first)
+        out += [("first", i, c, None, None, None, None) for i, c in zip(used.tolist(), per_first[used].tolist())]
+        often = np.flatnonzero(seen >= least)
         word = hashes[known_words][often].view(np.int64)
-        out += [("word", k, c, i, None, None, None) for k, c, i in zip(word.tolist(), seen[often].tolist(), first.tolist())]
+        out += [("word", k, c, None, None, None, None) for k, c in zip(word.tolist(), seen[often].tolist())]
         # Base score by text, dealt out by text.
         order = np.argsort(owners, kind="stable")
         owners, log, known, times = owners[order], log[order], known[order], times[order]
+        per_pair = np.repeat(count, size)[order]
+        other = known & (per_pair < least)
+        rare = np.empty(int(other.sum()), _RARE)
+        rare["ref"], rare["word"], rare["n"] = owners[other], keys[order][other], per_pair[other]
+        rare_part = bucket_of(rare["ref"], buckets)
         head = runs(owners)
         if len(head):
             sums, knowns = np.add.reduceat(log * times, head), np.add.reduceat(known * times, head).astype(np.uint32)
-            part = (owners[head] >> np.uint64(57)).astype(np.int64)
-            place = np.argsort(part, kind="stable")
-            cuts = runs(part[place])
-            for a, b in zip(cuts, np.r_[cuts[1:], len(place)]):
-                p = place[a:b]
-                out.append(("text", int(part[p[0]]), len(p), 0, owners[head][p].tobytes(), sums[p].tobytes(), knowns[p].tobytes()))
-        return pd.DataFrame(out, columns=["kind", "key", "n", "first", "owners", "sums", "known"])
+            part = bucket_of(owners[head], buckets)
+            cuts = runs(part)
+            for a, b in zip(cuts, np.r_[cuts[1:], len(part)]):
+                low, high = np.searchsorted(rare_part, [part[a], part[a] + 1])
+                out.append(("text", int(part[a]), int(b - a), owners[head][a:b].tobytes(), sums[a:b].tobytes(), knowns[a:b].tobytes(), rare[low:high].tobytes()))
+        return pd.DataFrame(out, columns=["kind", "key", "n", "owners", "sums", "known", "rare"])
 
     return reduce
 
 
 def _base_sums(rows: pd.DataFrame) -> pd.DataFrame:
-    """Each text's sum of log10(c + 1) over its words, and how many of them are known."""
+    """Each text's sum of log10(c + 1) over its words, how many of them are known, and its words that are not broadcast."""
     owners = np.frombuffer(b"".join(rows["owners"]), "u8")
     sums, known = np.frombuffer(b"".join(rows["sums"]), "f8"), np.frombuffer(b"".join(rows["known"]), "u4")
     order = np.lexsort((sums, owners))
     owners, sums, known = owners[order], sums[order], known[order].astype(np.int64)
     head = runs(owners)
     if not len(head):
-        return pd.DataFrame({"ref": [], "base": [], "n_known": []})
-    return pd.DataFrame({"ref": owners[head].view(np.int64), "base": np.add.reduceat(sums, head), "n_known": np.add.reduceat(known, head)})
+        return pd.DataFrame({"ref": [], "base": [], "n_known": [], "rare": []})
+    refs = owners[head]
+    rare = np.frombuffer(b"".join(rows["rare"]), _RARE)
+    rare = rare[np.argsort(rare["ref"], kind="stable")]
+    pairs = np.empty(len(rare), _WORD)
+    pairs["word"], pairs["n"] = rare["word"], rare["n"]
+    low, high = np.searchsorted(rare["ref"], refs), np.searchsorted(rare["ref"], refs, "right")
+    return pd.DataFrame({
+        "ref": refs.view(np.int64), "base": np.add.reduceat(sums, head), "n_known": np.add.reduceat(known, head),
+        "rare": [pairs[a:b].tobytes() for a, b in zip(low, high)],
+    })
 
 
 def word_ids(vocabulary, data, start, end):
@@ -402,13 +423,13 @@ def sequences(layout: Layout, ids: np.ndarray, per_text: np.ndarray):
 
 
 class Model:
-    """Layout, attention weights, shares of frequent words; scores whole texts."""
+    """Layout, attention weights, counts of frequent words and of all words by class; scores whole texts."""
 
     def __init__(self, fields: dict):
         vars(self).update(fields)
 
-    def score(self, words, hashes, subwords: Subwords) -> np.ndarray:
-        """log10 probability of each text, whatever its length."""
+    def score(self, words, hashes, subwords: Subwords, rare: np.ndarray) -> np.ndarray:
+        """log10 probability of each text, whatever its length; `rare` (word, n) are words of theirs beside the lexicon."""
         n = words.per_doc()
         ids, per_word = subwords.of(words, hashes)
         per_text = np.bincount(words.doc, per_word, words.docs).astype(np.int64)
@@ -426,24 +447,28 @@ class Model:
         spelled = target + shares
         spelled[first] = shares[first]
         spelling = np.add.reduceat(spelled, first)[is_word] + begins[np.r_[first[1:], 0]][is_word]
-        share = np.zeros(len(hashes))
-        if len(self.lexicon):
-            at = np.minimum(np.searchsorted(self.lexicon, hashes), len(self.lexicon) - 1)
-            share = np.where(self.lexicon[at] == hashes, self.shares[at], 0.0)
+        count = np.zeros(len(hashes))
+        own, at = np.unique(rare["word"], return_index=True)
+        for keys, counts in ((self.lexicon, self.counts), (own, rare["n"][at])):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                count = np.where(keys[at] == hashes, counts[at], count)
+        begin = np.r_[0, np.cumsum(per_word)[:-1]].astype(np.int64)[:len(hashes)]
+        share = count / np.maximum(1.0, self.totals)[self.layout.kind[ids[begin]]]
         log[is_word] += np.log(self.part * share + (1 - self.part) * np.exp(spelling))
         return np.add.reduceat(log, np.r_[0, np.cumsum(units)[:-1]]) / np.log(10)
 
     @staticmethod
-    def fields(layout: Layout, weights, words: pd.DataFrame, total: int, once: int) -> dict:
-        """`words` (key, n, first) are the lexicon; the part of shares is what training words not seen once leave."""
+    def fields(layout: Layout, weights, words: pd.DataFrame, firsts: pd.DataFrame, total: int, once: int) -> dict:
+        """`words` (key, n) are the lexicon, `firsts` (key, n) the training words by first id; the part of shares is what
+        training words not seen once leave."""
         key = words["key"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(key)
-        count = words["n"].to_numpy(float)[order]
-        kind = layout.kind[words["first"].to_numpy(np.int64)[order]]
-        part = (count.sum() - once) / max(1, total)
+        part = (total - once) / max(1, total)
         return {
-            "layout": vars(layout), "weights": weights, "lexicon": key[order], "part": float(np.clip(part, LEAST_PART, 1 - LEAST_PART)),
-            "shares": count / np.maximum(1.0, np.bincount(kind, count, CLASSES))[kind],
+            "layout": vars(layout), "weights": weights, "lexicon": key[order], "counts": words["n"].to_numpy(float)[order],
+            "totals": np.bincount(layout.kind[firsts["key"].to_numpy(np.int64)], firsts["n"].to_numpy(float), CLASSES),
+            "part": float(np.clip(part, LEAST_PART, 1 - LEAST_PART)),
         }
 
     @classmethod
@@ -536,18 +561,20 @@ def learn(texts: DataFrame, tokenizer_file: str):
     spark = texts.sparkSession
     vocabulary = Vocabulary(tokenizer_file)
     fields = spark.sparkContext.broadcast(vars(vocabulary))
-    buckets = buckets_for(text_volume(texts) / BYTES_PER_PAIR)
+    volume = text_volume(texts)
+    buckets = buckets_for(volume / BYTES_PER_PAIR)
+    least = max(1, volume // (BYTES_PER_WORD * LEXICON))
     spread = texts.select("ref", "train", "text").mapInArrow(_spread(buckets), COUNTED)
-    stats = materialise(spread.groupBy("bucket").applyInPandas(_count(fields, 1 / LEXICON), STATS), "stats")
+    stats = materialise(spread.groupBy("bucket").applyInPandas(_count(fields, least, buckets), STATS), "stats")
     base = materialise(
-        stats.where("kind = 'text'").groupBy("key").applyInPandas(_base_sums, "ref long, base double, n_known long"), "base"
+        stats.where("kind = 'text'").groupBy("key").applyInPandas(_base_sums, "ref long, base double, n_known long, rare binary"), "base"
     )
     sums = stats.where("kind in ('all', 'distinct', 'once')").groupBy("kind").agg(F.sum("n").alias("n")).collect()
     totals = {"all": 0, "distinct": 0, "once": 0} | {r["kind"]: r["n"] for r in sums}
     rows = texts.where("train").count()
-    # At most LEXICON words, and as many ids as the vocabulary has.
-    lexicon = stats.where("kind = 'word'").where(F.col("n") * LEXICON >= totals["all"]).select("key", "n", "first").toPandas()
-    ids = stats.where("kind = 'id'").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    # A word takes two bytes at least, so these are at most BYTES_PER_WORD * LEXICON words; and ids as the vocabulary has.
+    lexicon = stats.where("kind = 'word'").select("key", "n").toPandas()
+    ids, firsts = (stats.where(F.col("kind") == k).groupBy("key").agg(F.sum("n").alias("n")).toPandas() for k in ("id", "first"))
     begins = np.array([vocabulary.content[s] == 32 if n else False for s, n in zip(vocabulary.starts, vocabulary.lengths)])
     layout = Layout(dict(zip(ids["key"].tolist(), ids["n"].tolist())), rows, begins)
     held_layout = spark.sparkContext.broadcast(vars(layout))
@@ -555,11 +582,11 @@ def learn(texts: DataFrame, tokenizer_file: str):
     seated = texts.where("train").select(F.xxhash64("ref", "doc_id").alias("seat"), "text")
     windows = materialise(seated.mapInArrow(_windows(fields, held_layout), "draw long, x binary, y binary"), "windows")
     weights = train(spark, windows, layout.bias)
-    return Model.fields(layout, weights, lexicon, totals["all"], totals["once"]), base, totals["all"], totals["distinct"], rows
+    return Model.fields(layout, weights, lexicon, firsts, totals["all"], totals["once"]), base, totals["all"], totals["distinct"], rows
 
 
-def scored(texts: DataFrame, model: dict, tokenizer_file: str) -> DataFrame:
-    """doc_id, ref, n_words, score of every row of whole_texts; each whole."""
+def scored(texts: DataFrame, base: DataFrame, model: dict, tokenizer_file: str) -> DataFrame:
+    """doc_id, n_words, score, base, n_known of every row of whole_texts; each whole."""
     context = texts.sparkSession.sparkContext
     fields, held = context.broadcast(vars(Vocabulary(tokenizer_file))), context.broadcast(model)
 
@@ -568,15 +595,17 @@ def scored(texts: DataFrame, model: dict, tokenizer_file: str) -> DataFrame:
         for batch in batches:
             for first, column in slices(batch.column("text"), PASS):
                 words = words_of(column)
-                score = scorer.score(words, words.hashes(), subwords)
                 own = batch.slice(first, len(column))
+                rare = np.frombuffer(b"".join(own.column("rare").drop_null().to_pylist()), _WORD)
+                score = scorer.score(words, words.hashes(), subwords, rare)
                 yield pa.RecordBatch.from_arrays(
-                    [own.column("doc_id"), own.column("ref"), pa.array(words.per_doc().astype(np.int64)), pa.array(score)],
-                    names=["doc_id", "ref", "n_words", "score"],
+                    [own.column("doc_id"), pa.array(words.per_doc().astype(np.int64)), pa.array(score), own.column("base"), own.column("n_known")],
+                    names=["doc_id", "n_words", "score", "base", "n_known"],
                 )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "ref", "text").mapInArrow(task, f"doc_id {kind}, ref long, n_words long, score double")
+    joined = texts.select("doc_id", "ref", "text").join(base, "ref", "left").drop("ref")
+    return joined.mapInArrow(task, f"doc_id {kind}, n_words long, score double, base double, n_known long")
 
 
 def language_scores(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -589,9 +618,9 @@ def language_scores(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id"
     texts = whole_texts(docs, id_col, text_col)
     model, base, words, distinct, rows = learn(texts, tokenizer_file)
     total, kinds = words + rows, distinct + (rows > 0)
-    found = scored(texts, model, tokenizer_file)
+    found = scored(texts, base, model, tokenizer_file)
     tokens = F.col("n_words") + 1
-    return found.join(base, "ref", "left").select(
+    return found.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), tokens.alias("n_tokens"),
         (F.coalesce("n_known", F.lit(0)) + F.lit(int(rows > 0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.coalesce("base", F.lit(0.0)) + F.lit(float(np.log10(rows + 1))) - tokens * F.lit(float(np.log10(total + kinds + 1)))).alias("base_score"),

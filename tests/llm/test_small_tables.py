@@ -428,6 +428,17 @@ def test_attention_scores_each_id_once_and_adds_up():
         assert np.exp(layout.log_share[layout.kind == kind]).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_language_scores_do_not_depend_on_the_lexicon(docs, monkeypatch):
+    def scores():
+        return sorted((str(r["doc_id"]), r["n_tokens"], round(r["base_score"], 6), r["score"]) for r in lm.language_scores(docs, TOKENIZER).collect())
+
+    whole = scores()
+    monkeypatch.setattr(lm, "LEXICON", 20)
+    part = scores()
+    assert [r[:3] for r in part] == [r[:3] for r in whole]
+    assert [r[3] for r in part] == pytest.approx([r[3] for r in whole], rel=1e-6)
+
+
 class Held:
     def __init__(self, value):
         self.value = value
