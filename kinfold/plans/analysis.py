@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame, SparkSession
 
 from kinfold.functions.values import MAX_RHAT, MIN_ESS
@@ -10,6 +12,10 @@ from kinfold.sources import survey
 from kinfold.sources.workspace import materialise, scratch
 
 
+# Tables of a run that later scripts go on with, beside its results.
+KEPT = ("respondents", "nominations", "composition", "sample", "vectors", "hyper", "draws")
+
+
 class Analysis:
     """Stages in order; each stage with more than one reader is written once.
 
@@ -22,10 +28,31 @@ class Analysis:
         self.respondents = materialise(people, "respondents")
         self.nominations = materialise(network.kept_nominations(survey.read_nominations(spark, ties)), "nominations")
         self.dyads = network.tied_dyads(self.nominations, self.respondents, dedupe)
-        self.composed = materialise(network.composition(self.dyads, self.respondents), "composition")
-        if strict and network.composition_check(self.composed).first()["violations"]:
+        self.composition = materialise(network.composition(self.dyads, self.respondents), "composition")
+        if strict and network.composition_check(self.composition).first()["violations"]:
             raise ValueError("lender types do not sum to lenders; repeated nominations need dedupe=True")
-        self.sample = materialise(network.modelled(self.composed), "sample")
+        self.sample = materialise(network.modelled(self.composition), "sample")
+
+    @classmethod
+    def saved(cls, spark: SparkSession, out: str) -> "Analysis":
+        """A fitted analysis over the tables that `run` wrote under `out`, in this or an earlier session."""
+        a = cls.__new__(cls)
+        a.spark = spark
+        for name in KEPT:
+            setattr(a, name, spark.read.parquet(f"{out}/{name}"))
+        a.dyads = spark.read.parquet(f"{out}/dyads")
+        a.run = sampler.RunLength(**spark.read.parquet(f"{out}/run_length").first().asDict())
+        return a
+
+    def save(self, out: str) -> "Analysis":
+        """Write what `saved` reads, and return that."""
+        for name in KEPT:
+            if name != "draws":
+                getattr(self, name).write.parquet(f"{out}/{name}")
+        self.dyads.write.parquet(f"{out}/dyads")
+        survey.write_draws(self.draws, f"{out}/draws")
+        self.spark.createDataFrame([asdict(self.run)], "chains int, draws int, tune int, seed long").coalesce(1).write.parquet(f"{out}/run_length")
+        return Analysis.saved(self.spark, out)
 
     def fit(self, run: sampler.RunLength = sampler.RunLength()) -> "Analysis":
         self.run = run
@@ -55,7 +82,7 @@ class Analysis:
 def run(spark, primary, secondary, ties, out, length=sampler.RunLength(), dedupe=False, strict=True) -> Analysis:
     """Run every stage and write its table under `out`; scratch tables are removed at the end.
 
-    With `strict`, a model that misses a convergence bound raises after the tables of the
+    The returned analysis reads the tables under `out`, as does `Analysis.saved(spark, out)` in later scripts. With `strict`, a model that misses a convergence bound raises after the tables of the
     diagnostics are written.
     """
     with scratch(spark):
@@ -63,16 +90,14 @@ def run(spark, primary, secondary, ties, out, length=sampler.RunLength(), dedupe
 
 
 def _run(spark, primary, secondary, ties, out, length, dedupe, strict) -> Analysis:
-    a = Analysis(spark, primary, secondary, ties, dedupe, strict).fit(length)
+    a = Analysis(spark, primary, secondary, ties, dedupe, strict).fit(length).save(out)
 
     def save(name, table):
         table.write.parquet(f"{out}/{name}")
         return spark.read.parquet(f"{out}/{name}")
 
-    save("composition", a.composed)
-    save("exclusions", network.exclusions(a.composed))
-    save("frequencies", network.count_histogram(a.composed))
-    survey.write_draws(a.draws, f"{out}/draws")
+    save("exclusions", network.exclusions(a.composition))
+    save("frequencies", network.count_histogram(a.composition))
     summary = save("summary", a.summary())
     gate = save("gate", diagnostics.gate(summary, MAX_RHAT, MIN_ESS))
     pointwise, compared, weights = a.cross_validation()

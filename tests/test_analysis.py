@@ -27,6 +27,11 @@ def test_whole_run(spark, files, tmp_path):
     read = lambda name: spark.read.parquet(f"{out}/{name}")
     n = a.sample.count()
     assert 0 < n <= 58
+    again = Analysis.saved(spark, out)
+    assert again.run == RunLength(chains=4, draws=60, tune=60)
+    assert again.sample.count() == n and again.dyads.count() == a.dyads.count() > 0
+    assert again.stacked().count() == read("posterior").count()
+    assert again.vectors.count() == 4 * 60 * (1 + 2 + 4) and again.hyper.count() == 3 * 4 * 60
     assert read("draws").groupBy("model").count().count() == 3
     assert read("summary").count() == (8 + 1 + 8 + 1) + (2 * 9 + 9) + (4 * 9 + 9)
     assert read("gate").count() == 3
