@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bpe, chat, lm, mixing, ngram_join, quality, secrets, sharding, trie_dedup, winnowing
+from kinfold.llm import bpe, chat, divergence, lm, mixing, ngram_join, periodic_runs, quality, secrets, sharding, trie_dedup, winnowing
 
 
 # Vocabulary files of public tokenizers.
@@ -75,6 +75,21 @@ def op9_attention_scores(spark, sf_dir, tokenizer_file=f"{TOKENIZERS}/byte_bpe_5
     return lm.language_scores(documents(spark, sf_dir), tokenizer_file)
 
 
+def op12_periodic_runs(spark, sf_dir):
+    found = periodic_runs.periodic_runs(periodic_runs.with_planted_repeats(documents(spark, sf_dir)))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = periodic_runs.strongest(F.col("runs"))
+    return found.select("*", best.alias("best")).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_source_divergence(spark, sf_dir):
+    return divergence.divergence_report(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_vector_bin_packing": op1_vector_bin_packing,
     "op2_secret_ledger": op2_secret_ledger,
@@ -86,6 +101,8 @@ QUERIES = {
     "op8_trie_dedup": op8_trie_dedup,
     "op9_attention_scores": op9_attention_scores,
     "op10_bpe": op10_bpe,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_source_divergence": op13_source_divergence,
 }
 # Words as runs of anything but the six ASCII spaces, as in every contract above.
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -139,5 +156,26 @@ WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, coalesce(te
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, text_sha256
 FROM d WINDOW g AS (PARTITION BY body)
+""",
+    "op13_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS n, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (SELECT n, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS c, count(DISTINCT n) AS docs FROM w GROUP BY ALL),
+k AS (SELECT lang, term, CAST(sum(c) AS HUGEINT) AS c FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+l AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, sum(c) AS n FROM k GROUP BY lang),
+g AS (SELECT lang, source, coalesce(sum(c.c) FILTER (WHERE k.term IS NOT NULL), 0) AS n
+      FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) LEFT JOIN k USING (lang, term) GROUP BY ALL),
+r AS (SELECT lang, source, term, coalesce(c.c, 0) AS c, 1 + (1000000000 * (coalesce(c.c, 0) + 5)) // (g.n + 5 * l.v) AS p,
+             1 + (1000000000 * (k.c + 5)) // (l.n + 5 * l.v) AS q
+      FROM g JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value
+         FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN r x ON x.lang = a.lang AND x.source = a.source LEFT JOIN r y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pair
+          UNION ALL SELECT lang, source, 'term', term, p - q FROM r WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+WHERE part = 'pair' OR rank <= 50
 """,
 }
