@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bpe, chat, divergence, lm, mixing, ngram_join, periodic_runs, quality, secrets, sharding, trie_dedup, winnowing
+from kinfold.llm import bpe, chat, divergence, lm, mixing, ngram_join, periodic_runs, quality, secrets, sharding, trie_dedup, warc, winnowing
+from kinfold.sources.workspace import scratch_path
 
 
 # Vocabulary files of public tokenizers.
@@ -75,6 +76,15 @@ def op9_attention_scores(spark, sf_dir, tokenizer_file=f"{TOKENIZERS}/byte_bpe_5
     return lm.language_scores(documents(spark, sf_dir), tokenizer_file)
 
 
+def op11_warc_chain(spark, sf_dir):
+    path = scratch_path(spark, "archives")
+    warc.write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    return warc.read_archive(spark, path).select(
+        warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        warc.page_of(F.col("refers_to")).alias("refers_to"),
+    )
+
+
 def op12_periodic_runs(spark, sf_dir):
     found = periodic_runs.periodic_runs(periodic_runs.with_planted_repeats(documents(spark, sf_dir)))
     listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
@@ -101,6 +111,7 @@ QUERIES = {
     "op8_trie_dedup": op8_trie_dedup,
     "op9_attention_scores": op9_attention_scores,
     "op10_bpe": op10_bpe,
+    "op11_warc_chain": op11_warc_chain,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_source_divergence": op13_source_divergence,
 }
@@ -156,6 +167,16 @@ WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, coalesce(te
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, text_sha256
 FROM d WINDOW g AS (PARTITION BY body)
+""",
+    "op11_warc_chain": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT *, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS top FROM p),
+b AS (SELECT *, [substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31), 1)
+                 FOR i IN range(32)] AS letters FROM d)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, array_to_string(letters, '') AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM b
 """,
     "op13_source_divergence": r"""
 WITH d AS (SELECT row_number() OVER () AS n, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
