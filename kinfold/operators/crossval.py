@@ -11,13 +11,13 @@ from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions.columns import add_all, label
 from kinfold.functions.values import COMPARISON_LABELS, MODELS
 from kinfold.operators.likelihood import log_likelihood, pattern_id, patterns, with_models
-from kinfold.operators.ranks import ranked
 from kinfold.sources.workspace import materialise
 
 POINT = ["model", "point"]
@@ -32,32 +32,142 @@ def pointwise(sample: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFra
     return materialise(ll, "loglik"), points.select("point", "respondents")
 
 
-def _log_sum(loglik: DataFrame, sign: int, name: str) -> DataFrame:
-    """ln of the sum of exp(sign * ll) over the draws of a point."""
-    x = sign * F.col("ll")
-    peak = loglik.groupBy(*POINT).agg(F.max(x).alias("peak"))
-    return (
-        loglik.join(peak, POINT).groupBy(*POINT, "peak")
-        .agg(F.sum(F.exp(x - F.col("peak"))).alias("s"), F.count(F.lit(1)).alias("draws"))
-        .select(*POINT, "draws", (F.col("peak") + F.log("s")).alias(name))
-    )
+# What a task knows of a point: number, mean and squared deviations of its log-likelihoods; for the sums of exp(ll) and,
+# beside the ratios kept in `tops` (ascending), of exp(-ll), the largest exponent and the sum scaled by it.
+PARTIAL = "n long, mean double, m2 double, up double, up_sum double, rest long, down double, down_sum double"
+# Rows that a task sums up at a time.
+HELD_ROWS = 1 << 20
+
+
+def _partials(keep: dict):
+    """Partials of each (model, point) in some rows; `keep` says how many of the largest ratios of a point stay."""
+    names = ["model", "point", *[c.split()[0] for c in PARTIAL.split(", ")], "tops"]
+
+    def reduced(batches):
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        model, point = (rows[c].combine_chunks().dictionary_encode() for c in POINT)
+        code = model.indices.to_numpy().astype(np.int64) * max(len(point.dictionary), 1) + point.indices.to_numpy()
+        ll = rows["ll"].to_numpy()
+        order = np.lexsort((ll, code))
+        code, ll = code[order], ll[order]
+        head = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        end = np.r_[head[1:], len(code)]
+        n = end - head
+        most = np.array([keep.get(m, 0) for m in model.dictionary.to_pylist()])[code[head] // max(len(point.dictionary), 1)]
+        tops = np.minimum(n, most)
+        mean = np.add.reduceat(ll, head) / n
+        m2 = np.add.reduceat((ll - np.repeat(mean, n)) ** 2, head)
+        up, kept = ll[end - 1], head + tops
+        up_sum = np.add.reduceat(np.exp(ll - np.repeat(up, n)), head)
+        some = tops < n
+        down = np.where(some, -ll[np.minimum(kept, len(ll) - 1)], -np.inf)
+        place = np.arange(len(ll)) - np.repeat(head, n)
+        scaled = np.where(place >= np.repeat(tops, n), np.exp(-ll - np.repeat(np.where(some, down, 0.0), n)), 0.0)
+        down_sum = np.add.reduceat(scaled, head)
+        offsets = np.r_[0, np.cumsum(tops)].astype(np.int32)
+        # The smallest log-likelihoods are the largest ratios.
+        chosen = np.repeat(kept - 1, tops) - (np.arange(offsets[-1]) - np.repeat(offsets[:-1], tops))
+        which = code[head]
+        columns = [
+            model.dictionary.take(pa.array(which // max(len(point.dictionary), 1))), point.dictionary.take(pa.array(which % max(len(point.dictionary), 1))),
+            *[pa.array(c) for c in (n, mean, m2, up, up_sum, n - tops, down, down_sum)], pa.ListArray.from_arrays(pa.array(offsets), pa.array(-ll[chosen])),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def task(batches):
+        held, rows = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= HELD_ROWS:
+                yield reduced(held)
+                held, rows = [], 0
+        if held:
+            yield reduced(held)
+
+    return task
+
+
+def _scaled_sum(peaks: np.ndarray, sums: np.ndarray) -> float:
+    """Logarithm of a sum from parts that are scaled by their largest exponents."""
+    top = peaks.max(initial=-np.inf)
+    return -math.inf if top == -np.inf else top + math.log((sums * np.exp(peaks - top)).sum())
+
+
+def _merged(reff: dict):
+    """Scores of each point from the partials of all tasks: moments merge by Chan's rule, sums by rescaling."""
+    names = [c.split()[0] for c in f"{SCORES}".split(", ")]
+
+    def task(batches):
+        for batch in batches:
+            parts = batch.column("parts")
+            fields = {f.name: np.asarray(parts.values.field(i)) for i, f in enumerate(parts.type.value_type)}
+            tops, where = batch.column("tops"), parts.offsets.to_numpy()
+            ratios, cuts = np.asarray(tops.values), tops.offsets.to_numpy()
+            out = []
+            for i, model in enumerate(batch.column("model").to_pylist()):
+                f = {k: v[where[i]:where[i + 1]] for k, v in fields.items()}
+                total = int(f["n"].sum())
+                mean = (f["n"] * f["mean"]).sum() / total
+                variance = (f["m2"].sum() + (f["n"] * (f["mean"] - mean) ** 2).sum()) / (total - 1) if total > 1 else None
+                x = np.sort(ratios[cuts[i]:cuts[i + 1]])
+                # Ratios of the tail, with the one below them; the other ones are summed up like those never kept.
+                size = min(math.ceil(min(total / 5, 3 * math.sqrt(total / reff[model]))), total - 1) if reff else 0
+                tail, spare = (x[len(x) - size:], x[:len(x) - size]) if reff else (x[:0], x)
+                peaks = np.r_[f["down"], spare.max(initial=-np.inf)]
+                sums = np.r_[f["down_sum"], np.exp(spare - peaks[-1]).sum() if len(spare) else 0.0]
+                body = _scaled_sum(peaks[sums > 0], sums[sums > 0])
+                everything = _scaled_sum(np.r_[body, tail.max(initial=-np.inf)], np.r_[1.0, np.exp(tail - tail[-1]).sum() if size else 0.0])
+                smoothed = k = None
+                if reff:
+                    top = x[-1]
+                    k, smooth = smooth_tail(x[len(x) - size - 1:] - top)
+                    # A likelihood is the inverse of its raw ratio, so a body draw adds exp(-top), taken out of the log.
+                    weighted = math.log(total - size + np.exp(smooth - (tail - top)).sum()) - top
+                    smoothed = weighted - math.log(math.exp(body - top) + np.exp(smooth).sum())
+                out.append((total, _scaled_sum(f["up"], f["up_sum"]) - math.log(total), variance, math.log(total) - everything, smoothed, k))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), _SCORE_TYPES)] if out else [pa.array([], t) for t in _SCORE_TYPES]
+            yield pa.RecordBatch.from_arrays([batch.column("model"), batch.column("point"), *columns], names=["model", "point", *names])
+
+    return task
+
+
+SCORES = "draws long, lppd double, p_waic double, elpd_is double, elpd_psis double, pareto_k double"
+_SCORE_TYPES = [pa.int64()] + [pa.float64()] * 5
+
+
+def scores(loglik: DataFrame, reff: float | dict | None = None) -> DataFrame:
+    """Per point, from one scan: `draws`, `lppd`, `p_waic`, `elpd_is` and, with the relative efficiency `reff` of the
+    draws (one number or one per model), `elpd_psis` and `pareto_k`.
+
+    Tasks send partials of the points they read, with no more ratios than a tail has; nothing is sorted over tasks. A
+    point's partials meet in one row: a tail's worth of ratios from each task at most, 3 sqrt(S) of S draws.
+    """
+    keep = {}
+    if reff is not None:
+        # Draws and chains are numbered from 0, which bounds their number.
+        sizes = loglik.groupBy("model").agg(((F.max("chain") + 1).cast("long") * (F.max("draw") + 1)).alias("s")).collect()
+        reff = reff if isinstance(reff, dict) else {r["model"]: float(reff) for r in sizes}
+        keep = {r["model"]: math.ceil(min(r["s"] / 5, 3 * math.sqrt(r["s"] / reff[r["model"]]))) + 1 for r in sizes}
+    parts = loglik.select(*POINT, "ll").mapInArrow(_partials(keep), f"model string, point string, {PARTIAL}, tops array<double>")
+    names = [c.split()[0] for c in PARTIAL.split(", ")]
+    met = parts.groupBy(*POINT).agg(F.collect_list(F.struct(*names)).alias("parts"), F.flatten(F.collect_list("tops")).alias("tops"))
+    return met.mapInArrow(_merged(reff or {}), f"model string, point string, {SCORES}")
 
 
 def lppd_waic(loglik: DataFrame) -> DataFrame:
     """Per point: log pointwise predictive density, its effective parameters and elpd by WAIC."""
-    variance = loglik.groupBy(*POINT).agg(F.var_samp("ll").alias("p_waic"))
-    lppd = _log_sum(loglik, 1, "total").select(*POINT, (F.col("total") - F.log(F.col("draws"))).alias("lppd"))
-    return lppd.join(variance, POINT).withColumn("elpd_waic", F.col("lppd") - F.col("p_waic"))
+    return waic_of(scores(loglik))
 
 
-def is_loo(loglik: DataFrame) -> DataFrame:
-    """Per point: elpd by plain importance sampling, ln S - ln sum exp(-ll)."""
-    return _log_sum(loglik, -1, "total").select(*POINT, (F.log(F.col("draws")) - F.col("total")).alias("elpd"))
+def waic_of(scored: DataFrame) -> DataFrame:
+    return scored.select(*POINT, "lppd", "p_waic", (F.col("lppd") - F.col("p_waic")).alias("elpd_waic"))
 
 
-def tail_length(draws, reff):
-    """Number of largest ratios that are smoothed: min(S / 5, 3 sqrt(S / reff)), rounded up."""
-    return F.ceil(F.least(draws / 5, 3 * F.sqrt(draws / reff)))
+def is_loo(loglik: DataFrame) -> DataFrame:
+    """Per point: elpd by plain importance sampling, ln S - ln sum exp(-ll)."""
+    return scores(loglik).select(*POINT, F.col("elpd_is").alias("elpd"))
 
 
 def _fit_pareto(excess: np.ndarray) -> tuple[float, float]:
@@ -107,43 +217,16 @@ def smooth_tail(ratios: np.ndarray) -> tuple[float, np.ndarray]:
     return k, np.minimum(tail, 0.0)
 
 
-def _tail_sums(ratios: pd.Series, peak: pd.Series) -> pd.DataFrame:
-    """Per point: shape, sum of tail weights, and sum of tail weights over raw ratios."""
-    out = []
-    for raw, top in zip(ratios, peak):
-        x = np.asarray(raw) - top
-        k, smooth = smooth_tail(x)
-        out.append((k, np.exp(smooth).sum(), np.exp(smooth - x[1:]).sum()))
-    return pd.DataFrame(out, columns=["k", "weight", "weighted"])
-
-
 def psis_loo(loglik: DataFrame, reff: float | dict = 1.0) -> DataFrame:
     """Per point: elpd by Pareto-smoothed importance sampling, and the Pareto shape (Vehtari, Gelman & Gabry 2017).
 
-    `reff` is the relative efficiency of the draws, one number or one per model. Only the tail of a point, 3 sqrt(S) ratios at most, is brought together for the fit;
-    the body is summed by Spark.
+    `reff` is the relative efficiency of the draws, one number or one per model.
     """
-    tail_sums = F.pandas_udf(_tail_sums, "k double, weight double, weighted double")
-    placed = ranked(loglik.withColumn("r", -F.col("ll")), POINT, ["r", "chain", "draw"], "ratios")
-    efficiency = label(F.col("model"), reff) if isinstance(reff, dict) else F.lit(float(reff))
-    size = F.least(tail_length(F.col("total"), efficiency), F.col("total") - 1)
-    first = F.col("total") - size
-    peak = placed.groupBy(*POINT).agg(F.max("r").alias("peak"))
-    tail = (
-        placed.where(F.col("rank0") >= first - 1).groupBy(*POINT)
-        .agg(F.sort_array(F.collect_list("r")).alias("ratios"), F.max("r").alias("peak"))
-        .select(*POINT, F.lit(True).alias("t"), tail_sums("ratios", "peak").alias("s")).select(*POINT, "s.*")
-    )
-    body = (
-        placed.where(F.col("rank0") < first).join(peak, POINT)
-        .groupBy(*POINT, "peak")
-        .agg(F.sum(F.exp(F.col("r") - F.col("peak"))).alias("b"), F.count(F.lit(1)).alias("n"))
-    )
-    # A likelihood is the inverse of its raw ratio, so a body draw adds exp(-peak), taken out of the log.
-    weighted = F.log(F.col("n") + F.col("weighted")) - F.col("peak")
-    return body.join(tail, POINT).select(
-        *POINT, (weighted - F.log(F.col("b") + F.col("weight"))).alias("elpd"), F.col("k").alias("pareto_k")
-    )
+    return loo_of(scores(loglik, reff))
+
+
+def loo_of(scored: DataFrame) -> DataFrame:
+    return scored.select(*POINT, F.col("elpd_psis").alias("elpd"), "pareto_k")
 
 
 def side_by_side(elpd: DataFrame, points: DataFrame, models=MODELS) -> DataFrame:
@@ -151,32 +234,54 @@ def side_by_side(elpd: DataFrame, points: DataFrame, models=MODELS) -> DataFrame
     return elpd.groupBy("point").pivot("model", list(models)).agg(F.max("elpd")).join(points, "point")
 
 
+def merge_moments(n, mean, m2):
+    """(number, mean, squared deviations) of a whole from those of its parts, one row each (Chan, Golub & LeVeque 1983)."""
+    total = n.sum()
+    middle = mean[0] + (n[:, None] * (mean - mean[0])).sum(axis=0) / total
+    return total, middle, m2.sum(axis=0) + (n[:, None] * (mean - middle) ** 2).sum(axis=0)
+
+
+def _weighted_moments(columns: list, weight: str):
+    """A row (n, mean, m2) of weighted moments of some columns for each batch."""
+
+    def task(batches):
+        for batch in batches:
+            if batch.num_rows:
+                c = batch.column(weight).to_numpy().astype(float)
+                x = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in columns], axis=1)
+                total, mean, m2 = merge_moments(c, x, np.zeros_like(x))
+                yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([list(mean)]), pa.array([list(m2)])], names=["n", "mean", "m2"])
+
+    return task
+
+
 def compare(elpd: DataFrame, points: DataFrame, models=MODELS, lppd: DataFrame | None = None) -> DataFrame:
     """Models ranked by elpd, with differences to the best and their standard errors.
 
-    All ordered pairs of models are summed in one pass over the points.
+    Elpds and the differences of all pairs of models are centred where they are summed, and merged by their moments: a
+    spread survives beside a mean of any size.
     """
-    wide = side_by_side(elpd, points, models)
-    pairs = F.array(*[
-        F.struct(F.lit(a).alias("model"), F.lit(b).alias("other"), F.col(a).alias("e"), (F.col(b) - F.col(a)).alias("d"))
-        for a, b in product(models, models)
-    ])
-    c = F.col("respondents")
-    e, d = F.col("p.e"), F.col("p.d")
-    sums = (
-        wide.select("respondents", F.explode(pairs).alias("p"))
-        .groupBy("p.model", "p.other")
-        .agg(
-            F.sum(c).alias("n"), F.sum(c * e).alias("elpd"), F.sum(c * e * e).alias("ee"),
-            F.sum(c * d).alias("diff"), F.sum(c * d * d).alias("dd"),
-        )
-    )
-    n = F.col("n")
-    stats = sums.select(
-        "model", "other", "elpd", "diff",
-        F.sqrt(F.greatest(F.col("ee") - F.col("elpd") * F.col("elpd") / n, F.lit(0.0))).alias("se"),
-        F.sqrt(F.greatest(F.col("dd") - F.col("diff") * F.col("diff") / n, F.lit(0.0))).alias("dse"),
+    models = list(models)
+    apart = list(combinations(range(len(models)), 2))
+    wide = side_by_side(elpd, points, models).select(
+        "respondents", *[F.col(m).alias(f"e{i}") for i, m in enumerate(models)],
+        *[(F.col(models[j]) - F.col(models[i])).alias(f"d{i}_{j}") for i, j in apart],
     )
+    columns = [c for c in wide.columns if c != "respondents"]
+
+    def ordered_pairs(parts: pd.DataFrame) -> pd.DataFrame:
+        n, mean, m2 = merge_moments(parts["n"].to_numpy(), np.stack(parts["mean"]), np.stack(parts["m2"]))
+        total, spread = dict(zip(columns, n * mean)), dict(zip(columns, np.sqrt(m2)))
+        rows = []
+        for i, j in product(range(len(models)), repeat=2):
+            d = f"d{min(i, j)}_{max(i, j)}"
+            diff, dse = (0.0, 0.0) if i == j else (total[d] if i < j else -total[d], spread[d])
+            rows.append((models[i], models[j], total[f"e{i}"], diff, spread[f"e{i}"], dse))
+        return pd.DataFrame(rows, columns=["model", "other", "elpd", "diff", "se", "dse"])
+
+    # One row for each batch of points meets here.
+    parts = wide.mapInArrow(_weighted_moments(columns, "respondents"), "n double, mean array<double>, m2 array<double>")
+    stats = parts.groupBy().applyInPandas(ordered_pairs, "model string, other string, elpd double, diff double, se double, dse double")
     # The row against the best model is the one with the largest difference.
     best = stats.groupBy("model", "elpd", "se").agg(F.max(F.struct("diff", "dse")).alias("b"))
     order = Window.orderBy(F.desc("elpd"))

@@ -74,8 +74,9 @@ class Analysis:
     def cross_validation(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(pointwise elpd, comparison, weights)."""
         loglik, points = crossval.pointwise(self.sample, self.vectors)
-        elpd = materialise(crossval.psis_loo(loglik, diagnostics.relative_efficiency(self.draws)), "elpd")
-        compared = crossval.compare(elpd, points, lppd=crossval.lppd_waic(loglik))
+        scored = materialise(crossval.scores(loglik, diagnostics.relative_efficiency(self.draws)), "scores")
+        elpd = crossval.loo_of(scored)
+        compared = crossval.compare(elpd, points, lppd=crossval.waic_of(scored))
         return elpd.join(points, "point"), compared, crossval.stacking_weights(elpd, points)
 
 

@@ -496,6 +496,12 @@ def _pointwise(spark, sf_dir):
     return crossval.pointwise(f.rows, f.vectors)
 
 
+def _scored(spark, sf_dir):
+    """Scores of all points, written once, and the points."""
+    loglik, points = _pointwise(spark, sf_dir)
+    return materialise(crossval.scores(loglik, 1.0), "scores"), points
+
+
 @query
 def lppd_waic(spark, sf_dir):
     loglik, points = _pointwise(spark, sf_dir)
@@ -516,18 +522,17 @@ def loo_pointwise(spark, sf_dir):
 
 @query
 def elpd_compare(spark, sf_dir):
-    loglik, points = _pointwise(spark, sf_dir)
-    elpd = materialise(crossval.psis_loo(loglik), "elpd")
-    return rounded(crossval.compare(elpd, points, lppd=crossval.lppd_waic(loglik)))
+    scored, points = _scored(spark, sf_dir)
+    return rounded(crossval.compare(crossval.loo_of(scored), points, lppd=crossval.waic_of(scored)))
 
 
 @query
 def stacking_weights(spark, sf_dir):
-    loglik, points = _pointwise(spark, sf_dir)
-    return rounded(crossval.stacking_weights(crossval.psis_loo(loglik), points), 4)
+    scored, points = _scored(spark, sf_dir)
+    return rounded(crossval.stacking_weights(crossval.loo_of(scored), points), 4)
 
 
 @query
 def loo_report(spark, sf_dir):
-    loglik, points = _pointwise(spark, sf_dir)
-    return rounded(crossval.loo_report(crossval.psis_loo(loglik), points, crossval.lppd_waic(loglik)))
+    scored, points = _scored(spark, sf_dir)
+    return rounded(crossval.loo_report(crossval.loo_of(scored), points, crossval.waic_of(scored)))

@@ -97,3 +97,33 @@ def test_equal_respondents_are_one_point(spark):
     assert sorted(r["respondents"] for r in points.collect()) == [1, 3]
     assert loglik.count() == 2 * 3 * 3
     assert loglik.agg(F.max("ll")).first()[0] == pytest.approx(math.log(1 / 8))
+
+
+def test_partials_of_any_size_merge(loglik, matrix):
+    """Scores do not depend on how rows are dealt out."""
+    whole = {(r["model"], r["point"]): r for r in cv.scores(loglik.coalesce(1), 1.0).collect()}
+    dealt = cv.scores(loglik.repartition(23), 1.0).collect()
+    assert len(dealt) == len(whole) == len(matrix)
+    for r in dealt:
+        for c in ("draws", "lppd", "p_waic", "elpd_is", "elpd_psis", "pareto_k"):
+            assert r[c] == pytest.approx(whole[r["model"], r["point"]][c], rel=1e-9)
+    # No ratio is sorted or moved over tasks: one exchange, of the partials.
+    plan = cv.scores(loglik, 1.0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan and "Join" not in plan
+
+
+def test_spread_beside_a_large_mean(spark):
+    """Standard errors of elpds near -1e9 that differ by about 1."""
+    rng = np.random.default_rng(6)
+    base, noise, weight = -1e9, rng.normal(size=(3, 400)).round(6), rng.integers(1, 9, 400)
+    rows = [(m, f"p{i}", base + float(noise[k, i])) for k, m in enumerate(("Baseline", "Extended", "Sex")) for i in range(400)]
+    elpd = spark.createDataFrame(rows, "model string, point string, elpd double").repartition(7)
+    points = spark.createDataFrame([(f"p{i}", int(w)) for i, w in enumerate(weight)], "point string, respondents long")
+    x = {m: np.repeat([e for n, _, e in rows if n == m], weight) for m in ("Baseline", "Extended", "Sex")}
+    found = {r["model"]: r for r in cv.compare(elpd, points).collect()}
+    best = max(x, key=lambda m: x[m].sum())
+    for m, r in found.items():
+        assert r["se"] == pytest.approx(math.sqrt(len(x[m]) * x[m].var()), rel=1e-6)
+        d = x[best] - x[m]
+        assert r["dse"] == pytest.approx(math.sqrt(len(d) * d.var()), rel=1e-6, abs=1e-6)
+        assert r["elpd_diff"] == pytest.approx(d.sum(), rel=1e-6, abs=1e-6)
