@@ -103,7 +103,8 @@ def _field(head: Column, name: str, pattern: str = "[^\r\n]*?") -> Column:
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """What follows each version line, by file, split of the file and order; written, which fixes the order."""
+    """What follows each version line, by file, split of the file and order. All that read it share one listing of the
+    files, so that a piece has the same number each time."""
     value, head = F.col("value"), F.col("head")
     text = spark.read.option("lineSep", MAGIC).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"),
@@ -111,8 +112,7 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     )
     whole = F.octet_length(head) < F.col("size")
     needs = F.octet_length(head) + 2 * len(BLANK) + _field(head, "Content-Length", "[0-9]{1,18}").cast("long")
-    pieces = text.select("file", "split", "at", "size", F.coalesce(F.when(whole, needs), F.lit(-1)).alias("needs"), value.cast("binary").alias("value"))
-    return materialise(pieces, "pieces")
+    return text.select("file", "split", "at", "size", F.coalesce(F.when(whole, needs), F.lit(-1)).alias("needs"), "value")
 
 
 def _local(rows: pd.DataFrame) -> pd.DataFrame:
@@ -226,10 +226,11 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     one = owners.where("place = record").join(several, ["file", "record"], "left_anti").select("file", "split", "at", "record")
     offset = (F.col("record") - len(MAGIC)).alias("offset")
     # Fields are worked out before pieces move, so that payloads move only where they are asked for.
-    plain = pieces.select("file", "split", "at", *_record(F.col("value").cast("string"))).join(one, ["file", "split", "at"])
-    parts = owners.join(several, ["file", "record"], "left_semi")
+    plain = pieces.select("file", "split", "at", *_record(F.col("value"))).join(one, ["file", "split", "at"])
+    # Written, so that Spark knows how few they are and need not move the other pieces.
+    parts = materialise(owners.join(several, ["file", "record"], "left_semi"), "parts")
     cut = pieces.select("file", "split", "at", "value").join(parts, ["file", "split", "at"]).groupBy("file", "record").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", F.col("value").cast("string").alias("v")))), lambda p: p["v"]), MAGIC).alias("value")
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", F.col("value").alias("v")))), lambda p: p["v"]), MAGIC).alias("value")
     )
     columns = ["file", offset]
     whole = cut.select(*columns, *_record(F.col("value")))
