@@ -20,8 +20,9 @@ from kinfold.operators.draws import SERIES, hdi, hdi_wide
 from kinfold.operators.ranks import average_ranks, ranked
 from kinfold.sources.workspace import materialise
 
-# Lags worked out per pass, and length of the pieces a half chain is cut into.
-BLOCK = 4096
+# Lags worked out at a time, and length of the pieces a half chain is cut into: where all lags are asked for, and first
+# of all where a sequence may end early.
+BLOCK, FIRST_LAGS = 4096, 64
 TAIL_PROBS = (0.05, 0.95)
 
 
@@ -62,8 +63,7 @@ def rank_scores(rows: DataFrame, keys, value: str) -> DataFrame:
     """Normal scores `z` of average ranks within the keys; also `rank0` and `total`."""
     placed = average_ranks(rows, keys, value, ["chain", "draw"])
     p = (F.col("avg_rank") - 0.375) / (F.col("total") + 0.25)
-    scored = placed.withColumn("p", p).withColumn("z", normal_quantile(F.col("p"))).drop("p", "avg_rank")
-    return materialise(scored, "scores")
+    return placed.withColumn("p", p).withColumn("z", normal_quantile(F.col("p"))).drop("p", "avg_rank")
 
 
 def order_statistic_mean(placed: DataFrame, value="value") -> DataFrame:
@@ -149,12 +149,17 @@ def _mean_acov(rows, keys, offset, block):
 
 
 def _geyer(acov: DataFrame, moments: DataFrame, keys) -> DataFrame:
-    """Effective size by Geyer's initial monotone sequence; null where more lags are needed."""
+    """Geyer's initial monotone sequence over some lags: the effective size where it ends there.
+
+    `moments` has a row for each series that is open, with the sum `s` of its sequence so far and its smallest term
+    `low`; the result has them after these lags, with `ess` null where more are needed.
+    """
     h, var_plus = F.col("h"), F.col("acov0") + F.col("between")
     rho = F.when(F.col("lag") == 0, 1.0).otherwise(1 - (F.col("acov0") * h / (h - 1) - F.col("acov")) / var_plus)
+    state = ["h", "n_halves", "between", "acov0", "s", "low"]
     pairs = (
-        acov.join(moments, [*keys, "h"]).where(F.col("acov0") > 0)
-        .groupBy(*keys, "h", "n_halves", F.expr("lag DIV 2").alias("k"))
+        acov.join(moments, [*keys, "h"])
+        .groupBy(*keys, *state, F.expr("lag DIV 2").alias("k"))
         .agg(
             F.max(F.when(F.col("lag") % 2 == 0, rho)).alias("even"),
             F.sum(rho).alias("pair"), F.count(F.lit(1)).alias("n"),
@@ -163,27 +168,28 @@ def _geyer(acov: DataFrame, moments: DataFrame, keys) -> DataFrame:
         .where((F.col("k") <= F.col("last")) & (F.col("n") == 2))
     )
     so_far = Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    going = (F.col("low") > 0) & (F.col("k") < F.col("last"))
+    going = (F.col("term") > 0) & (F.col("k") < F.col("last"))
     sums = (
-        pairs.withColumn("low", F.min("pair").over(so_far))
-        .groupBy(*keys, "h", "n_halves")
+        pairs.withColumn("term", F.least(F.col("low"), F.min("pair").over(so_far)))
+        .groupBy(*keys, *state)
         .agg(
-            F.coalesce(F.sum(F.when(going, F.col("low"))), F.lit(0.0)).alias("s"),
-            F.min(F.when(~going, F.struct("k", "even"))).alias("stop"),
+            F.coalesce(F.sum(F.when(going, F.col("term"))), F.lit(0.0)).alias("more"),
+            F.min("term").alias("least"), F.min(F.when(~going, F.struct("k", "even"))).alias("stop"),
         )
     )
     size = (F.col("n_halves") * F.col("h")).cast("double")
-    tau = -1 + 2 * F.col("s") + F.greatest(F.col("stop.even"), F.lit(0.0))
-    found = sums.withColumn("ess", F.when(F.col("stop").isNotNull(), size / F.greatest(tau, 1 / F.log10(size))))
-    flat = moments.where(F.col("acov0") <= 0).select(*keys, size.alias("ess"))
-    return found.select(*keys, "ess").unionByName(flat)
+    total = F.col("s") + F.col("more")
+    tau = -1 + 2 * total + F.greatest(F.col("stop.even"), F.lit(0.0))
+    ess = F.when(F.col("stop").isNotNull(), size / F.greatest(tau, 1 / F.log10(size)))
+    return sums.select(*keys, "h", "n_halves", "between", "acov0", total.alias("s"), F.col("least").alias("low"), ess.alias("ess"))
 
 
-def effective_size(rows: DataFrame, keys, block: int = BLOCK) -> DataFrame:
+def effective_size(rows: DataFrame, keys, block: int = FIRST_LAGS) -> DataFrame:
     """Effective sample size of every series of half chains (columns half, t, h, x).
 
-    Lags are worked out a block at a time; only series whose sequence has not ended go on
-    to the next block, so no series is cut short.
+    The first `block` lags are worked out for all series, then as many again, then twice as many each time, for those
+    only whose sequence has not ended: a series costs lags in proportion to where it ends, and none is cut short.
+    What a series carries on is one row: its moments, the sum of its sequence and the smallest term.
     """
     rows = materialise(rows, "series")
     per_half = rows.groupBy(*keys, "half", "h").agg(F.avg("x").alias("m"), F.var_pop("x").alias("v"), F.min("x").alias("lo"), F.max("x").alias("hi"))
@@ -191,21 +197,25 @@ def effective_size(rows: DataFrame, keys, block: int = BLOCK) -> DataFrame:
     moments = per_half.groupBy(*keys, "h").agg(
         F.count(F.lit(1)).alias("n_halves"), F.coalesce(F.var_samp("m"), F.lit(0.0)).alias("between"),
         F.when(flat, F.lit(0.0)).otherwise(F.avg("v")).alias("acov0"),
-    )
+    ).withColumn("s", F.lit(0.0)).withColumn("low", F.lit(math.inf))
+    constant = moments.where("acov0 <= 0").select(*keys, (F.col("n_halves") * F.col("h")).cast("double").alias("ess"))
+    found = _geyer(_mean_acov(rows, keys, 0, block), moments.where("acov0 > 0"), keys)
     longest = rows.agg(F.max("h")).first()[0] or 0
-    acov = _mean_acov(rows, keys, 0, block)
     if longest <= block:
-        return _geyer(acov, moments, keys)
-    acov = materialise(acov, "acov")
-    offset, found = 0, _geyer(acov, moments, keys)
-    while True:
-        offset += 1
-        waiting = materialise(found.where(F.col("ess").isNull()).select(*keys), "waiting")
-        if offset * block >= longest or waiting.isEmpty():
-            return found
-        more = _mean_acov(rows.join(waiting, keys, "left_semi"), keys, offset, block)
-        acov = acov.unionByName(materialise(more, "acov"))
-        found = _geyer(acov, moments, keys)
+        return constant.unionByName(found.select(*keys, "ess"))
+    found = materialise(found, "lags")
+    out = constant.unionByName(found.where("ess IS NOT NULL").select(*keys, "ess"))
+    lags = block
+    while lags < longest:
+        waiting = materialise(found.where("ess IS NULL").drop("ess"), "waiting")
+        if waiting.isEmpty():
+            break
+        # The block at [lags, 2 lags) is the second one of that size.
+        more = _mean_acov(rows.join(waiting.select(*keys), keys, "left_semi"), keys, 1, lags)
+        found = materialise(_geyer(more, waiting, keys), "lags")
+        out = out.unionByName(found.where("ess IS NOT NULL").select(*keys, "ess"))
+        lags *= 2
+    return out
 
 
 def tail_indicators(draws: DataFrame, lengths: dict, placed: DataFrame, probs=TAIL_PROBS) -> DataFrame:

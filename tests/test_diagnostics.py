@@ -115,3 +115,26 @@ def test_gate(spark):
 def test_relative_efficiency(spark, arrays):
     got = dg.relative_efficiency(frame(spark, {"p": arrays["ar0.7"]}))["m"]
     assert got == pytest.approx(ess(halved(arrays["ar0.7"])) / (4 * 251), rel=1e-6)
+
+
+def test_a_series_costs_lags_until_its_sequence_ends(spark, monkeypatch):
+    """Blocks of 64, 64, 128, ... lags; those after the first for the series that need them only."""
+    rng = np.random.default_rng(8)
+    x = {"white": rng.normal(size=(4, 1200)), "slow": rng.normal(size=(4, 1200)), "walk": np.cumsum(rng.normal(size=(4, 1200)), axis=1)}
+    for t in range(1, 1200):
+        x["slow"][:, t] += 0.985 * x["slow"][:, t - 1]
+    df = frame(spark, x)
+    series = dg.halves(df, {"m": 1200}).select(*SERIES, "half", "h", "t", F.col("value").alias("x"))
+    seen, plain = [], dg._mean_acov
+
+    def noted(rows_, keys, offset, block):
+        seen.append((offset * block, offset * block + block, {r["parameter"] for r in rows_.select("parameter").distinct().collect()}))
+        return plain(rows_, keys, offset, block)
+
+    monkeypatch.setattr(dg, "_mean_acov", noted)
+    got = {r["parameter"]: r["ess"] for r in dg.effective_size(series, SERIES).collect()}
+    for name, v in x.items():
+        assert got[name] == pytest.approx(ess(halved(v)), rel=1e-6)
+    assert seen[0] == (0, 64, {"white", "slow", "walk"})
+    assert [s[:2] for s in seen[1:]] == [(64 * 2**k, 128 * 2**k) for k in range(len(seen) - 1)] and len(seen) > 1
+    assert all("white" not in s[2] for s in seen[1:]) and all(b[2] <= a[2] for a, b in zip(seen, seen[1:]))
