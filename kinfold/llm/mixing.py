@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.operators.ranks import ranked
 from kinfold.sources.workspace import materialise
 
 # Weights by a source's place, share of all tokens and limit, both in halves.
@@ -28,6 +27,17 @@ def uniform(seed: int, key: Column) -> Column:
     return F.conv(digits, 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+def _placed(sources: DataFrame) -> DataFrame:
+    """The rows with their `place` by (missing, source), from 0: sorted in ranges, each of which begins where the ones
+    before end."""
+    numbered = sources.repartitionByRange("missing", "source").sortWithinPartitions("missing", "source").withColumn("at", F.monotonically_increasing_id())
+    rows = materialise(numbered.withColumn("part", F.shiftright("at", 33)).withColumn("at", F.col("at").bitwiseAND(F.lit((1 << 33) - 1))), "sources")
+    # One row for each task.
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return rows.join(F.broadcast(offsets), "part").withColumn("place", F.col("before") + F.col("at")).drop("part", "at", "before")
+
+
 def rates(sized: DataFrame) -> DataFrame:
     """(source, source_size, target) from rows (source, size).
 
@@ -38,8 +48,7 @@ def rates(sized: DataFrame) -> DataFrame:
     keyed = materialise(sources.withColumn("missing", F.col("source").isNull()), "sources")
     weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (F.col("place") % len(WEIGHTS) + 1).cast("int"))
     placed = materialise(
-        ranked(keyed, [], ["missing", "source"]).withColumn("place", F.col("rank0"))
-        .select("source", "source_size", weight.cast("decimal(38,0)").alias("weight"), F.lit(False).alias("full")),
+        _placed(keyed).select("source", "source_size", weight.cast("decimal(38,0)").alias("weight"), F.lit(False).alias("full")),
         "sources",
     )
     total = placed.agg(F.sum("source_size")).first()[0] or 0
