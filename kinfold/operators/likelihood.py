@@ -9,13 +9,14 @@ with the eight proportions `frac` and the concentration `conc`.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions.columns import array_sum, log_factorial, log_gamma, log_rising, require
 from kinfold.functions.values import ALPHA_MU, ALPHA_SIGMA, CATEGORIES, LAMBDA_RATE, LAMBDA_SHAPE, MODELS
-from kinfold.sources.workspace import parallelism
+from kinfold.sources.workspace import materialise, parallelism
 
 
 def model_key(model: str):
@@ -119,8 +120,10 @@ def log_likelihood(rows: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 PACK = 32
+# Vectors that are broadcast together.
 BROADCAST_ROWS = 400_000
-SALTS = 16
+# A key with more rows than this, and more than this share of all rows, is cut into parts of that size.
+PART_ROWS, PART_SHARE = 4096, 10_000
 
 
 def pack_draws(vectors: DataFrame) -> DataFrame:
@@ -134,24 +137,42 @@ def pack_draws(vectors: DataFrame) -> DataFrame:
 def spread_join(rows: DataFrame, packs: DataFrame) -> DataFrame:
     """Rows x draws of their key, whatever share of the rows one key holds.
 
-    Parameters are broadcast when their number is measured to be small; rows are then
-    dealt evenly over all tasks. Otherwise both sides are shuffled on key, pack and a
-    salt, so that a hot key is cut into (packs x salts) parts.
+    Models are taken by their measured number of vectors, the smallest first: as long as these fit a broadcast, the
+    model's rows are dealt evenly over all tasks; the others are shuffled.
     """
-    spark = rows.sparkSession
-    vectors = packs.agg(F.sum("n_draws")).first()[0] or 0
-    if vectors <= BROADCAST_ROWS:
-        spread = rows.repartition(parallelism(spark))
-        joined = spread.join(F.broadcast(packs), ["model", "key"])
-    else:
-        salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
-        index = packs.groupBy("model").agg(F.max("pack").alias("last"))
-        keyed = rows.withColumn("__salt", salt).join(F.broadcast(index), "model").withColumn(
-            "pack", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))
-        ).drop("last")
-        copies = packs.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = keyed.join(copies, ["model", "key", "pack", "__salt"]).drop("__salt")
-    return joined.withColumn("__d", F.explode("draws")).select("__d.*", *[c for c in rows.columns])
+    sizes = sorted((r["n"], r["model"]) for r in packs.groupBy("model").agg(F.sum("n_draws").alias("n")).collect())
+    sent, together = [], 0
+    for n, model in sizes:
+        if together + n <= BROADCAST_ROWS:
+            sent.append(model)
+            together += n
+    dealt = [m for _, m in sizes if m not in sent]
+    joined = []
+    if sent or not dealt:
+        chosen = F.col("model").isin(sent)
+        joined.append(rows.where(chosen).repartition(parallelism(rows.sparkSession)).join(F.broadcast(packs.where(chosen)), ["model", "key"]))
+    if dealt:
+        chosen = F.col("model").isin(dealt)
+        joined.append(_salted_join(rows.where(chosen), packs.where(chosen)))
+    names = [*rows.columns, "draws"]
+    whole = reduce(DataFrame.unionByName, [j.select(*names) for j in joined])
+    return whole.withColumn("__d", F.explode("draws")).select("__d.*", *rows.columns)
+
+
+def _salted_join(rows: DataFrame, packs: DataFrame) -> DataFrame:
+    """Shuffle on key and pack. A key with many rows is cut into parts by its measured rows; as such a key has more than
+    one in PART_SHARE of all rows, their list is short enough to be sent to all tasks."""
+    counts = materialise(rows.groupBy("model", "key").agg(F.count(F.lit(1)).alias("n")), "key_rows")
+    part = max(PART_ROWS, (counts.agg(F.sum("n")).first()[0] or 0) // PART_SHARE)
+    hot = counts.where(F.col("n") > part).select("model", "key", F.ceil(F.col("n") / part).cast("int").alias("parts"))
+    index = packs.groupBy("model").agg(F.max("pack").alias("last"))
+    parts = F.coalesce(F.col("parts"), F.lit(1))
+    keyed = (
+        rows.join(F.broadcast(hot), ["model", "key"], "left").withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), parts).cast("int"))
+        .join(F.broadcast(index), "model").withColumn("pack", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    )
+    copies = packs.join(F.broadcast(hot), ["model", "key"], "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return keyed.drop("parts", "last").join(copies.drop("parts"), ["model", "key", "pack", "__salt"])
 
 
 def log_prior(hyper: DataFrame) -> DataFrame:

@@ -7,19 +7,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.functions.columns import hash_uniform, require
+from kinfold.functions.columns import require
 from kinfold.functions.values import BAND_Z, CATEGORIES, MODELS, N_CATEGORIES, SEED
 from kinfold.operators.likelihood import pack_draws, spread_join
 from kinfold.operators.network import count_histogram
 
+# Balls whose uniforms one row carries, and hexadecimal digits of each.
+BALLS, DIGITS = 8, 13
+
+
 def predict(rows: DataFrame, vectors: DataFrame, seed: int = SEED) -> DataFrame:
     """Simulated counts for every row and draw: (model, chain, draw, id, counts).
 
     Polya urn (Blackwell & MacQueen 1973): ball t takes type k with probability
     proportional to alpha_k plus the balls of type k so far. The uniform of a ball
     depends on (seed, model, chain, draw, id, t) only, so results do not move with
-    partitioning or retries. Spark hashes the uniforms and deals out rows and draws; each
-    Arrow batch then takes all its t-th balls at once, whatever their number.
+    partitioning or retries. Spark deals out rows and draws and hashes the uniforms, BALLS of them in generated code
+    on each row; rows with more balls go on in further blocks, which follow each other. Each Arrow batch takes all
+    its t-th balls at once.
     """
     schema = ", ".join(["model string, chain int, draw int, id string", *[f"{c} long" for c in CATEGORIES]])
     return _balls(rows, vectors, seed).mapInArrow(_count_batches, schema)
@@ -33,50 +38,87 @@ def predict_cells(rows: DataFrame, vectors: DataFrame, seed: int = SEED) -> Data
 
 
 def _balls(rows, vectors, seed):
-    """Rows and draws joined, with one uniform for each ball."""
+    """Rows and draws joined, a row for each block of balls, with the digits of their uniforms in one text.
+
+    The uniform of `hash_uniform` is these digits as a number over 2^52.
+    """
     require(rows, "model", "key", "id", "lender_ij")
     slim = rows.select("model", "key", "id", F.col("lender_ij").cast("long").alias("n"))
     names = ["model", "chain", "draw", "id"]
-    joined = spread_join(slim, pack_draws(vectors)).withColumn("stem", F.concat_ws("|", F.lit(str(seed)), *names))
-    balls = F.sequence(F.lit(1).cast("long"), F.col("n"))
-    uniforms = F.when(F.col("n") > 0, F.transform(balls, lambda t: hash_uniform(F.col("stem"), t)))
-    return joined.select(*names, "n", "frac", "conc", F.coalesce(uniforms, F.array().cast("array<double>")).alias("u"))
-
-
-def _simulate(batch):
-    """Counts by row and type; the t-th balls of all rows are taken together."""
-    n = batch["n"].to_numpy()
-    alpha = batch["frac"].flatten().to_numpy().reshape(-1, N_CATEGORIES) * batch["conc"].to_numpy()[:, None]
-    u = batch["u"].flatten().to_numpy()
-    first = np.cumsum(n) - n
-    y = np.zeros(alpha.shape, dtype="int64")
-    mass = np.cumsum(alpha, axis=1)[:, -1]
-    for t in range(int(n.max(initial=0))):
-        at = np.flatnonzero(n > t)
-        edges = np.cumsum(alpha[at] + y[at], axis=1)[:, :-1]
-        v = u[first[at] + t] * (mass[at] + t)
-        y[at, (v[:, None] >= edges).sum(axis=1)] += 1
-    return y
+    blocks = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(BALLS).cast("long"))
+    joined = spread_join(slim, pack_draws(vectors)).select(*names, "n", "frac", "conc", F.explode(blocks).alias("first"))
+    stem = F.concat_ws("|", F.lit(str(seed)), *names)
+    balls = [
+        F.when(F.col("first") + k < F.col("n"), F.substring(F.md5(F.concat("stem", F.lit("|"), F.col("first") + (k + 1))), 1, DIGITS))
+        for k in range(BALLS)
+    ]
+    return joined.withColumn("stem", stem).select(*names, "n", "frac", "conc", "first", F.concat_ws("", *balls).alias("digits"))
+
+
+def _uniforms(digits: pa.Array) -> np.ndarray:
+    """The uniforms of all rows, in order."""
+    offsets = np.frombuffer(digits.buffers()[1], np.int32, len(digits) + 1, digits.offset * 4)
+    raw = digits.buffers()[2]
+    text = np.frombuffer(raw, np.uint8)[offsets[0]:offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+    # Hexadecimal digits are 0x30-0x39 and 0x61-0x66. Sums below 2^52 are exact.
+    values = (text & 15) + 9 * (text >> 6)
+    return values.reshape(-1, DIGITS).astype(float) @ (16.0 ** -np.arange(1, DIGITS + 1))
+
+
+def _simulated(batches):
+    """(batch, rows that end there, counts by type and row) of each batch."""
+    before = np.zeros(N_CATEGORIES, np.int64)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        n, first = batch["n"].to_numpy(), batch["first"].to_numpy()
+        here = np.clip(n - first, 0, BALLS)
+        at = np.cumsum(here) - here
+        u = _uniforms(batch["digits"])
+        alpha = (batch["frac"].flatten().to_numpy().reshape(-1, N_CATEGORIES) * batch["conc"].to_numpy()[:, None]).T.copy()
+        y = np.zeros(alpha.shape, np.int64)
+        block = first // BALLS
+        mass = np.zeros(batch.num_rows)
+        for a in alpha:
+            mass += a
+        for level in range(int(block.max(initial=0)) + 1):
+            rows = np.flatnonzero(block == level)
+            # Longest first, so that the rows with a t-th ball come first.
+            rows = rows[np.argsort(-here[rows], kind="stable")]
+            a, counts = alpha[:, rows], np.zeros((N_CATEGORIES, len(rows)), np.int64)
+            if level:
+                # A block goes on from the row before, which may have been the last of the batch before.
+                counts[:] = np.where(rows > 0, y[:, rows - 1], before[:, None])
+            for t in range(int(here[rows].max(initial=0))):
+                m = int(np.count_nonzero(here[rows] > t))
+                v = u[at[rows[:m]] + t] * (mass[rows[:m]] + level * BALLS + t)
+                edge, kind = np.zeros(m), np.zeros(m, np.int64)
+                for k in range(N_CATEGORIES - 1):
+                    edge += a[k, :m] + counts[k, :m]
+                    kind += v >= edge
+                counts[kind, np.arange(m)] += 1
+            y[:, rows] = counts
+        before = y[:, -1]
+        ends = np.flatnonzero(first + BALLS >= n)
+        yield batch, ends, y[:, ends]
 
 
 def _count_batches(batches):
-    for batch in batches:
-        y = _simulate(batch)
-        kept = [batch[c] for c in ("model", "chain", "draw", "id")]
+    for batch, ends, y in _simulated(batches):
+        kept = [batch[c].take(pa.array(ends)) for c in ("model", "chain", "draw", "id")]
         yield pa.RecordBatch.from_arrays(
-            kept + [pa.array(y[:, k]) for k in range(N_CATEGORIES)], names=["model", "chain", "draw", "id", *CATEGORIES]
+            kept + [pa.array(y[k]) for k in range(N_CATEGORIES)], names=["model", "chain", "draw", "id", *CATEGORIES]
         )
 
 
 def _cell_batches(batches):
-    for batch in batches:
-        y = _simulate(batch)
+    for batch, ends, y in _simulated(batches):
         model = batch["model"].dictionary_encode()
         chain, draw = (batch[c].to_numpy().astype("int64") for c in ("chain", "draw"))
         chains, draws = chain.max(initial=0) + 1, draw.max(initial=0) + 1
-        seen, place = np.unique((model.indices.to_numpy() * chains + chain) * draws + draw, return_inverse=True)
+        seen, place = np.unique(((model.indices.to_numpy() * chains + chain) * draws + draw)[ends], return_inverse=True)
         width = int(y.max(initial=0)) + 1
-        cell = (place.reshape(-1, 1) * N_CATEGORIES + np.arange(N_CATEGORIES)) * width + y
+        cell = (place * N_CATEGORIES + np.arange(N_CATEGORIES)[:, None]) * width + y
         counts = np.bincount(cell.ravel())
         at = np.flatnonzero(counts)
         which = seen[at // (N_CATEGORIES * width)]

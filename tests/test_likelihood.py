@@ -67,6 +67,38 @@ def test_both_join_ways_agree_and_hubs_are_whole(spark, monkeypatch):
     assert hub == pytest.approx(pmf((3000, 50, 0, 0, 0, 0, 7, 1), [0.125 * 5] * 8), rel=1e-10)
 
 
+def test_parameters_are_gathered_by_model(spark, monkeypatch):
+    """Broadcasts as far as they fit, the smallest model first; a key of a third of all rows is cut by its measured rows."""
+    frac = [0.125] * 8
+    v = [("Baseline", "", c, d, frac, 2.0) for c in range(2) for d in range(4)]
+    v += [("Extended", f"_vill_{g}", c, d, frac, 2.0 + g) for g in range(40) for c in range(2) for d in range(4)]
+    v = spark.createDataFrame(v, VECTORS)
+    people = spark.range(6000).selectExpr(
+        "cast(id AS string) AS id", "cast(if(id % 3 = 0, 7, id % 40) AS string) AS group_id", "1 AS female", "1L AS lender_ij",
+        *[f"{int(k == 0)}L AS {c}" for k, c in enumerate(CATEGORIES)])
+    keyed = lk.with_models(people, ["Baseline", "Extended"])
+    expected = rows(lk.spread_join(keyed, lk.pack_draws(v)), "model", "id", "chain", "draw", "conc")
+    assert len(expected) == 2 * 6000 * 8
+    asked = []
+    broadcast = lk.F.broadcast
+    monkeypatch.setattr(lk.F, "broadcast", lambda df: asked.append(df) or broadcast(df))
+    monkeypatch.setattr(lk, "BROADCAST_ROWS", 8)
+    monkeypatch.setattr(lk, "PART_ROWS", 20)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        found = lk.spread_join(keyed, lk.pack_draws(v))
+        assert rows(found, "model", "id", "chain", "draw", "conc") == expected
+        assert [r["model"] for r in asked[0].select("model").distinct().collect()] == ["Baseline"]
+        hot = {r["key"]: r["parts"] for r in asked[1].collect()}
+        assert hot["_vill_7"] > 50 and all(p < 8 for k, p in hot.items() if k != "_vill_7")
+        tasks = sorted(r["n"] for r in found.where("model = 'Extended'").selectExpr("spark_partition_id() AS p").groupBy("p").count().selectExpr("`count` AS n").collect())
+        assert tasks[-1] < 2 * tasks[len(tasks) // 2]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_tail_counts_with_gaps(spark):
     counts = [(0, 5, 0, 0, 0, 0, 0, 1), (0, 2, 0, 0, 0, 0, 0, 0), (0, 2, 0, 0, 0, 0, 0, 1)]
     got = {(r["category"], r["j"]): r["n_above"] for r in lk.tail_counts(sample(spark, counts), ["Baseline"]).collect()}

@@ -34,13 +34,25 @@ def test_counts_sum_to_lenders_and_do_not_depend_on_partitioning(spark, monkeypa
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-def test_rows_with_many_balls_follow_the_same_urn(spark):
-    s = sample(spark, [(n, 0, 0, 0, 0, 0, 0, 0) for n in (1, 3, 40)])
-    stems = pp._balls(lk.with_models(s, ["Baseline"]), vectors(spark, 5), pp.SEED)
-    drawn = {(r["chain"], r["draw"], r["id"]): r["u"] for r in stems.collect()}
-    for r in pp.predict(lk.with_models(s, ["Baseline"]), vectors(spark, 5)).collect():
+@pytest.mark.parametrize("batch", ["10000", "1", "3"])
+def test_rows_with_many_balls_follow_the_same_urn(spark, batch):
+    """Rows of one block, of a full one and of several, also where a batch ends between the blocks of a row."""
+    import hashlib
+
+    s = sample(spark, [(n, 0, 0, 0, 0, 0, 0, 0) for n in (1, 3, 8, 9, 40, 0, 17)])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = pp.predict(lk.with_models(s, ["Baseline"]), vectors(spark, 5)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    n = {r["id"]: r["lender_ij"] for r in s.collect()}
+    assert len(found) == 7 * 10
+    for r in found:
         counts = [0] * 8
-        for t, u in enumerate(drawn[r["chain"], r["draw"], r["id"]]):
+        for t in range(n[r["id"]]):
+            digits = hashlib.md5(f"{pp.SEED}|Baseline|{r['chain']}|{r['draw']}|{r['id']}|{t + 1}".encode()).hexdigest()
+            u = int(digits[:13], 16) / 2**52
             edges = np.cumsum([3.0 * f + c for f, c in zip(FRAC, counts)])
             counts[int((u * (edges[-1]) >= edges[:-1]).sum())] += 1
             assert edges[-1] == pytest.approx(3.0 + t)
