@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from kinfold.functions.columns import add_all, pair_key, require, unordered_pair_key
 from kinfold.functions.values import CATEGORIES, RELATIONS
+from kinfold.operators.heavy import frequent_keys, hub_join
+from kinfold.sources.workspace import materialise
 
 
 def kept_nominations(nominations: DataFrame, kinds=RELATIONS) -> DataFrame:
@@ -49,17 +51,22 @@ def relation_counts(nominations: DataFrame, dedupe: bool = False, kinds=RELATION
 def within_group_pairs(pairs: DataFrame, respondents: DataFrame) -> DataFrame:
     """Keep pairs of two different respondents of one group; adds group and co-residence.
 
-    A missing household is shared with nobody.
+    A missing household is shared with nobody. People at the end of very many pairs are found by a sketch of both ends
+    and looked up by broadcast.
     """
     require(respondents, "id", "group_id", "hh_id")
-    ego = respondents.select(F.col("id").alias("i_id"), "group_id", F.col("hh_id").alias("hh_i"))
-    alter = respondents.select(F.col("id").alias("j_id"), "group_id", F.col("hh_id").alias("hh_j"))
+    pairs = materialise(pairs.where(F.col("i_id") != F.col("j_id")), "pairs")
+    frequent = frequent_keys(pairs, ["i_id", "j_id"])
+
+    def end(key, group, household):
+        table = respondents.select(F.col("id").alias(key), F.col("group_id").alias(group), F.col("hh_id").alias(household))
+        return table, key, frequent.where(F.col("name") == key)
+
     return (
-        pairs.where(F.col("i_id") != F.col("j_id"))
-        .join(ego, "i_id")
-        .join(alter, ["j_id", "group_id"])
+        hub_join(hub_join(pairs, *end("i_id", "group_id", "hh_i")), *end("j_id", "group_j", "hh_j"))
+        .where(F.col("group_id") == F.col("group_j"))
         .withColumn("coresident", F.coalesce((F.col("hh_i") == F.col("hh_j")).cast("long"), F.lit(0).cast("long")))
-        .drop("hh_i", "hh_j")
+        .drop("hh_i", "hh_j", "group_j")
     )
 
 
