@@ -14,6 +14,8 @@ from kinfold.sources import survey as sources
 from kinfold.sources.workspace import materialise, scratch_path
 
 DIGITS = 6
+# How far a posterior mean may lie from the pooled share: the prior and a key's few lenders draw it away.
+NEAR, NEAR_BY_LENDERS = 0.02, 1.5
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
@@ -75,6 +77,18 @@ def scan_csv_na(spark, sf_dir):
     return sources.read_primary(spark, path)
 
 
+@query
+def scan_csv_limited(spark, sf_dir):
+    """A scan of the first 100 rows: how many it read, and how many of them are rows of the file."""
+    p = Survey(spark, sf_dir).primary()
+    path = scratch_path(spark, "nodes")
+    p.select(F.col("group_id").alias("villageId"), F.col("id").alias("i"), "female").write.option("header", True).csv(path)
+    first = materialise(sources.read_primary(spark, path, limit=100), "first")
+    every = p.select("id", "group_id", F.coalesce("female", F.lit(-1)).alias("female"))
+    known = first.select("id", "group_id", F.coalesce("female", F.lit(-1)).alias("female")).join(every, ["id", "group_id", "female"], "left_semi")
+    return first.agg(F.count(F.lit(1)).alias("read")).crossJoin(known.agg(F.count(F.lit(1)).alias("known")))
+
+
 @query
 def draws_snapshot(spark, sf_dir):
     f = fitted(spark, sf_dir)
@@ -318,8 +332,10 @@ def posterior_draws(spark, sf_dir):
 
 @query
 def posterior_invariants(spark, sf_dir):
-    """Per series of the sampled posterior: its number of draws, values outside the support, and whether shares add up to 1."""
-    tails = likelihood.tail_counts(Survey(spark, sf_dir).sample())
+    """Per series of the sampled posterior: its number of draws, values outside the support, whether shares add up to 1,
+    and whether a share's mean is near the pooled share of its key, within NEAR + NEAR_BY_LENDERS / sqrt(lenders)."""
+    sample = materialise(Survey(spark, sf_dir).sample(), "sample")
+    tails = likelihood.tail_counts(sample)
     long = materialise(draws.long_draws(*sampler.fit(tails, sampler.RunLength(draws=100, tune=300))), "long")
     share = F.col("parameter").startswith("frac")
     wrong = F.when(share, ~F.col("value").between(0, 1)).otherwise(F.col("value") <= 0)
@@ -328,8 +344,12 @@ def posterior_invariants(spark, sf_dir):
     series = long.groupBy("model", "parameter", "category").agg(
         F.count(F.lit(1)).cast("int").alias("n_draws"), F.sum((wrong | F.col("value").isNull()).cast("int")).cast("int").alias("outside")
     )
-    return series.join(added.select("model", "parameter", "ok"), ["model", "parameter"], "left").select(
-        "model", "parameter", "category", "n_draws", "outside", F.coalesce("ok", F.lit(0)).alias("shares_add_up")
+    pooled = likelihood.group_proportions(sample).select("model", F.concat(F.lit("frac"), "key").alias("parameter"), "category", "lenders", "proportion")
+    means = draws.posterior_means(long.where(share)).join(pooled, draws.SERIES)
+    apart = F.abs(F.col("pmean") - F.col("proportion"))
+    near = means.select(*draws.SERIES, (apart <= NEAR + NEAR_BY_LENDERS / F.sqrt("lenders")).cast("int").alias("near_pooled"))
+    return series.join(added.select("model", "parameter", "ok"), ["model", "parameter"], "left").join(near, draws.SERIES, "left").select(
+        "model", "parameter", "category", "n_draws", "outside", F.coalesce("ok", F.lit(0)).alias("shares_add_up"), "near_pooled"
     )
 
 
@@ -520,6 +540,16 @@ def loo_pointwise(spark, sf_dir):
     return rounded(crossval.psis_loo(loglik).join(points, "point"))
 
 
+@query
+def loo_efficiency(spark, sf_dir):
+    """Smoothed LOO with the relative efficiency that the draws are measured to have."""
+    f = fitted(spark, sf_dir)
+    reff = diagnostics.relative_efficiency(f.long())
+    loglik, points = crossval.pointwise(f.rows, f.vectors)
+    measured = F.create_map(*[F.lit(x) for pair in reff.items() for x in pair])[F.col("model")]
+    return rounded(crossval.psis_loo(loglik, reff).join(points, "point").withColumn("reff", measured))
+
+
 @query
 def elpd_compare(spark, sf_dir):
     scored, points = _scored(spark, sf_dir)
