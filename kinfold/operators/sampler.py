@@ -1,10 +1,11 @@
 """Posterior sampling of the three hierarchical Dirichlet-Multinomial models.
 
 Sufficient statistics are the tail counts, so a sweep never touches respondents. Given
-the shared hyperparameters the keys are independent. A sweep draws the numbers of a key from a
-stream of (seed, model, chain, sweep, key), those of the hyperparameters from another one, so
-a chain does not depend on where its keys are: all in one task while they are few, else in a Spark
-pass over the keys per sweep that returns nine sums per chain. Only the order of these sums differs.
+the shared hyperparameters the keys are independent. Keys are dealt into buckets by their hash, whose keys
+move together. A sweep draws the numbers of a bucket from a stream of (seed, model, chain, sweep, bucket),
+those of the hyperparameters from another one, so a chain does not depend on where its buckets are: all in one
+task while they are few, else in a Spark pass over the buckets per sweep that returns nine sums per chain. Only
+the order of these sums differs.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from kinfold.sources.workspace import materialise, parallelism, scratch_path
 # Cells of sufficient statistics, and drawn vectors, that one task may hold.
 TASK_CELLS = 200_000
 TASK_VECTORS = 1_000_000
+# Keys that a bucket has on average.
+BUCKET_KEYS = 64
 # Random-walk scales of the samplers.
 CONC_SCALES = (0.15, 0.4, 1.0)
 ALPHA_STEP, SCALE_STEP = 0.35, 0.25
@@ -47,7 +50,7 @@ def key_statistics(tails: DataFrame) -> DataFrame:
     for k, c in enumerate(CATEGORIES):
         code = code.when(F.col("category") == c, F.lit(k))
     return tails.groupBy("model", "key").agg(
-        F.collect_list(F.struct(code.alias("k"), F.col("j").cast("int").alias("j"), F.col("n_above").alias("n"))).alias("cells"),
+        F.sort_array(F.collect_list(F.struct(code.alias("k"), F.col("j").cast("int").alias("j"), F.col("n_above").alias("n")))).alias("cells"),
         F.count(F.lit(1)).alias("n_cells"),
     )
 
@@ -123,16 +126,16 @@ def _start_hyper():
 VECTOR_SCHEMA = "model string, key string, chain int, draw int, frac array<double>, conc double, hyper_alpha array<double>, hyper_lambda double"
 
 
-def _key_stream(run: RunLength, model: str, chain: int, sweep: int, key: str):
-    return np.random.default_rng([run.seed, MODELS.index(model), 1, chain, sweep, *key.encode()])
+def _bucket_stream(run: RunLength, model: str, chain: int, sweep: int, bucket: int):
+    return np.random.default_rng([run.seed, MODELS.index(model), 1, chain, sweep, bucket])
 
 
 def _hyper_stream(run: RunLength, model: str, chain: int, sweep: int):
     return np.random.default_rng([run.seed, MODELS.index(model), 2, chain, sweep])
 
 
-def _move_key(block, rng, sweep, frac, conc, alpha, rate):
-    """One sweep of one key; the first starts it."""
+def _move_bucket(block, rng, sweep, frac, conc, alpha, rate):
+    """One sweep of the keys of a bucket; the first starts them."""
     if sweep == 0:
         frac, conc = block.start(rng)
     return block.update(rng, frac, conc, alpha, rate)
@@ -141,15 +144,15 @@ def _move_key(block, rng, sweep, frac, conc, alpha, rate):
 def _run_chain(run: RunLength):
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         model, number = pdf["model"].iloc[0], int(pdf["chain"].iloc[0])
-        pdf = pdf.sort_values("key")
-        keys, blocks = list(pdf["key"]), [Block([c]) for c in pdf["cells"]]
-        state = [(None, None)] * len(keys)
+        pdf = pdf.sort_values(["bucket", "key"])
+        keys, blocks = list(pdf["key"]), {int(b): Block(list(part["cells"])) for b, part in pdf.groupby("bucket")}
+        state = [(None, None)] * len(blocks)
         alpha, rate = _start_hyper()
         fracs, concs, alphas, rates = [], [], [], []
         for sweep in range(run.tune + run.draws):
             state = [
-                _move_key(b, _key_stream(run, model, number, sweep, k), sweep, *s, alpha, rate)
-                for k, b, s in zip(keys, blocks, state)
+                _move_bucket(block, _bucket_stream(run, model, number, sweep, b), sweep, *s, alpha, rate)
+                for (b, block), s in zip(blocks.items(), state)
             ]
             frac, conc = np.concatenate([f for f, _ in state]), np.concatenate([c for _, c in state])
             alpha, rate = update_hyper(_hyper_stream(run, model, number, sweep), alpha, len(keys), np.log(frac).sum(axis=0), conc.sum())
@@ -172,38 +175,34 @@ def _run_chain(run: RunLength):
 def _fit_in_tasks(stats: DataFrame, run: RunLength) -> DataFrame:
     """One task per (model, chain)."""
     chains = F.explode(F.sequence(F.lit(0), F.lit(run.chains - 1))).alias("chain")
-    return stats.select("model", "key", "cells", chains).groupBy("model", "chain").applyInPandas(_run_chain(run), VECTOR_SCHEMA)
+    return stats.select("model", "key", "bucket", "cells", chains).groupBy("model", "chain").applyInPandas(_run_chain(run), VECTOR_SCHEMA)
 
 
-def _sweep_keys(run: RunLength, model: str, sweep: int, hyper: dict):
-    """Advance every key of a batch by one sweep."""
+def _sweep_bucket(run: RunLength, model: str, sweep: int, hyper: dict):
+    """Advance the keys of a bucket by one sweep."""
 
-    def advance(batches):
-        for pdf in batches:
-            frac, conc = [], []
-            before = zip(pdf["frac"], pdf["conc"]) if sweep else [(None, None)] * len(pdf)
-            for key, chain, cells, (f, c) in zip(pdf["key"], pdf["chain"], pdf["cells"], before):
-                now = (None, None) if sweep == 0 else (np.asarray(f)[None, :], np.array([c]))
-                f, c = _move_key(Block([cells]), _key_stream(run, model, int(chain), sweep, key), sweep, *now, *hyper[chain])
-                frac.append(f[0])
-                conc.append(c[0])
-            yield pd.DataFrame({"key": pdf["key"], "chain": pdf["chain"], "frac": frac, "conc": conc})
+    def advance(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key")
+        chain, bucket = int(pdf["chain"].iloc[0]), int(pdf["bucket"].iloc[0])
+        now = (np.stack(pdf["frac"]), pdf["conc"].to_numpy()) if sweep else (None, None)
+        frac, conc = _move_bucket(Block(list(pdf["cells"])), _bucket_stream(run, model, chain, sweep, bucket), sweep, *now, *hyper[chain])
+        return pd.DataFrame({"key": pdf["key"], "chain": chain, "frac": list(frac), "conc": conc})
 
     return advance
 
 
 def _fit_by_sweeps(stats: DataFrame, model: str, run: RunLength) -> DataFrame:
-    """One Spark pass over the keys per sweep; each pass is a written table, so a lost executor costs one pass."""
+    """One Spark pass over the buckets per sweep; each pass is a written table, so a lost executor costs one pass."""
     spark = stats.sparkSession
     path = scratch_path(spark, "sweeps")
     chains = F.explode(F.sequence(F.lit(0), F.lit(run.chains - 1))).alias("chain")
-    cells = materialise(stats.select("key", "cells", chains).repartition(parallelism(spark), "key", "chain"), "cells")
+    cells = materialise(stats.select("key", "bucket", "cells", chains).repartition(parallelism(spark), "bucket", "chain"), "cells")
     state = cells.select("key", "chain", F.lit(None).cast("array<double>").alias("frac"), F.lit(None).cast("double").alias("conc"))
     hyper = {c: _start_hyper() for c in range(run.chains)}
     kept = []
     for sweep in range(run.tune + run.draws):
-        moved = cells.join(state, ["key", "chain"]).mapInPandas(
-            _sweep_keys(run, model, sweep, hyper), "key string, chain int, frac array<double>, conc double"
+        moved = cells.join(state, ["key", "chain"]).groupBy("bucket", "chain").applyInPandas(
+            _sweep_bucket(run, model, sweep, hyper), "key string, chain int, frac array<double>, conc double"
         )
         moved.write.parquet(f"{path}/sweep={sweep}")
         state = spark.read.schema(moved.schema).parquet(f"{path}/sweep={sweep}")
@@ -232,6 +231,10 @@ def fit(tails: DataFrame, run: RunLength = RunLength(), task_cells: int = TASK_C
     """
     stats = materialise(key_statistics(tails), "statistics")
     sizes = stats.groupBy("model").agg(F.sum("n_cells").alias("cells"), F.count(F.lit(1)).alias("keys")).collect()
+    if not sizes:
+        raise ValueError("there are no tail counts to fit")
+    buckets = F.create_map(*[F.lit(x) for r in sizes for x in (r["model"], -(-r["keys"] // BUCKET_KEYS))])[F.col("model")]
+    stats = stats.withColumn("bucket", F.pmod(F.xxhash64("key"), buckets))
     small = [r["model"] for r in sizes if r["cells"] <= task_cells and r["keys"] * run.draws <= TASK_VECTORS]
     parts = [_fit_in_tasks(stats.where(F.col("model").isin(small)), run)] if small else []
     large = [r["model"] for r in sizes if r["model"] not in small]

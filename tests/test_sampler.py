@@ -50,8 +50,10 @@ def test_same_seed_same_draws(spark):
     assert rows(one, "model", "key") == rows(lk.with_models(s), "model", "key")
 
 
-def test_sweeps_over_the_cluster_are_the_same_chain(spark):
-    s, _ = planted(spark, 5, groups=2, size=40)
+@pytest.mark.parametrize("bucket", [sm.BUCKET_KEYS, 2])
+def test_sweeps_over_the_cluster_are_the_same_chain(spark, monkeypatch, bucket):
+    monkeypatch.setattr(sm, "BUCKET_KEYS", bucket)
+    s, _ = planted(spark, 5, groups=3, size=40)
     tails = lk.tail_counts(s)
     run = sm.RunLength(chains=2, draws=3, tune=2)
     near, near_hyper = sm.fit(tails, run)
@@ -70,7 +72,7 @@ def test_sweeps_over_the_cluster_are_the_same_chain(spark):
 
 def test_streams_are_apart():
     run = sm.RunLength()
-    seen = {float(sm._key_stream(run, m, 0, 0, k).random()) for m in ("Baseline", "Extended", "Sex") for k in ("", "a")}
+    seen = {float(sm._bucket_stream(run, m, 0, 0, b).random()) for m in ("Baseline", "Extended", "Sex") for b in (0, 1)}
     seen |= {float(sm._hyper_stream(run, m, 0, 0).random()) for m in ("Baseline", "Extended", "Sex")}
     assert len(seen) == 9
 
