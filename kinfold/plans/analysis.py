@@ -39,7 +39,7 @@ class Analysis:
         a = cls.__new__(cls)
         a.spark = spark
         for name in KEPT:
-            setattr(a, name, spark.read.parquet(f"{out}/{name}"))
+            setattr(a, name, survey.read_draws(spark, f"{out}/{name}") if name == "draws" else spark.read.parquet(f"{out}/{name}"))
         a.dyads = spark.read.parquet(f"{out}/dyads")
         a.run = sampler.RunLength(**spark.read.parquet(f"{out}/run_length").first().asDict())
         return a

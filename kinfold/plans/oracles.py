@@ -466,6 +466,7 @@ CTES["tied"] = "SELECT * FROM dense WHERE tied"
 _BODIES = {
     "scan_csv_na": "SELECT group_id, id, female FROM resp",
     "scan_csv_limited": "SELECT least(count(*), 100) AS read, least(count(*), 100) AS known FROM resp",
+    "snapshot_intervals": f"SELECT {SERIES}, {_r('lower_bound, higher_bound, pmean')} FROM ptable",
     "draws_snapshot": "SELECT model, chain, draw, parameter, category, round(value, 6) AS value FROM long",
     "profile_respondents": _profile("resp", [("id", "string"), ("group_id", "string"), ("female", "int"), ("group_txt", "string"), ("hh_id", "string")]),
     "profile_composition": _profile("comp", [("id", "string"), ("lender_ij", "bigint"), ("lender_ji", "bigint"), *[(c, "bigint") for c in CATEGORIES]]),

@@ -98,6 +98,15 @@ def draws_snapshot(spark, sf_dir):
     return rounded(back.select("model", "chain", "draw", "parameter", "category", "value"))
 
 
+@query
+def snapshot_intervals(spark, sf_dir):
+    """Means and intervals of a snapshot, in the distribution it is written in."""
+    path = scratch_path(spark, "snapshot")
+    sources.write_draws(fitted(spark, sf_dir).long(), path)
+    back = sources.read_draws(spark, path)
+    return rounded(draws.hdi_wide(draws.hdi_in_place(back)).join(draws.posterior_means(back), draws.SERIES))
+
+
 @query
 def profile_respondents(spark, sf_dir):
     return tables.profile(Survey(spark, sf_dir).respondents.select("id", "group_id", "female", "group_txt", "hh_id"))

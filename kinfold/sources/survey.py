@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions.columns import require
 from kinfold.functions.values import NA_TOKENS
+from kinfold.sources.workspace import parallelism
 
 
 def read_table(spark: SparkSession, path: str, columns: dict, limit: int | None = None) -> DataFrame:
@@ -83,10 +86,32 @@ def _by_id(table: DataFrame, *columns: str) -> DataFrame:
     return rows.select("id", once.alias("r")).select("id", *[F.col(f"r.{c}") for c in columns])
 
 
-def write_draws(draws: DataFrame, path: str) -> None:
-    """Snapshot of fitted draws, one folder per model."""
-    draws.write.mode("errorifexists").partitionBy("model").parquet(path)
+def write_draws(draws: DataFrame, path: str, buckets: int | None = None) -> None:
+    """Snapshot of fitted draws: a folder for each model, in it the series in buckets, each sorted by value.
+
+    `read_draws` keeps this distribution, so that groups and windows by series need no exchange.
+    """
+    spark = draws.sparkSession
+    buckets = buckets or parallelism(spark)
+    name = f"kinfold_draws_{uuid.uuid4().hex}"
+    (
+        draws.repartition(buckets, "parameter", "category")
+        .write.mode("errorifexists").format("parquet").partitionBy("model").bucketBy(buckets, "parameter", "category")
+        .sortBy("parameter", "category", "value").option("path", path).saveAsTable(name)
+    )
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.json(f"{path}/_layout")
 
 
 def read_draws(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """A snapshot with the distribution it was written in, as a table of this session."""
+    buckets = spark.read.schema("buckets int").json(f"{path}/_layout").first()["buckets"]
+    columns = [f for f in spark.read.parquet(path).schema.fields if f.name != "model"]
+    name = f"kinfold_draws_{uuid.uuid4().hex}"
+    listed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)
+    spark.sql(
+        f"CREATE TABLE {name} ({listed}, model string) USING parquet PARTITIONED BY (model) "
+        f"CLUSTERED BY (parameter, category) SORTED BY (parameter, category, value) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    spark.catalog.recoverPartitions(name)
+    return spark.table(name)

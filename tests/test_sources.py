@@ -100,3 +100,28 @@ def test_snapshot(spark, tmp_path):
                                "model string, chain int, draw int, parameter string, category string, value double")
     survey.write_draws(df, str(tmp_path / "draws"))
     assert rows(survey.read_draws(spark, str(tmp_path / "draws")), *df.columns) == rows(df)
+
+
+def test_a_snapshot_keeps_its_distribution(spark, tmp_path):
+    """Means and intervals of a snapshot equal those of the draws, without an exchange."""
+    from kinfold.operators import draws as dr
+
+    df = spark.range(4 * 50).selectExpr("cast(id % 4 AS int) AS chain", "cast(id div 4 AS int) AS draw").selectExpr(
+        "explode(array('Baseline', 'Sex')) AS model", "chain", "draw"
+    ).selectExpr("model", "chain", "draw", "explode(array('frac', 'conc', 'frac_vill_1', 'frac_vill_2')) AS parameter").selectExpr(
+        "model", "chain", "draw", "parameter", "explode(array('a', 'b', 'c')) AS category"
+    ).selectExpr("*", "round(rand(3) + chain, 2) AS value").cache()
+    path = str(tmp_path / "draws")
+    survey.write_draws(df, path, buckets=5)
+    back = survey.read_draws(spark, path)
+    assert rows(back, *df.columns) == rows(df)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for found, expected in ((dr.posterior_means(back), dr.posterior_means(df)), (dr.hdi_in_place(back), dr.hdi(df))):
+            assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+            assert sorted(tuple(r)[:-1] for r in found.collect()) == sorted(tuple(r)[:-1] for r in expected.collect())
+            assert sorted(r[-1] for r in found.collect()) == pytest.approx(sorted(r[-1] for r in expected.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    df.unpersist()
