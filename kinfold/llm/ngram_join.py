@@ -396,5 +396,5 @@ def keep_one_of_each(docs: DataFrame, width: int = 4, percent: int = 85) -> Data
     """The documents whose id is the smallest of their component, with all their columns. Null is an id like others and
     comes first, so all rows of a null id stay."""
     found = jaccard_components(docs, width, percent)
-    stay = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+    stay = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("kin_stays")).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("kin_stays")), "left_semi")

@@ -198,10 +198,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, folds:
     return Machine().fit(rows, np.array([r["label"] for r in found], float))
 
 
-def scored(docs: DataFrame, machine: Machine) -> DataFrame:
-    """`docs` with `score` between 0 and 1 of every whole text. Null texts count as empty, and empty ones are scored too."""
+def scored(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
+    """`docs` with the score of every whole text, between 0 and 1, in column `name`, in place of any such column. Null
+    texts count as empty, and empty ones are scored too. Repeated rows score alike; an empty table gives an empty result."""
     held = docs.sparkSession.sparkContext.broadcast(vars(machine))
-    docs = docs.drop("score")
+    docs = docs.drop(name)
     names = docs.columns
 
     def task(batches):
@@ -211,14 +212,15 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
             own = batch.select(names)
             for first, texts in slices(batch.column("kin_text")):
                 score = model.score(*features(texts, chars[first:first + len(texts)]))
-                yield pa.RecordBatch.from_arrays([*own.slice(first, len(texts)).columns, pa.array(score)], names=[*names, "score"])
+                yield pa.RecordBatch.from_arrays([*own.slice(first, len(texts)).columns, pa.array(score)], names=[*names, name])
 
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], "score double"])
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], f"{name} double"])
     return _chars(docs).mapInArrow(task, schema)
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted (1 from THRESHOLD on) of every row; an empty table gives an empty result."""
+    """doc_id, held_out, score, predicted (1 from THRESHOLD on) of every row. Null texts count as empty, a null id as empty
+    text, repeated rows score alike; other columns are ignored, and an empty table gives an empty result."""
     narrow = docs.select(*[c for c in ("doc_id", "text", "n_chars") if c in docs.columns])
     return scored(narrow, fit(narrow, labels)).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
@@ -226,5 +228,6 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that are predicted 1, with their own columns."""
-    return scored(docs, fit(docs, labels)).where(F.col("score") >= THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of `docs` that are predicted 1, with their own columns, whatever their names. Null and empty texts are
+    scored like others, repeated rows stay or go together; an empty table gives an empty result."""
+    return scored(docs, fit(docs, labels), "kin_score").where(F.col("kin_score") >= THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])

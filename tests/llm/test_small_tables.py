@@ -74,12 +74,31 @@ def test_words_and_hashes():
 
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (7, 7), (3, 1), (9, 8), (8, 6), (6, 10)] + [(20, k) for k in range(21, 60)] + [(100 + k, 101 + k) for k in range(30)]
-    found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    df = spark.createDataFrame(edges, "u long, v long")
+    found = {r["node"]: r["component"] for r in components.components(df).collect()}
+    assert {r["node"]: r["component"] for r in components.components(df, task_edges=5).collect()} == found
     assert found[3] == found[2] == found[1] == 1 and found[5] == 4 and found[10] == found[9] == 6 and found[59] == 20 and found[130] == 100
     assert 7 not in found
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_forest_of_random_edges():
+    rng = np.random.default_rng(7)
+    for n, m in ((1, 0), (5, 3), (200, 150), (200, 600)):
+        u, v = rng.integers(-n, n, (2, m))
+        u, v = u[u != v], v[u != v]
+        want = {int(x): int(x) for x in np.r_[u, v]}
+        changed = True
+        while changed:
+            changed = False
+            for a, b in zip(u.tolist(), v.tolist()):
+                low = min(want[a], want[b])
+                changed |= want[a] != low or want[b] != low
+                want[a] = want[b] = low
+        nodes, roots = components.forest(u, v)
+        assert dict(zip(nodes.tolist(), roots.tolist())) == {k: r for k, r in want.items() if k != r}
+
+
 def test_shards(docs, empty, table):
     found = sharding.shard(docs, 5).toPandas()
     assert len(found) == len(table)
