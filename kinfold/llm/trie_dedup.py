@@ -1,10 +1,10 @@
 """Exact duplicates: owners of equal texts, found in Patricia tries.
 
-Texts are dealt out by length and content hash. A task inserts full byte strings into compressed radix
-tries, one for each (length, hash), whose terminal nodes hold the identifier that stays and the number of
-copies. Tasks first do this to the rows they read, so a text with any number of copies is sent once a task.
-When the held strings exceed a bound, finished subtrees are written out: rows arrive ordered by length and
-hash, so every trie but the last one is finished.
+Texts are dealt out by length and content hash, so equal ones meet in one partition. A task inserts the full byte
+strings of its partition into one compressed radix trie: strings branch where they differ, and terminal nodes hold the
+identifier that stays and the number of copies. Tasks first do this to the rows they read, so a text with any number of
+copies is sent once a task. When the held strings exceed a bound, whole subtrees are written out, the largest first,
+until half of it is free. Rows arrive ordered by length and hash, so a string is finished when the next one comes.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Bytes of text whose tries one task holds at a time.
-HELD_BYTES = 48 << 20
+# Bytes of labels, with NODE_BYTES for each node, that the trie of a task holds at a time.
+HELD_BYTES, NODE_BYTES = 48 << 20, 300
 
 
 def _common(a: bytes, b: bytes, at: int) -> int:
@@ -42,7 +42,7 @@ class PatriciaTrie:
     """Byte strings with the identifier that stays (smallest, or largest) and the number of insertions."""
 
     def __init__(self, largest: bool = False):
-        self.root, self.better = Node(b""), max if largest else min
+        self.root, self.better, self.held = Node(b""), max if largest else min, 0
 
     def insert(self, key: bytes, owner, copies: int = 1) -> bool:
         """Whether the string is new."""
@@ -51,6 +51,7 @@ class PatriciaTrie:
             child = node.children.get(key[at])
             if child is None:
                 node.children[key[at]] = Node(key[at:], owner, copies)
+                self.held += len(key) - at + NODE_BYTES
                 return True
             same = len(child.label) if key.startswith(child.label, at) else _common(child.label, key, at)
             if same < len(child.label):
@@ -58,6 +59,7 @@ class PatriciaTrie:
                 upper.children[child.label[same]] = child
                 child.label = child.label[same:]
                 node.children[key[at]] = upper
+                self.held += NODE_BYTES
                 child = upper
             node, at = child, at + same
         new = node.copies == 0
@@ -68,49 +70,86 @@ class PatriciaTrie:
         node.copies += copies
         return new
 
-    def items(self):
-        """(string, owner, copies) of every terminal node."""
-        stack = [(self.root, b"")]
+    def items(self, root: Node | None = None, before: bytes = b""):
+        """(string, owner, copies) of every terminal node of a subtree, where `before` leads to its root."""
+        stack = [(root or self.root, before)]
         while stack:
-            node, before = stack.pop()
-            key = before + node.label
+            node, start = stack.pop()
+            key = start + node.label
             if node.copies:
                 yield key, node.owner, node.copies
             stack.extend((child, key) for child in node.children.values())
 
-
-PARTIAL = "size long, hash long, content binary, owner long, copies long"
+    def _sizes(self) -> dict:
+        """Held bytes of the subtree of every node."""
+        order, sizes = [self.root], {}
+        for node in order:
+            order.extend(node.children.values())
+        for node in reversed(order):
+            sizes[id(node)] = len(node.label) + NODE_BYTES + sum(sizes[id(c)] for c in node.children.values())
+        return sizes
+
+    def spill(self, most: int):
+        """Take out the largest subtrees until `most` bytes are held, each as (its prefix, its items).
+
+        From the root, the way leads into the largest child as long as that alone holds more than has to go.
+        """
+        sizes = self._sizes()
+        while self.held > most and self.root.children:
+            path, before = [self.root], b""
+            while True:
+                child = max(path[-1].children.values(), key=lambda c: sizes[id(c)])
+                if sizes[id(child)] <= self.held - most or not child.children:
+                    break
+                path.append(child)
+                before += child.label
+            while len(path) > 1 and not path[-1].copies and len(path[-1].children) == 1:
+                # A node that leads to nothing else goes too.
+                child = path.pop()
+                before = before[:len(before) - len(child.label)]
+            node, gone = path[-1], sizes[id(child)]
+            del node.children[child.label[0]]
+            if node is not self.root and not node.copies and len(node.children) == 1:
+                # One child is left without a string between: both are one edge again.
+                (only,) = node.children.values()
+                node.label, node.children, node.owner, node.copies = node.label + only.label, only.children, only.owner, only.copies
+                gone += NODE_BYTES
+            for up in path:
+                sizes[id(up)] -= gone
+            self.held -= gone
+            yield before, self.items(child, before)
+
+
+CONTENTS = "content binary, owner long, copies long"
 OWNERS = "sha binary, owner long, copies long"
 
 
 def _tries(largest: bool, final: bool, held_bytes: int):
     """Merge rows (size, hash, content, owner, copies) of equal content; `final` gives digests for contents."""
-    names = [c.split()[0] for c in (OWNERS if final else PARTIAL).split(", ")]
-    kinds = [pa.binary(), pa.int64(), pa.int64()] if final else [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    names = [c.split()[0] for c in (OWNERS if final else CONTENTS).split(", ")]
+    kinds = [pa.binary(), pa.int64(), pa.int64()]
 
-    def written(forest):
+    def written(items):
         rows = []
-        for (size, digest), trie in forest.items():
-            for content, owner, copies in trie.items():
-                rows.append((hashlib.sha256(content).digest(), owner, copies) if final else (size, digest, content, owner, copies))
-        for a in range(0, len(rows), 2000):
-            columns = zip(*rows[a:a + 2000])
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+        for content, owner, copies in items:
+            rows.append((hashlib.sha256(content).digest() if final else content, owner, copies))
+            if len(rows) == 2000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     def task(batches):
-        forest, held = {}, 0
+        trie, last = PatriciaTrie(largest), None
         for batch in batches:
             contents = batch.column("content")
             for i, (size, digest, owner, copies) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("size", "hash", "owner", "copies")))):
-                if held > held_bytes and (size, digest) not in forest:
-                    yield from written(forest)
-                    forest, held = {}, 0
-                trie = forest.get((size, digest))
-                if trie is None:
-                    trie = forest[size, digest] = PatriciaTrie(largest)
-                if trie.insert(contents[i].as_py(), owner, copies):
-                    held += size + 300
-        yield from written(forest)
+                if trie.held > held_bytes and (size, digest) != last:
+                    for _, items in trie.spill(held_bytes // 2):
+                        yield from written(items)
+                last = size, digest
+                trie.insert(contents[i].as_py(), owner, copies)
+        yield from written(trie.items())
 
     return task
 
@@ -123,9 +162,10 @@ def owners(docs: DataFrame, keep: str = "max", id_col: str = "doc_id", text_col:
         F.col(id_col).cast("long").alias("owner"), F.lit(1).cast("long").alias("copies"),
     )
     largest = keep == "max"
-    partial = rows.mapInArrow(_tries(largest, False, held_bytes), PARTIAL)
+    partial = rows.mapInArrow(_tries(largest, False, held_bytes), CONTENTS)
+    named = partial.select(F.octet_length("content").cast("long").alias("size"), F.xxhash64("content").alias("hash"), "content", "owner", "copies")
     return (
-        partial.repartition("size", "hash").sortWithinPartitions("size", "hash")
+        named.repartition("size", "hash").sortWithinPartitions("size", "hash")
         .mapInArrow(_tries(largest, True, held_bytes), OWNERS)
     )
 

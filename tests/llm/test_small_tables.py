@@ -379,6 +379,61 @@ def test_trie():
     assert {k: (o, c) for k, o, c in trie.items()} == {k: (max(i for i, x in enumerate(keys) if x == k), keys.count(k)) for k in set(keys)}
 
 
+@pytest.mark.parametrize("most", [0, 300, 3000, 20_000])
+def test_trie_spills_subtrees(most):
+    """What is spilled and what is left are all strings, each once; subtrees have the prefix they say, and what is held
+    is what the nodes hold."""
+    rng = np.random.default_rng(8)
+    keys = [bytes(rng.integers(97, 99, int(rng.integers(0, 14))).astype(np.uint8)) for _ in range(300)] + [b"licence " * 20 + bytes([k]) for k in range(40)]
+    trie, want = trie_dedup.PatriciaTrie(), {}
+
+    def held(node):
+        return sum(len(c.label) + trie_dedup.NODE_BYTES + held(c) for c in node.children.values())
+
+    for k, key in enumerate(keys):
+        trie.insert(key, k)
+        o, c = want.get(key, (k, 0))
+        want[key] = min(o, k), c + 1
+    assert trie.held == held(trie.root) and any(c.children for c in trie.root.children.values())
+    found, prefixes = {}, set()
+    for prefix, items in trie.spill(most):
+        items = list(items)
+        assert items and all(k.startswith(prefix) for k, _, _ in items)
+        prefixes.add(prefix)
+        assert not {k for k, _, _ in items} & found.keys()
+        found.update({k: (o, c) for k, o, c in items})
+        assert trie.held == held(trie.root)
+    assert trie.held <= most or not trie.root.children
+    if most:
+        assert any(prefixes)
+    found.update({k: (o, c) for k, o, c in trie.items()})
+    assert found == want
+    # Strings go on to be inserted where a subtree was.
+    for k, key in enumerate(keys):
+        trie.insert(key, k)
+    assert trie.held == held(trie.root) and {k for k, _, _ in trie.items()} == set(want)
+
+
+def test_tries_of_a_partition_branch_and_spill(spark, monkeypatch):
+    """A task's trie has branches over texts of all lengths; owners stay right where it spills all the time."""
+    texts_ = [f"header of all texts {'x' * (k % 7)} {k % 90}" for k in range(600)] + ["", "h"]
+    docs_ = spark.createDataFrame([(k, t) for k, t in enumerate(texts_)], "doc_id long, text string").repartition(3)
+    last = {t: k for k, t in enumerate(texts_)}
+    for held in (0, 5000, 1 << 20):
+        found = trie_dedup.owners(docs_, held_bytes=held).collect()
+        assert {bytes(r["sha"]): (r["owner"], r["copies"]) for r in found} == {hashlib.sha256(t.encode()).digest(): (k, texts_.count(t)) for t, k in last.items()}
+        assert len(found) == len(last)
+    spilled = []
+    plain = trie_dedup.PatriciaTrie.spill
+    monkeypatch.setattr(trie_dedup.PatriciaTrie, "spill", lambda self, most: ((spilled.append((p, self.root.children)) or (p, i)) for p, i in plain(self, most)))
+    batch = pa.RecordBatch.from_pydict({
+        "size": [len(t) for t in sorted(texts_)], "hash": list(range(len(texts_))), "content": [t.encode() for t in sorted(texts_)],
+        "owner": list(range(len(texts_))), "copies": [1] * len(texts_)})
+    out = pa.Table.from_batches(list(trie_dedup._tries(True, True, 20_000)([batch])))
+    assert len(spilled) > 2 and any(p.startswith(b"header") for p, _ in spilled)
+    assert set(out["sha"].to_pylist()) == {hashlib.sha256(t.encode()).digest() for t in texts_}
+
+
 @pytest.mark.parametrize("held", [1, 1 << 20])
 def test_exact_groups(docs, empty, table, held, monkeypatch):
     monkeypatch.setattr(trie_dedup, "HELD_BYTES", held)
