@@ -1,7 +1,9 @@
 """Corpus pipeline: five stages, each over all that the one before has kept and written.
 
 Every stage takes (spark, docs, sf_dir). All but the last return the columns of documents; the last returns the
-ids and tokens of each kept row. Rows are whole throughout; the mix may repeat a row.
+ids and tokens of each kept row. Rows are whole throughout; the mix may repeat a row. In every stage null texts count as
+empty, null ids and sources are values like others, rows that repeat an id and a text are treated alike, other columns
+stay as they are, whatever their names, and an empty table gives an empty result.
 """
 
 from __future__ import annotations

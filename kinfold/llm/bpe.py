@@ -494,7 +494,11 @@ def encode(docs: DataFrame, tokenizer_file: str, text_col: str = "text", into: s
 
 
 def decode(encoded: DataFrame, tokenizer_file: str, ids_col: str = "ids", into: str = "text") -> DataFrame:
-    """`encoded` with the texts of its ids; special tokens are kept, bytes that are no UTF-8 become U+FFFD."""
+    """`encoded` with the texts of its ids; special tokens are kept, bytes that are no UTF-8 become U+FFFD.
+
+    Rows keep their other columns, but for one named `into`; no ids and null give an empty text, repeated rows decode
+    alike. An empty table gives an empty result.
+    """
     encoded = encoded.drop(into)
     held = encoded.sparkSession.sparkContext.broadcast(vars(Vocabulary(tokenizer_file)))
 

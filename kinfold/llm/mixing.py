@@ -98,7 +98,11 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The rows of `docs`, each as often as the mix takes it."""
+    """The rows of `docs`, each as often as the mix takes it, with all their columns, whatever their names.
+
+    Null texts have size 0 and a null source is a source of its own, last in order; rows that repeat a doc_id draw alike.
+    An empty table gives an empty result.
+    """
     sized = docs.select(F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
     table = materialise(rates(sized), "rates").select(F.col("source").alias("kin_source"), "source_size", "target")
     columns = [F.col(f"d.`{c}`") for c in docs.columns]

@@ -393,8 +393,11 @@ def _smallest(column: str):
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """The documents whose id is the smallest of their component, with all their columns. Null is an id like others and
-    comes first, so all rows of a null id stay."""
+    """The documents whose id is the smallest of their component, with all their columns, whatever their names.
+
+    Null is an id like others and comes first, so all rows of a null id stay. Null and empty texts are linked with nothing
+    and stay; rows that repeat an id stay or go together. An empty table gives an empty result.
+    """
     found = jaccard_components(docs, width, percent)
     stay = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("kin_stays")).distinct()
     return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("kin_stays")), "left_semi")

@@ -192,7 +192,11 @@ def exact_groups(docs: DataFrame, keep: str = "max", id_col: str = "doc_id", tex
 
 
 def without_copies(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """The rows of `docs` that stay, with all their columns."""
+    """The rows of `docs` that stay, with all their columns, whatever their names.
+
+    Null texts count as empty, and a null id stays only if no row of its text has one. Rows that repeat both id and text
+    stay or go together. An empty table gives an empty result.
+    """
     stay = owners(docs, keep).select(F.lower(F.hex("sha")).alias("kin_sha"), F.col("owner").alias("kin_owner"))
     sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
     return docs.join(stay, (sha == F.col("kin_sha")) & F.col("doc_id").eqNullSafe(F.col("kin_owner")), "left_semi")

@@ -124,7 +124,12 @@ def edited(text: Column, other: Column) -> Column:
 
 def compared_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document with its edited text (last half from the next document by descending id), the fingerprints of
-    both, and how alike its fingerprint is to the edited text's and to the next document's."""
+    both, and how alike its fingerprint is to the edited text's and to the next document's.
+
+    Null texts count as empty; two empty fingerprints are alike. Rows of one id follow each other by their texts, a null
+    id comes after all others, and a single row is its own next one. An empty table gives an empty result; other columns
+    are dropped.
+    """
     rows = with_next(whole_texts(docs, id_col, text_col), ["text"])
     changed = rows.withColumn("edited_text", edited(F.col("text"), F.col("next_text")))
     # Fingerprints are made after the rows have moved: they would add more to the shuffle than they cost to make.
