@@ -2,10 +2,11 @@
 
 Training texts give the counts of all their words. One bucket of words is counted in one place; there the words'
 subword ids are counted too, and every text gets its part of the base score. A small attention model is trained on
-all ids of the training texts, in consecutive windows: tasks train copies of it, whose weights are averaged after each round.
+all ids of the training texts, in consecutive windows, each once whatever their number: windows are dealt out to copies
+of the model, which tasks train on a part of them a round; weights and step sizes are averaged after each.
 
-The model predicts whether a word begins, then the class of the next subword id among those that do or do not begin
-one: frequent ids are classes of their own, others share a few, where ids follow their counts. Texts are cut into blocks of STRIDE ids; a window of two blocks scores the second, so windows
+The model predicts the group of the next subword id's class, then the class in it. Groups hold ids that begin a word or
+ids that do not: frequent ids are classes of their own, others share a few, where ids follow their counts. Texts are cut into blocks of STRIDE ids; a window of two blocks scores the second, so windows
 overlap and each id is scored once, from the ids before it only. A word's probability is that of its first id's class,
 given that a word begins, times a mixture: its share of the training words of that class, and its spelling by the
 attention model up to the next beginning. These add up to one at most. Counts of frequent words are broadcast; those of
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from kinfold.llm.bpe import Vocabulary, merge, ragged
 from kinfold.llm.pairs import SEND_PAIRS, bucket_of, buckets_for, pack, runs, text_volume, unpack
 from kinfold.llm.words import mix, slices, span_hashes, words_of
-from kinfold.sources.workspace import materialise
+from kinfold.sources.workspace import materialise, parallelism
 
 FOLDS, HELD_FOLD = 7, 2
 # About as many words may have their counts broadcast; the limit on a word's count grows with the bytes of text, and
@@ -38,8 +39,10 @@ ALONE, GROUPS = 112, 16
 WIDTH, STRIDE = 16, 16
 # Targets of a training window.
 WINDOW = 2 * STRIDE
-COPY_WINDOWS, ROUNDS, BATCH, RATE = 8192, 4, 64, 0.2
-MOST_PASSES = 12
+# Windows of a copy, which come in as many parts as there are rounds; copies of a task; windows a task holds before it sends them.
+COPY_WINDOWS, ROUNDS, BATCH, RATE = 16384, 4, 64, 0.2
+TASK_COPIES = 16
+SEND_WINDOWS = 1 << 16
 BYTES_PER_PAIR = 10
 REMEMBERED = 200_000
 # Bytes of text that are scored at once.
@@ -140,7 +143,7 @@ def _count(vocabulary_fields, least: int, buckets: int):
         log = np.repeat(np.log10(count + 1.0), size)
         known = np.repeat(count > 0, size)
         total = int(count.sum())
-        out = [(kind, 0, n, None, None, None, None) for kind, n in (("all", total), ("distinct", int((count > 0).sum())), ("once", int((count == 1).sum())))]
+        out = [(kind, 0, n, None, None, None, None) for kind, n in (("all", total), ("distinct", int((count > 0).sum())))]
         # Ids of all training words.
         texts = pa.array([b" ".join(rows["spelling"]).decode()], pa.large_string())
         spelled = words_of(texts, lower=False)
@@ -153,9 +156,10 @@ def _count(vocabulary_fields, least: int, buckets: int):
         used = np.flatnonzero(per_id)
         out += [("id", i, c, None, None, None, None) for i, c in zip(used.tolist(), per_id[used].tolist())]
         first = ids[np.r_[0, np.cumsum(lengths)[:-1]].astype(np.int64)[:len(at)]]
-        per_first = np.bincount(first, seen).astype(np.int64)
-        used = np.flatnonzero(per_first)
-        out += [("first", i, c, None, None, None, None) for i, c in zip(used.tolist(), per_first[used].tolist())]
+        for kind, amount in (("first", seen), ("alone", seen == 1)):
+            per_first = np.bincount(first, amount).astype(np.int64)
+            used = np.flatnonzero(per_first)
+            out += [(kind, i, c, None, None, None, None) for i, c in zip(used.tolist(), per_first[used].tolist())]
         often = np.flatnonzero(seen >= least)
         word = hashes[known_words][often].view(np.int64)
         out += [("word", k, c, None, None, None, None) for k, c in zip(word.tolist(), seen[often].tolist())]
@@ -261,93 +265,123 @@ class Layout:
             )
         total = np.bincount(self.kind, count, CLASSES)
         self.log_share = np.log(count / total[self.kind]).astype(np.float32)
-        first, rest = total[:FIRST_CLASSES].sum(), max(0.5, total[FIRST_CLASSES:].sum())
-        self.bias = np.log(np.r_[np.maximum(total[:FIRST_CLASSES], 0.5) / first, np.maximum(total[FIRST_CLASSES:], 0.5) / rest, first / rest])
+        by_group = np.maximum(total, 0.5).reshape(TOPS, GROUP)
+        group = by_group.sum(axis=1)
+        self.bias = np.log(group / group.sum()), np.log(by_group / group[:, None])
 
 
 FIRST_CLASSES = ALONE + GROUPS
 CLASSES = 2 * FIRST_CLASSES
+# Classes of a group; the groups of classes that begin a word come first.
+GROUP = 16
+TOPS = CLASSES // GROUP
+FIRST_TOPS = FIRST_CLASSES // GROUP
 ROWS = OWN_IDS + SHARED_IDS + 2
+# The last input of `top` and `out` is always 1: their bias.
 SHAPES = {
     "embed": (ROWS, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH), "last": (WIDTH, WIDTH),
-    "near": (2 * STRIDE,), "out": (WIDTH, CLASSES + 1), "bias": (CLASSES + 1,),
+    "near": (2 * STRIDE,), "top": (WIDTH + 1, TOPS), "out": (TOPS, WIDTH + 1, GROUP),
 }
 
 
+def _exp(z: np.ndarray) -> np.ndarray:
+    """Exponentials in place, within the range of floats and of sums of a group's."""
+    np.clip(z, -MOST_LOGIT, MOST_LOGIT, out=z)
+    return np.exp(z, out=z)
+
+
 class Attention:
-    """One causal self-attention layer: what is attended to and the last input give the class of the next id.
+    """One causal self-attention layer: what is attended to and the last input give the group of the next id's class,
+    and the class in it.
 
-    Outputs are the logits of the classes and, last, that a word begins; classes of the other kind have no part.
+    `seen` are sums of squared gradients, which set the step sizes of Adagrad.
     """
 
-    def __init__(self, weights: dict[str, np.ndarray]):
+    def __init__(self, weights: dict[str, np.ndarray], seen: dict[str, np.ndarray] | None = None):
         self.w = weights
+        self.seen = seen or {k: np.full(s, 1e-9, np.float32) for k, s in SHAPES.items()}
 
-    @staticmethod
-    def start(bias: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
+    @classmethod
+    def start(cls, bias, seed: int = 5) -> Attention:
         rng = np.random.default_rng(seed)
         weights = {k: rng.normal(0, 0.3 / (1 if k == "embed" else np.sqrt(WIDTH)), s) for k, s in SHAPES.items()}
-        weights["near"], weights["bias"] = np.zeros(SHAPES["near"]), bias
-        return {k: v.astype(np.float32) for k, v in weights.items()}
+        weights["near"], (weights["top"][-1], weights["out"][:, -1]) = np.zeros(SHAPES["near"]), bias
+        return cls({k: v.astype(np.float32) for k, v in weights.items()})
 
-    @staticmethod
-    def flat(weights) -> np.ndarray:
-        return np.concatenate([weights[k].ravel() for k in SHAPES]).astype(np.float64)
+    def flat(self) -> np.ndarray:
+        return np.concatenate([held[k].ravel() for held in (self.w, self.seen) for k in SHAPES]).astype(np.float64)
 
-    @staticmethod
-    def shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
-        out, at = {}, 0
-        for k, s in SHAPES.items():
-            out[k] = flat[at:at + int(np.prod(s))].reshape(s).astype(np.float32)
-            at += out[k].size
-        return out
+    @classmethod
+    def shaped(cls, flat: np.ndarray) -> Attention:
+        parts = np.split(flat.astype(np.float32), np.cumsum([np.prod(s) for s in [*SHAPES.values()] * 2])[:-1])
+        shaped = [part.reshape(s) for part, s in zip(parts, [*SHAPES.values()] * 2)]
+        return cls(dict(zip(SHAPES, shaped)), dict(zip(SHAPES, shaped[len(SHAPES):])))
+
+    def _step(self, name: str, grad: np.ndarray, at=...) -> None:
+        # Squares of smaller numbers would leave the range of normal floats.
+        grad = np.where(np.abs(grad) < 1e-18, 0, grad).astype(np.float32)
+        self.seen[name][at] += grad * grad
+        self.w[name][at] -= np.float32(RATE if name == "embed" else RATE / 3) * grad / np.sqrt(self.seen[name][at])
 
     def train(self, windows: np.ndarray, targets: np.ndarray, seed: int) -> None:
-        """One pass of Adagrad over windows of input rows (n, 2 * STRIDE) and target classes, -1 where there is none."""
+        """One pass of Adagrad over windows of input rows (n, WINDOW) and target classes, -1 where there is none."""
         w, rng = self.w, np.random.default_rng(seed)
-        seen = {k: np.full(v.shape, 1e-9, np.float32) for k, v in w.items()}
         span = windows.shape[1]
         far = np.arange(span)[:, None] - np.arange(span)[None, :]
-        causal = far >= 0
+        causal, lag = far >= 0, np.maximum(far, 0)
         scale = np.float32(1 / np.sqrt(WIDTH))
         order = rng.permutation(len(windows))
         for a in range(0, len(order), BATCH):
-            x, y = windows[order[a:a + BATCH]], targets[order[a:a + BATCH]]
-            there = causal & (x != NOTHING)[:, None, :]
-            e = w["embed"][x]
-            q, k, v, u = e @ w["query"], e @ w["key"], e @ w["value"], e @ w["last"]
-            s = np.where(there, q @ k.transpose(0, 2, 1) * scale + w["near"][np.maximum(far, 0)], np.float32(-1e9))
-            p = np.exp(s - s.max(axis=2, keepdims=True)) * there
+            x, y = windows[order[a:a + BATCH]], targets[order[a:a + BATCH]].ravel()
+            rows = x.ravel()
+            e = w["embed"][rows]
+            into = np.hstack([w["query"] * scale, w["key"], w["value"], w["last"]])
+            q, k, v, u = np.split((e @ into).reshape(*x.shape, 4 * WIDTH), 4, axis=2)
+            p = np.matmul(q, k.transpose(0, 2, 1))
+            np.exp(np.clip(p, -20, 20, out=p), out=p)
+            p *= np.where(causal, np.exp(np.clip(w["near"][lag], -20, 20)), np.float32(0))
+            p *= (x != NOTHING)[:, None, :]
             p /= np.maximum(p.sum(axis=2, keepdims=True), 1e-9)
-            h = np.tanh(p @ v + u)
-            z = h @ w["out"] + w["bias"]
-            valid, begins = y >= 0, y < FIRST_CLASSES
-            gate = 1 / (1 + np.exp(-np.clip(z[:, :, -1], -30, 30)))
-            z[:, :, :-1] = np.where((np.arange(CLASSES) < FIRST_CLASSES) == begins[:, :, None], z[:, :, :-1], np.float32(-1e9))
-            z[:, :, -1] = -1e9
-            z = np.exp(z - z.max(axis=2, keepdims=True))
-            z /= z.sum(axis=2, keepdims=True)
-            n = max(1, int(valid.sum()))
-            z[np.arange(len(x))[:, None], np.arange(span)[None, :], np.maximum(y, 0)] -= 1
-            z[:, :, -1] = gate - begins
-            z *= (valid[:, :, None] / n).astype(np.float32)
-            grad = {"out": h.reshape(-1, WIDTH).T @ z.reshape(-1, CLASSES + 1), "bias": z.sum(axis=(0, 1))}
-            dh = (z @ w["out"].T) * (1 - h * h)
-            dp = dh @ v.transpose(0, 2, 1)
-            ds = p * (dp - (dp * p).sum(axis=2, keepdims=True))
-            grad["near"] = np.bincount(far[causal], ds.sum(axis=0)[causal], span)
-            ds *= scale
-            dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, p.transpose(0, 2, 1) @ dh
-            de = dq @ w["query"].T + dk @ w["key"].T + dv @ w["value"].T + dh @ w["last"].T
-            for name, d in (("query", dq), ("key", dk), ("value", dv), ("last", dh)):
-                grad[name] = e.reshape(-1, WIDTH).T @ d.reshape(-1, WIDTH)
-            flat, rows = de.reshape(-1, WIDTH), x.ravel()
-            grad["embed"] = np.column_stack([np.bincount(rows, flat[:, j], ROWS) for j in range(WIDTH)])
+            h = np.ones((len(rows), WIDTH + 1), np.float32)
+            h[:, :WIDTH] = np.tanh(np.matmul(p, v) + u).reshape(-1, WIDTH)
+            # Groups of classes, then the classes of each target's group; targets come by group.
+            valid = np.flatnonzero(y >= 0)
+            valid = valid[np.argsort(y[valid].astype(np.int16), kind="stable")]
+            part = np.float32(1 / max(1, len(valid)))
+            own, group, h_valid = y[valid] % GROUP, y[valid] // GROUP, h[valid]
+            z = _exp(h_valid @ w["top"])
+            z *= part / (z @ np.ones(TOPS, np.float32))[:, None]
+            z[np.arange(len(z)), group] -= part
+            grad = {"top": h_valid.T @ z, "out": np.zeros(SHAPES["out"], np.float32)}
+            back = z @ w["top"][:WIDTH].T
+            cuts = np.searchsorted(group, np.arange(TOPS + 1))
+            for g in np.flatnonzero(np.diff(cuts)):
+                here = slice(cuts[g], cuts[g + 1])
+                out = w["out"][g]
+                z = _exp(h_valid[here] @ out)
+                z *= part / (z @ np.ones(GROUP, np.float32))[:, None]
+                z[np.arange(len(z)), own[here]] -= part
+                grad["out"][g] = h_valid[here].T @ z
+                back[here] += z @ out[:WIDTH].T
+            dh = np.zeros((len(rows), WIDTH), np.float32)
+            dh[valid] = back
+            dh *= 1 - h[:, :WIDTH] * h[:, :WIDTH]
+            d = dh.reshape(*x.shape, WIDTH)
+            ds = np.matmul(d, v.transpose(0, 2, 1))
+            ds -= (ds * p).sum(axis=2, keepdims=True)
+            ds *= p
+            grad["near"] = np.bincount(lag[causal], ds.sum(axis=0)[causal], span)
+            through = np.concatenate(
+                [np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(p.transpose(0, 2, 1), d), d], axis=2
+            ).reshape(-1, 4 * WIDTH)
+            grad["query"], grad["key"], grad["value"], grad["last"] = np.split(e.T @ through, 4, axis=1)
+            grad["query"] = grad["query"] * scale
+            by_row = np.argsort(rows.astype(np.int16), kind="stable")
+            head = runs(rows[by_row])
+            embed = np.add.reduceat((through @ into.T)[by_row], head, axis=0)
             for name, g in grad.items():
-                # Squares of smaller numbers would leave the range of normal floats.
-                g = np.where(np.abs(g) < 1e-18, 0, g).astype(np.float32)
-                seen[name] += g * g
-                w[name] -= np.float32(RATE if name == "embed" else RATE / 3) * g / np.sqrt(seen[name])
+                self._step(name, g)
+            self._step("embed", embed, rows[by_row][head])
 
     def tables(self):
         """Query, key, value and last-input vectors of every input row, ready to look up."""
@@ -355,20 +389,16 @@ class Attention:
         q, k, v, u = (np.ascontiguousarray(e @ self.w[n], np.float32) for n in ("query", "key", "value", "last"))
         return q * np.float32(1 / np.sqrt(WIDTH)), k, v, u
 
-    def log_classes(self, rows: np.ndarray, kinds: np.ndarray, chunk: int = 128):
+    def log_classes(self, rows: np.ndarray, kinds: np.ndarray, chunk: int = 256):
         """(log of each target's class, log that a word begins) of padded blocks.
 
         `rows` has STRIDE inputs before the first block of each window: (blocks, 2 * STRIDE); `kinds` (blocks, STRIDE)
         are target classes. Query i of a block sees the window's inputs up to its own place.
         """
         q, k, v, u = self.tables()
-        # The bias is one more input that is always 1; no sum can leave the range of the exponential.
-        out = np.vstack([self.w["out"], self.w["bias"]]).astype(np.float32)
-        out *= min(1.0, MOST_LOGIT / np.abs(out).sum(axis=0).max())
-        kinds_of = (out[:, FIRST_CLASSES:CLASSES].copy(), out[:, :FIRST_CLASSES].copy())
-        ones = np.ones(FIRST_CLASSES, np.float32)
         far = (np.arange(STRIDE)[:, None] + STRIDE) - np.arange(2 * STRIDE)[None, :]
         near = np.where(far >= 0, np.exp(np.clip(self.w["near"][np.clip(far, 0, 2 * STRIDE - 1)], -20, 20)), 0).astype(np.float32)
+        all_and_first = np.stack([np.ones(TOPS), np.arange(TOPS) < FIRST_TOPS], axis=1).astype(np.float32)
         target, begins = np.empty(kinds.shape, np.float32), np.empty(kinds.shape, np.float32)
         for a in range(0, len(rows), chunk):
             x = rows[a:a + chunk]
@@ -383,17 +413,19 @@ class Attention:
             seen += u[own]
             np.tanh(seen, out=h[:, :, :WIDTH])
             h = h.reshape(-1, WIDTH + 1)
-            gate = h @ out[:, -1]
             y = kinds[a:a + chunk].ravel()
-            one = np.empty(len(y), np.float32)
-            for first, of_kind in enumerate(kinds_of):
-                at = np.flatnonzero((y < FIRST_CLASSES) == bool(first))
-                z = h[at] @ of_kind
-                np.exp(z, out=z)
-                own_class = y[at] - (0 if first else FIRST_CLASSES)
-                one[at] = np.log(z[np.arange(len(at)), own_class] / (z @ ones)) - np.logaddexp(0, -gate[at] if first else gate[at])
-            target[a:a + chunk] = one.reshape(-1, STRIDE)
-            begins[a:a + chunk] = -np.logaddexp(0, -gate).reshape(-1, STRIDE)
+            z = _exp(h @ self.w["top"])
+            sums = z @ all_and_first
+            begins[a:a + chunk] = np.log(sums[:, 1] / sums[:, 0]).reshape(-1, STRIDE)
+            chance = z[np.arange(len(y)), y // GROUP] / sums[:, 0]
+            by_group = np.argsort(y.astype(np.int16), kind="stable")
+            cuts = np.searchsorted(y[by_group] // GROUP, np.arange(TOPS + 1))
+            log = np.log(chance)
+            for g in np.flatnonzero(np.diff(cuts)):
+                at = by_group[cuts[g]:cuts[g + 1]]
+                z = _exp(h[at] @ self.w["out"][g])
+                log[at] += np.log(z[np.arange(len(at)), y[at] % GROUP] / (z @ np.ones(GROUP, np.float32)))
+            target[a:a + chunk] = log.reshape(-1, STRIDE)
         return target, begins
 
 
@@ -454,21 +486,21 @@ class Model:
                 at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
                 count = np.where(keys[at] == hashes, counts[at], count)
         begin = np.r_[0, np.cumsum(per_word)[:-1]].astype(np.int64)[:len(hashes)]
-        share = count / np.maximum(1.0, self.totals)[self.layout.kind[ids[begin]]]
-        log[is_word] += np.log(self.part * share + (1 - self.part) * np.exp(spelling))
+        kind = self.layout.kind[ids[begin]]
+        share, part = count / np.maximum(1.0, self.totals)[kind], self.part[kind]
+        log[is_word] += np.log(part * share + (1 - part) * np.exp(spelling))
         return np.add.reduceat(log, np.r_[0, np.cumsum(units)[:-1]]) / np.log(10)
 
     @staticmethod
-    def fields(layout: Layout, weights, words: pd.DataFrame, firsts: pd.DataFrame, total: int, once: int) -> dict:
-        """`words` (key, n) are the lexicon, `firsts` (key, n) the training words by first id; the part of shares is what
-        training words not seen once leave."""
+    def fields(layout: Layout, weights, words: pd.DataFrame, firsts: pd.DataFrame, once: pd.DataFrame) -> dict:
+        """`words` (key, n) are the lexicon, `firsts` (key, n) the training words by first id, `once` those that occur once.
+        The part of shares in a class is what words leave that would be unknown without their only occurrence."""
         key = words["key"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(key)
-        part = (total - once) / max(1, total)
+        totals, alone = (np.bincount(layout.kind[c["key"].to_numpy(np.int64)], c["n"].to_numpy(float), CLASSES) for c in (firsts, once))
         return {
             "layout": vars(layout), "weights": weights, "lexicon": key[order], "counts": words["n"].to_numpy(float)[order],
-            "totals": np.bincount(layout.kind[firsts["key"].to_numpy(np.int64)], firsts["n"].to_numpy(float), CLASSES),
-            "part": float(np.clip(part, LEAST_PART, 1 - LEAST_PART)),
+            "totals": totals, "part": np.clip(1 - (alone + 0.5) / (totals + 1), LEAST_PART, 1 - LEAST_PART),
         }
 
     @classmethod
@@ -485,11 +517,30 @@ def layout_of(fields: dict) -> Layout:
 
 # ---------------------------------------------------------------- training
 
-def _windows(held, held_layout):
-    """Training windows of input rows and target classes: each text's ids and its end in order, each a target once."""
+def _codes(layout: Layout):
+    """(type of a window's codes, input row of each code, class of each code). Beyond the ids and the end there are two
+    codes: the beginning of a text and nothing."""
+    kind = np.uint16 if layout.end + 3 <= 1 << 16 else np.int32
+    return kind, np.r_[layout.row, BEGIN, NOTHING], np.r_[layout.kind, -1, -1]
+
+
+def _windows(held, held_layout, copies: int):
+    """Training windows by copy: each text's ids and its end in order, each a target once. A window has the code before
+    its first target, then its targets' codes."""
 
     def task(batches):
         subwords, layout = Subwords(Vocabulary.of(held.value)), layout_of(held_layout.value)
+        kind, begin, nothing = _codes(layout)[0], layout.end + 1, layout.end + 2
+        found, copy, waiting = [], [], 0
+
+        def packed():
+            codes, of = np.concatenate(found), np.concatenate(copy)
+            order = np.argsort(of, kind="stable")
+            codes, of = codes[order], of[order]
+            head = runs(of)
+            rows = [codes[a:b].tobytes() for a, b in zip(head, np.r_[head[1:], len(of)])]
+            return pa.RecordBatch.from_arrays([pa.array(of[head], pa.int64()), pa.array(rows, pa.binary())], names=["copy", "codes"])
+
         for batch in batches:
             seats = batch.column("seat").to_numpy(zero_copy_only=False).view(np.uint64)
             for first, texts in slices(batch.column("text"), PASS):
@@ -497,55 +548,67 @@ def _windows(held, held_layout):
                 ids, per_word = subwords.of(words, words.hashes())
                 per_text = np.bincount(words.doc, per_word, words.docs).astype(np.int64)
                 windows = -(-(per_text + 1) // WINDOW)
-                base = np.r_[0, np.cumsum(windows * WINDOW)]
-                x, y = np.full(base[-1], NOTHING, np.int16), np.full(base[-1], -1, np.int16)
-                x[base[:-1]] = BEGIN
-                x[ragged(base[:-1] + 1, per_text)] = layout.row[ids]
-                y[ragged(base[:-1], per_text)] = layout.kind[ids]
-                y[base[:-1] + per_text] = layout.kind[layout.end]
+                base = np.r_[0, np.cumsum(windows * WINDOW + 1)]
+                flat = np.full(base[-1], nothing, kind)
+                flat[base[:-1]] = begin
+                flat[ragged(base[:-1] + 1, per_text)] = ids
+                flat[base[:-1] + 1 + per_text] = layout.end
                 of = np.repeat(np.arange(len(texts)), windows)
-                turn = (np.arange(len(of)) - np.searchsorted(of, of)).astype(np.uint64)
-                draw = mix(mix(seats[first:first + len(texts)])[of] + turn * np.uint64(0x9E3779B97F4A7C15))
-                yield pa.RecordBatch.from_arrays([pa.array(draw.view(np.int64)), _rows_of(x), _rows_of(y)], names=["draw", "x", "y"])
+                turn = np.arange(len(of)) - np.searchsorted(of, of)
+                draw = mix(mix(seats[first:first + len(texts)])[of] + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                found.append(flat[(base[:-1][of] + turn * WINDOW)[:, None] + np.arange(WINDOW + 1)])
+                copy.append((draw % np.uint64(copies)).astype(np.int64))
+                waiting += len(of)
+                if waiting >= SEND_WINDOWS:
+                    yield packed()
+                    found, copy, waiting = [], [], 0
+        if waiting:
+            yield packed()
 
     return task
 
 
-def _rows_of(flat: np.ndarray) -> pa.Array:
-    """Each WINDOW numbers as one binary value."""
-    n = len(flat) // WINDOW
-    ends = np.arange(n + 1, dtype=np.int32) * np.int32(WINDOW * flat.itemsize)
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(flat)])
-
-
-def _train_copy(flat, number: int):
-    def train(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["draw", "x", "y"])
-        x = np.frombuffer(b"".join(rows["x"]), np.int16).reshape(-1, WINDOW).astype(np.int64)
-        y = np.frombuffer(b"".join(rows["y"]), np.int16).reshape(-1, WINDOW).astype(np.int64)
-        model = Attention(Attention.shaped(flat.value))
-        # A copy with few windows passes them more often, so all copies take about as many steps.
-        for turn in range(max(1, min(MOST_PASSES, COPY_WINDOWS // max(1, len(x))))):
-            model.train(x, y, number * MOST_PASSES + turn)
-        return pd.DataFrame({"n": [len(x)], "weights": [Attention.flat(model.w)]})
-
-    return train
-
-
-def train(spark: SparkSession, windows: DataFrame, bias: np.ndarray, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Weights averaged over copies; a copy has about COPY_WINDOWS windows, so copies grow in number with the ids."""
-    weights = Attention.start(bias)
-    copies = max(1, -(-windows.count() // COPY_WINDOWS))
-    dealt = windows.withColumn("copy", F.pmod(F.xxhash64("draw"), F.lit(copies)))
-    for number in range(rounds):
-        flat = spark.sparkContext.broadcast(Attention.flat(weights))
-        trained = dealt.groupBy("copy").applyInPandas(_train_copy(flat, number), "n long, weights array<double>")
-        mean = trained.select("n", F.posexplode("weights")).groupBy("pos").agg(
-            (F.sum(F.col("n") * F.col("col")) / F.sum("n")).alias("value")
-        ).toPandas().sort_values("pos")
+def _dealt(kind):
+    """A copy's windows in one row, drawn into a part for each round; their order does not depend on how they came."""
+
+    def deal(rows: pd.DataFrame) -> pd.DataFrame:
+        codes = np.frombuffer(b"".join(rows["codes"]), kind).reshape(-1, WINDOW + 1)
+        codes = codes[np.lexsort(codes.T[::-1])]
+        order = np.random.default_rng(int(rows["copy"].iloc[0])).permutation(len(codes))
+        return pd.DataFrame({f"part{k}": [codes[order[k::ROUNDS]].tobytes()] for k in range(ROUNDS)})
+
+    return deal
+
+
+def _train_copies(flat, held_layout, number: int):
+    """The sum of trained copies, by their windows, of all copies a task reads."""
+
+    def task(batches):
+        kind, row, target = _codes(layout_of(held_layout.value))
+        total, windows = 0.0, 0
+        for batch in batches:
+            for part in batch.column(0):
+                codes = np.frombuffer(part.as_py(), kind).reshape(-1, WINDOW + 1)
+                model = Attention.shaped(flat.value)
+                model.train(row[codes[:, :-1]], target[codes[:, 1:]], number)
+                total, windows = total + len(codes) * model.flat(), windows + len(codes)
+        if windows:
+            yield pa.RecordBatch.from_arrays([pa.array([windows], pa.int64()), pa.array([total], pa.list_(pa.float64()))], names=["n", "state"])
+
+    return task
+
+
+def train(copies: DataFrame, held_layout, bias) -> dict[str, np.ndarray]:
+    """Weights averaged over copies, which are read in place each round, a part of their windows at a time."""
+    context, model = copies.sparkSession.sparkContext, Attention.start(bias)
+    for number in range(ROUNDS):
+        flat = context.broadcast(model.flat())
+        trained = copies.select(f"part{number}").mapInArrow(_train_copies(flat, held_layout, number), "n long, state array<double>")
+        mean = trained.select("n", F.posexplode("state")).groupBy("pos").agg((F.sum("col") / F.sum("n")).alias("value")).toPandas()
+        flat.destroy()
         if len(mean):
-            weights = Attention.shaped(mean["value"].to_numpy())
-    return weights
+            model = Attention.shaped(mean.sort_values("pos")["value"].to_numpy())
+    return model.w
 
 
 # ---------------------------------------------------------------- scoring
@@ -569,20 +632,25 @@ def learn(texts: DataFrame, tokenizer_file: str):
     base = materialise(
         stats.where("kind = 'text'").groupBy("key").applyInPandas(_base_sums, "ref long, base double, n_known long, rare binary"), "base"
     )
-    sums = stats.where("kind in ('all', 'distinct', 'once')").groupBy("kind").agg(F.sum("n").alias("n")).collect()
-    totals = {"all": 0, "distinct": 0, "once": 0} | {r["kind"]: r["n"] for r in sums}
+    sums = stats.where("kind in ('all', 'distinct')").groupBy("kind").agg(F.sum("n").alias("n")).collect()
+    totals = {"all": 0, "distinct": 0} | {r["kind"]: r["n"] for r in sums}
     rows = texts.where("train").count()
     # A word takes two bytes at least, so these are at most BYTES_PER_WORD * LEXICON words; and ids as the vocabulary has.
     lexicon = stats.where("kind = 'word'").select("key", "n").toPandas()
-    ids, firsts = (stats.where(F.col("kind") == k).groupBy("key").agg(F.sum("n").alias("n")).toPandas() for k in ("id", "first"))
+    ids, firsts, once = (stats.where(F.col("kind") == k).groupBy("key").agg(F.sum("n").alias("n")).toPandas() for k in ("id", "first", "alone"))
     begins = np.array([vocabulary.content[s] == 32 if n else False for s, n in zip(vocabulary.starts, vocabulary.lengths)])
     layout = Layout(dict(zip(ids["key"].tolist(), ids["n"].tolist())), rows, begins)
     held_layout = spark.sparkContext.broadcast(vars(layout))
     # Rows of one text have seats of their own, so its copies are dealt out too.
     seated = texts.where("train").select(F.xxhash64("ref", "doc_id").alias("seat"), "text")
-    windows = materialise(seated.mapInArrow(_windows(fields, held_layout), "draw long, x binary, y binary"), "windows")
-    weights = train(spark, windows, layout.bias)
-    return Model.fields(layout, weights, lexicon, firsts, totals["all"], totals["once"]), base, totals["all"], totals["distinct"], rows
+    # At least as many windows as the texts can have; a copy has no more than COPY_WINDOWS but by chance.
+    copies = max(1, -(-(int(ids["n"].sum()) // WINDOW + rows) // COPY_WINDOWS))
+    windows = seated.mapInArrow(_windows(fields, held_layout, copies), "copy long, codes binary")
+    dealt = windows.repartition(max(2 * parallelism(spark), copies // TASK_COPIES), "copy").groupBy("copy").applyInPandas(
+        _dealt(_codes(layout)[0]), ", ".join(f"part{k} binary" for k in range(ROUNDS))
+    )
+    weights = train(materialise(dealt, "windows"), held_layout, layout.bias)
+    return Model.fields(layout, weights, lexicon, firsts, once), base, totals["all"], totals["distinct"], rows
 
 
 def scored(texts: DataFrame, base: DataFrame, model: dict, tokenizer_file: str) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -492,10 +493,12 @@ def test_attention_scores_each_id_once_and_adds_up():
             low = max(0, (t // lm.STRIDE - 1) * lm.STRIDE)
             seen = inputs[low:t + 1]
             a = np.exp(k[seen] @ q[inputs[t]] + model.w["near"][t - np.arange(low, t + 1)])
-            z = np.tanh(a @ v[seen] / a.sum() + u[inputs[t]]) @ model.w["out"] + model.w["bias"]
-            kind, begin = layout.kind[outputs[t]], 1 / (1 + math.exp(-z[-1]))
-            own = z[:lm.FIRST_CLASSES] if kind < lm.FIRST_CLASSES else z[lm.FIRST_CLASSES:-1]
-            p = (begin if kind < lm.FIRST_CLASSES else 1 - begin) * np.exp(z[kind]) / np.exp(own).sum()
+            h = np.r_[np.tanh(a @ v[seen] / a.sum() + u[inputs[t]]), 1]
+            groups = np.exp(h @ model.w["top"]) / np.exp(h @ model.w["top"]).sum()
+            inside = np.exp(np.einsum("i,gic->gc", h, model.w["out"]))
+            every = (groups[:, None] * inside / inside.sum(axis=1, keepdims=True)).ravel()
+            assert every.sum() == pytest.approx(1)
+            begin, p = every[:lm.FIRST_CLASSES].sum(), every[layout.kind[outputs[t]]]
             assert got[at] == pytest.approx(math.log(p), abs=2e-3) and start.ravel()[places][at] == pytest.approx(math.log(begin), abs=2e-3)
             at += 1
     for kind in set(layout.kind.tolist()):
@@ -523,18 +526,63 @@ def test_training_windows_hold_each_id_once():
     layout = lm.Layout({i: 5 for i in range(500)}, 3, np.arange(len(vocabulary.starts)) % 2 == 0)
     rng = np.random.default_rng(4)
     body = ["", "one", " ".join(rng.choice(["ba", "ke", "mirun", "soa"], 31)), " ".join(rng.choice(["ba", "ke", "mirun", "soa"], 4000)), None, "one"]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array(range(6), pa.int64()), pa.array(body)], names=["seat", "ref", "text"])
-    parts = list(lm._windows(Held(vars(vocabulary)), Held(vars(layout)))([batch]))
-    x, y = (np.frombuffer(b"".join(v for p in parts for v in p.column(c).to_pylist()), np.int16) for c in ("x", "y"))
-    inputs, targets = [], []
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array(body)], names=["seat", "text"])
+    kind, row, target = lm._codes(layout)
+    parts = [p.to_pandas() for p in lm._windows(Held(vars(vocabulary)), Held(vars(layout)), 3)([batch])]
+    dealt = [lm._dealt(kind)(rows) for _, rows in pd.concat(parts).groupby("copy")]
+    assert len(dealt) == 3
+    rounds = [[np.frombuffer(d[f"part{k}"][0], kind) for d in dealt] for k in range(lm.ROUNDS)]
+    assert np.ptp([sum(map(len, r)) for r in rounds]) <= 3 * (lm.WINDOW + 1)
+    codes = np.concatenate([c for r in rounds for c in r]).reshape(-1, lm.WINDOW + 1)
+    pairs = []
     for text in body:
         w = words.words_of(pa.array([text or ""], pa.large_string()))
         ids, _ = lm.Subwords(vocabulary).of(w, w.hashes())
-        inputs += [lm.BEGIN, *layout.row[ids]]
-        targets += [*layout.kind[ids], layout.kind[layout.end]]
-    assert len(targets) > 4000 and y[y >= 0].tolist() == targets and x[y >= 0].tolist() == inputs
-    draws = np.concatenate([p.column("draw").to_numpy() for p in parts])
-    assert len(np.unique(draws)) == len(draws) == len(x) // lm.WINDOW
+        pairs += zip([lm.BEGIN, *layout.row[ids]], [*layout.kind[ids], layout.kind[layout.end]])
+    x, y = row[codes[:, :-1]], target[codes[:, 1:]]
+    assert len(pairs) > 4000 and sorted(zip(x[y >= 0].tolist(), y[y >= 0].tolist())) == sorted((int(a), int(b)) for a, b in pairs)
+
+
+def test_the_order_of_windows_does_not_matter():
+    codes = np.random.default_rng(1).integers(0, 9, (50, lm.WINDOW + 1)).astype(np.uint16)
+    rows = pd.DataFrame({"copy": 4, "codes": [c.tobytes() for c in codes]})
+    assert lm._dealt(np.uint16)(rows).equals(lm._dealt(np.uint16)(rows.sample(frac=1, random_state=2).reset_index(drop=True)))
+
+
+def test_training_follows_the_gradient(monkeypatch):
+    """The first step of every weight against differences of the loss."""
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 12, (4, lm.WINDOW)), rng.integers(-1, lm.CLASSES, (4, lm.WINDOW))
+    layout = lm.Layout({}, 1, np.arange(40) % 3 == 0)
+    steps = {}
+    monkeypatch.setattr(lm.Attention, "_step", lambda self, name, grad, at=...: steps.__setitem__(name, (grad, at)))
+    model = lm.Attention.start(layout.bias)
+    model.train(x, y, 0)
+
+    def loss(w):
+        e = w["embed"][x]
+        q, k, v, u = (e @ w[n] for n in ("query", "key", "value", "last"))
+        far = np.arange(lm.WINDOW)[:, None] - np.arange(lm.WINDOW)
+        s = q @ k.transpose(0, 2, 1) / math.sqrt(lm.WIDTH) + w["near"][np.maximum(far, 0)]
+        p = np.where((far >= 0) & (x != lm.NOTHING)[:, None, :], np.exp(s), 0)
+        h = np.tanh(p / np.maximum(p.sum(axis=2, keepdims=True), 1e-9) @ v + u)
+        h = np.concatenate([h, np.ones((*x.shape, 1))], axis=2)
+        top, out = h @ w["top"], np.einsum("bti,gic->btgc", h, w["out"])
+        log = (top - np.log(np.exp(top).sum(axis=2, keepdims=True)))[..., None] + out - np.log(np.exp(out).sum(axis=3, keepdims=True))
+        own = np.take_along_axis(log.reshape(*x.shape, -1), np.maximum(y, 0)[..., None], 2)[..., 0]
+        return -(own * (y >= 0)).sum() / (y >= 0).sum()
+
+    exact = {k: v.astype(float) for k, v in model.w.items()}
+    for name, (grad, at) in steps.items():
+        whole = np.zeros(lm.SHAPES[name])
+        whole[at] = grad
+        for place in rng.choice(np.flatnonzero(whole), 6):
+            moved = []
+            for by in (1e-4, -1e-4):
+                other = {**exact, name: exact[name].copy()}
+                other[name].flat[place] += by
+                moved.append(loss(other))
+            assert (moved[0] - moved[1]) / 2e-4 == pytest.approx(whole.flat[place], rel=2e-2, abs=2e-6), name
 
 
 def test_training_lowers_the_loss():
@@ -544,7 +592,7 @@ def test_training_lowers_the_loss():
     x = np.stack([layout.row[seq[a:a + lm.WINDOW]] for a in rng.integers(0, 1800, 400)])
     y = np.stack([layout.kind[(seq[a + 1:a + 1 + lm.WINDOW])] for a in rng.integers(0, 1, 400)])
     y = layout.kind[(np.vectorize({int(r): i for i, r in enumerate(layout.row[:40])}.get)(x) + 1) % 40]
-    model = lm.Attention(lm.Attention.start(layout.bias))
+    model = lm.Attention.start(layout.bias)
 
     def loss():
         per_text = np.array([200])
