@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from kinfold.llm import bpe, chat, components, lm, mixing, ngram_join, quality, secrets, sharding, trie_dedup, winnowing, words
@@ -325,7 +326,7 @@ def test_winnowing(spark, docs, empty, table):
     for r in found:
         assert prints.setdefault(r["text"], r["fingerprint"]) == r["fingerprint"]
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-        n = len(WORD.findall(r["text"]))
+        n = sum(len(w) if len(w) > winnowing.LONG_WORD else 1 for w in WORD.findall(r["text"]))
         assert (r["fingerprint"] == "") == (n == 0) and all(0 <= p < max(n, 1) for p in r["positions"])
     assert winnowing.compared_with_edits(empty).count() == 0
 
@@ -342,6 +343,62 @@ def test_winnowing_guarantee_and_ties(spark):
     assert same["positions"] == list(range(winnowing.WINDOW - 1, grams))
 
 
+def winnowed(text):
+    """(hashes, positions) by scanning every window."""
+    out = []
+    for w in WORD.findall(text):
+        out += list(w) if len(w) > winnowing.LONG_WORD else [w]
+    h = [xxhash.xxh64_intdigest(u.encode(), 42) for u in out]
+    mask = (1 << 64) - 1
+
+    def turned(x, by):
+        return ((x << by) | (x >> (64 - by))) & mask if by else x
+
+    k = winnowing.GRAM
+    padded = h + [0] * max(0, k - len(h)) if h else []
+    grams = []
+    for i in range(len(padded) - k + 1):
+        x = 0
+        for u in padded[i:i + k]:
+            x = turned(x, 1) ^ u
+        grams.append(x)
+    found = {}
+    for i in range(max(len(grams) - winnowing.WINDOW, 0) + 1 if grams else 0):
+        window = [(grams[j] >> 31, -j) for j in range(i, min(i + winnowing.WINDOW, len(grams)))]
+        at = -min(window)[1]
+        found[at] = grams[at]
+    return list(found.values()), list(found)
+
+
+def test_winnowing_against_every_window(spark):
+    rng = np.random.default_rng(9)
+    texts = ["", "a", "a b", "a b c", "a b c d", "x " * 40, "  lead and trail \t", "".join(map(chr, rng.integers(0x4E00, 0x5200, 1200))),
+             "𝒳" * 40 + " word " + "y" * 33 + " " + "z" * 32]
+    texts += [" ".join(rng.choice(["ba", "ke", "mi", "ru", "n" * 40], n)) for n in (5, 9, 11, 12, 300)]
+    found = {r["doc_id"]: r for r in winnowing.compared_with_edits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(found) == len(texts)
+    for i, text in enumerate(texts):
+        following = texts[(i - 1) % len(texts)]
+        half = len(text) // 2
+        changed = text[:len(text) - half] + following[:half]
+        hashes, positions = winnowed(text)
+        own, edit, after = set(hashes), set(winnowed(changed)[0]), set(winnowed(following)[0])
+        r = found[i]
+        assert r["edited_text"] == changed and r["positions"] == positions
+        assert r["fingerprint"] == ",".join(f"{x:x}" for x in hashes)
+        for name, other in (("near_edited", edit), ("near_next", after)):
+            assert r[name] == pytest.approx(len(own & other) / len(own | other) if own | other else 1)
+    assert found[7]["near_edited"] > 0.2
+
+
+def test_next_rows_of_sparse_ids(spark):
+    ids = [None, -(1 << 62), -5, 0, 3, 1 << 40, (1 << 40) + 1, 1 << 61] + [10 ** 6 * k for k in range(1, 400)]
+    rows = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string")
+    down = sorted(ids, key=lambda i: -float("inf") if i is None else i, reverse=True)
+    expected = {i: str(after) for i, after in zip(down, down[1:] + down[:1])}
+    assert {r["doc_id"]: r["next_text"] for r in winnowing.with_next(rows, ["text"]).collect()} == expected
+
+
 def test_mixing(docs, empty, table):
     found = mixing.mix(docs).collect()
     assert len(found) == len(table)
