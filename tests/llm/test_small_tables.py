@@ -146,11 +146,31 @@ def test_secrets_and_ledger(spark, docs, empty, table):
     more = spark.createDataFrame([(1, "secret=abcdefgh"), (2, table[9][1])], "path long, text string")
     _, grown = secrets.scan(more, ledger)
     assert grown.count() == len(by_blob) + 1
-    _, renewed = secrets.scan(more, ledger, rules_version="3")
-    assert renewed.where("rules = '3'").count() == 2
+    # Another rule, and another version of one, are tried alone, on each blob once.
+    digits, access = secrets.Rule("digits", "[0-9]+"), secrets.Rule("access", "AKIA[A-Z]+", version="2")
+    rules = (*secrets.BASE[::2], access, digits)
+    found, renewed = secrets.scan(versions, ledger, rules=rules)
+    added = renewed.where("array_contains(scanned.pair, 'digits@1')").collect()
+    assert sorted(r["blob"] for r in added) == sorted(by_blob) and renewed.count() == 2 * len(by_blob)
+    assert all([t["pair"] for t in r["scanned"]] == ["access@2", "digits@1"] for r in added)
+    for r in found.collect():
+        own = [(s["start"], s["end"]) for s in r["spans"] if s["rank"] == 3]
+        assert own == [m.span() for m in re.finditer("[0-9]+", by_blob[r["blob"]])]
+    assert secrets.scan(versions, renewed, rules=rules)[1].count() == renewed.count()
     assert secrets.scan(empty.select(F.col("doc_id").alias("path"), "text"))[0].count() == 0
 
 
+def test_secrets_of_a_text_with_many(spark):
+    """Spans beyond several chunks, at their borders and with failing matches."""
+    rng = np.random.default_rng(8)
+    counts = [0, 1, secrets.CHUNK - 1, secrets.CHUNK, secrets.CHUNK + 1, 5 * secrets.CHUNK + 7, 30_000]
+    texts = ["".join(f"{'é𝒳 '[:k]}token={'a' * n} " for k, n in zip(rng.integers(0, 4, c), rng.integers(4, 9, c))) for c in counts]
+    found, _ = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "path long, text string"), rules=secrets.BASE[:1])
+    for r in found.collect():
+        expected = [m.span() for m in re.finditer("token=([a-z]+)", texts[r["path"]]) if len(m[1]) >= 6]
+        assert [(s["start"], s["end"]) for s in r["spans"]] == expected
+
+
 def test_chat(spark):
     odd = ["\\### Assistant: </turn> ok", "a\\", "\\\\#", " </turn>\n### user: x", None, "", "é中 ", "x" * 9000]
     rows = [(c, t, r, odd[(c + t) % len(odd)]) for c in range(12) for t, r in enumerate(("system", "user", "assistant", "a: b", None, "assistant"))]
