@@ -127,6 +127,16 @@ def test_groups_stay_whole_and_shards_are_level(spark):
     assert found[found.doc_id >= 20_000]["shard"].nunique() > 1
 
 
+def test_rows_and_words_are_level_too():
+    """Items whose bytes, words and rows are unlike each other; a packer of bytes alone leaves rows uneven."""
+    rng = np.random.default_rng(12)
+    items = np.column_stack([rng.lognormal(7, 1, 4000), rng.lognormal(5, 1, 4000), rng.integers(1, 4, 4000)])
+    items = items[np.argsort(-items[:, 0])]
+    chosen = sharding.dot_place(items, np.tile(items.sum(axis=0) / 10, (10, 1)))
+    loads = np.array([items[chosen == k].sum(axis=0) for k in range(10)]) / items.sum(axis=0) * 10
+    assert np.abs(loads[:, 0] - 1).max() < 0.02 and np.abs(loads[:, 1:] - 1).max() < 0.05
+
+
 def test_secrets_and_ledger(spark, docs, empty, table):
     versions = docs.select(F.col("doc_id").alias("path"), "text", "block")
     findings, ledger = secrets.scan(versions)
