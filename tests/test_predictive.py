@@ -59,6 +59,24 @@ def test_rows_with_many_balls_follow_the_same_urn(spark, batch):
         assert [r[c] for c in CATEGORIES] == counts
 
 
+def test_a_row_carries_many_draws_to_python(spark):
+    s = sample(spark, [(n, 0, 0, 0, 0, 0, 0, 0) for n in (1, 3, 8, 9)])
+    carried = pp._balls(lk.with_models(s, ["Baseline"]), vectors(spark, 20), pp.SEED)
+    packs = -(-40 // pp.DRAWS)
+    assert carried.count() == packs * (3 + 2)
+    r = carried.where("id = 'p3' AND first = 8").first()
+    assert list(r["tails"]) == ["p3|9"] and all(x.startswith(f"{pp.SEED}|Baseline|") for x in r["stems"])
+
+
+@pytest.mark.parametrize("together", [1, 64])
+def test_slices_of_a_batch_follow_each_other(spark, monkeypatch, together):
+    s = sample(spark, [(n, 0, 0, 0, 0, 0, 0, 0) for n in (1, 3, 8, 9, 40, 17)])
+    keyed = lk.with_models(s, ["Baseline"])
+    expected = rows(pp.predict(keyed, vectors(spark, 20)))
+    monkeypatch.setattr(pp, "SLICE", together)
+    assert rows(pp.predict(keyed, vectors(spark, 20))) == expected
+
+
 def test_counts_of_a_billion_respondents_keep_their_deviation(spark):
     draws, base = 12000, 1_000_000_000
     cells = spark.range(draws).selectExpr(
