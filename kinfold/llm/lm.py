@@ -1,16 +1,15 @@
 """Language-model scores: causal self-attention over subword ids, trained in numpy, beside counts of all words.
 
-Training texts give the counts of all their words. One bucket of words is counted in one place; there the words'
-subword ids are counted too, and every text gets its part of the base score. A small attention model is trained on
-all ids of the training texts, in consecutive windows, each once whatever their number: windows are dealt out to copies
+Training texts give the counts of all their words, summed in each task before they are sent. One bucket of words is counted
+in one place; there the words' subword ids are made and counted too. A small attention model is trained on all ids of the training texts, in consecutive windows, each once whatever their number: windows are dealt out to copies
 of the model, which tasks train on a part of them a round; weights and step sizes are averaged after each.
 
 The model predicts the group of the next subword id's class, then the class in it. Groups hold ids that begin a word or
 ids that do not: frequent ids are classes of their own, others share a few, where ids follow their counts. Texts are cut into blocks of STRIDE ids; a window of two blocks scores the second, so windows
 overlap and each id is scored once, from the ids before it only. A word's probability is that of its first id's class,
 given that a word begins, times a mixture: its share of the training words of that class, and its spelling by the
-attention model up to the next beginning. These add up to one at most. Counts of frequent words are broadcast; those of
-all others come with the texts that hold them.
+attention model up to the next beginning. These add up to one at most. Counts of frequent words are broadcast; the others
+go to their counts by word after scoring and come back as sums by row, so texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -22,14 +21,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm.bpe import Vocabulary, merge, ragged
-from kinfold.llm.pairs import SEND_PAIRS, bucket_of, buckets_for, pack, runs, text_volume, unpack
-from kinfold.llm.words import mix, slices, span_hashes, words_of
-from kinfold.sources.workspace import materialise, parallelism
+from kinfold.llm.pairs import bucket_of, buckets_for, runs, text_volume
+from kinfold.llm.words import mix, slices, words_of
+from kinfold.sources.workspace import materialise, parallelism, scratch
 
 FOLDS, HELD_FOLD = 7, 2
-# About as many words may have their counts broadcast; the limit on a word's count grows with the bytes of text, and
-# the result is the same at any limit.
-LEXICON, BYTES_PER_WORD = 1 << 19, 6
+# So many words at most, the most frequent, have their counts and ids broadcast; the result is the same at any limit.
+LEXICON = 1 << 19
 # Least part of the mixture for shares and for spelling.
 LEAST_PART = 0.02
 # Ids with an embedding of their own, and embeddings the others share.
@@ -44,6 +42,8 @@ COPY_WINDOWS, ROUNDS, BATCH, RATE = 16384, 4, 64, 0.2
 TASK_COPIES = 16
 SEND_WINDOWS = 1 << 16
 BYTES_PER_PAIR = 10
+# Words that a task gathers before it sends their counts.
+SEND_WORDS = 2_000_000
 REMEMBERED = 200_000
 # Bytes of text that are scored at once.
 PASS = 1 << 20
@@ -58,151 +58,126 @@ def held_out(doc_id: Column) -> Column:
 
 # ---------------------------------------------------------------- counts
 
-COUNTED = "bucket int, owners binary, counts binary, keys binary, weights binary, spelling binary"
-_TIMES = np.dtype([("times", "<u4"), ("trained", "<u4")])
+TALLY = "bucket int, counts binary, spelling binary"
 
 
-def _spread(buckets: int):
-    """Pairs (text, word) with the word's count in the text and the text's training rows, a text once a task;
-    and the spelling of every word, once a task, by the word's bucket."""
+def first_places(which: np.ndarray, kinds: int) -> np.ndarray:
+    """The first place of each code 0 to kinds - 1, each of which occurs."""
+    out = np.empty(kinds, np.int64)
+    out[which[::-1]] = np.arange(len(which))[::-1]
+    return out
+
+
+def spelled_out(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of the spans, each with a space after it; where each begins and the last ends)."""
+    cuts = np.r_[0, np.cumsum(length + 1)]
+    out = np.full(cuts[-1], 32, np.uint8)
+    out[ragged(cuts[:-1], length)] = data[ragged(start, length)]
+    return out, cuts
+
+
+def _tally(buckets: int):
+    """Words of a task's texts with their counts and spelling, each once between two sendings, by the word's bucket."""
 
     def task(batches):
-        owners, keys, times, rows, waiting, spelled, words_out = [], [], [], {}, 0, set(), {}
+        held, waiting = [], 0
 
         def packed():
-            o, k, t = np.concatenate(owners), np.concatenate(keys), np.concatenate(times)
-            weights = np.empty(len(k), _TIMES)
-            weights["times"] = t
-            head = runs(o)
-            per_owner = np.array([rows[x] for x in o[head].tolist()], np.int64)
-            weights["trained"] = np.repeat(per_owner, np.diff(np.r_[head, len(o)]))
-            batch = pack(o, k, weights, bucket_of(k, buckets))
-            spelling = [b" ".join(words_out.pop(b, ())) for b in batch.column("bucket").to_pylist()]
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(spelling, pa.binary())], names=[*batch.schema.names, "spelling"])
+            hashes, counts, length, data = (np.concatenate(c) for c in zip(*held))
+            order = np.argsort(hashes, kind="stable")
+            head = runs(hashes[order])
+            total = np.add.reduceat(counts[order], head).astype(np.uint32)
+            one = order[head]
+            bucket = bucket_of(hashes[one], buckets)
+            out, place = spelled_out(data, (np.cumsum(length) - length)[one], length[one])
+            cuts = runs(bucket)
+            ends = np.r_[cuts[1:], len(bucket)]
+            return pa.RecordBatch.from_arrays([
+                pa.array(bucket[cuts], pa.int32()), pa.array([total[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
+                pa.array([out[place[a]:place[b]].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
+            ], names=["bucket", "counts", "spelling"])
 
         for batch in batches:
-            refs = batch.column("ref").to_numpy(zero_copy_only=False).view(np.uint64)
-            train = batch.column("train").to_numpy(zero_copy_only=False)
-            for first, texts in slices(batch.column("text")):
+            for _, texts in slices(batch.column("text")):
                 words = words_of(texts)
-                hashes = words.hashes()
-                ref = refs[first:first + len(texts)]
-                fresh = np.zeros(len(texts), bool)
-                for i, r in enumerate(ref.tolist()):
-                    fresh[i] = r not in rows
-                    rows[r] = rows.get(r, 0) + int(train[first + i])
-                use = fresh[words.doc]
-                start, end, h, doc = words.start[use], words.end[use], hashes[use], words.doc[use]
-                # New spellings.
-                distinct, at = np.unique(h, return_index=True)
-                raw = words.data.tobytes()
-                if len(spelled) > 2 * REMEMBERED:
-                    spelled = set()
-                for x, b, i in zip(distinct.tolist(), bucket_of(distinct, buckets).tolist(), at.tolist()):
-                    if x not in spelled:
-                        spelled.add(x)
-                        words_out.setdefault(b, []).append(raw[start[i]:end[i]])
-                order = np.lexsort((h, doc))
-                h, doc = h[order], doc[order]
-                head = runs(doc, h)
-                owners.append(ref[doc[head]])
-                keys.append(h[head])
-                times.append(np.diff(np.r_[head, len(h)]))
-                waiting += len(head)
-                if waiting >= SEND_PAIRS:
+                which, distinct = pd.factorize(words.hashes())
+                at = first_places(which, len(distinct))
+                length = words.end[at] - words.start[at]
+                held.append((distinct, np.bincount(which, minlength=len(distinct)), length, words.data[ragged(words.start[at], length)]))
+                waiting += len(distinct)
+                if waiting >= SEND_WORDS:
                     yield packed()
-                    owners, keys, times, rows, waiting = [], [], [], {}, 0
+                    held, waiting = [], 0
         if waiting:
             yield packed()
 
     return task
 
 
-STATS = "kind string, key long, n long, owners binary, sums binary, known binary, rare binary"
-_RARE = np.dtype([("ref", "<u8"), ("word", "<u8"), ("n", "<u4")])
-_WORD = np.dtype([("word", "<u8"), ("n", "<u4")])
+STATS = "kind string, key long, n long, words binary, counts binary, sizes binary, ids binary"
 
 
-def _count(vocabulary_fields, least: int, buckets: int):
-    """From all pairs of a bucket's words: counts, words that occur `least` times, ids, and each text's part of the base
-    score with its other training words."""
-    held = vocabulary_fields
+def _count(held):
+    """From all tallies of a bucket: how many words there are and how often, counts of ids, and every word with its count
+    and ids, by hash."""
 
     def reduce(rows: pd.DataFrame) -> pd.DataFrame:
         vocabulary = Vocabulary.of(held.value)
-        owners, keys, weights = unpack(rows, _TIMES)
-        order = np.lexsort((owners, keys))
-        owners, keys, weights = owners[order], keys[order], weights[order]
-        one = runs(keys, owners)
-        # A text that several tasks read has its pairs once, with the training rows of all.
-        trained = np.add.reduceat(weights["trained"].astype(np.int64), one) if len(one) else np.zeros(0, np.int64)
-        owners, keys, times = owners[one], keys[one], weights["times"][one].astype(np.int64)
-        head = runs(keys)
-        count = np.add.reduceat(times * trained, head) if len(head) else np.zeros(0, np.int64)
-        size = np.diff(np.r_[head, len(keys)])
-        log = np.repeat(np.log10(count + 1.0), size)
-        known = np.repeat(count > 0, size)
-        total = int(count.sum())
-        out = [(kind, 0, n, None, None, None, None) for kind, n in (("all", total), ("distinct", int((count > 0).sum())))]
-        # Ids of all training words.
-        texts = pa.array([b" ".join(rows["spelling"]).decode()], pa.large_string())
-        spelled = words_of(texts, lower=False)
-        hashes, at = np.unique(span_hashes(spelled.data, spelled.start, spelled.end), return_index=True)
-        seen = count[np.minimum(np.searchsorted(keys[head], hashes), max(0, len(head) - 1))] if len(head) else np.zeros(len(hashes), np.int64)
-        known_words = seen > 0
-        at, seen = at[known_words], seen[known_words]
+        spelled = words_of(pa.array([b"".join(rows["spelling"]).decode()], pa.large_string()), lower=False)
+        hashes, counts = spelled.hashes(), np.frombuffer(b"".join(rows["counts"]), "u4").astype(np.int64)
+        order = np.argsort(hashes, kind="stable")
+        head = runs(hashes[order])
+        at, seen = order[head], np.add.reduceat(counts[order], head)
         ids, lengths = word_ids(vocabulary, spelled.data, spelled.start[at], spelled.end[at])
-        per_id = np.bincount(ids, np.repeat(seen, lengths)).astype(np.int64)
-        used = np.flatnonzero(per_id)
-        out += [("id", i, c, None, None, None, None) for i, c in zip(used.tolist(), per_id[used].tolist())]
-        first = ids[np.r_[0, np.cumsum(lengths)[:-1]].astype(np.int64)[:len(at)]]
-        for kind, amount in (("first", seen), ("alone", seen == 1)):
-            per_first = np.bincount(first, amount).astype(np.int64)
-            used = np.flatnonzero(per_first)
-            out += [(kind, i, c, None, None, None, None) for i, c in zip(used.tolist(), per_first[used].tolist())]
-        often = np.flatnonzero(seen >= least)
-        word = hashes[known_words][often].view(np.int64)
-        out += [("word", k, c, None, None, None, None) for k, c in zip(word.tolist(), seen[often].tolist())]
-        # Base score by text, dealt out by text.
-        order = np.argsort(owners, kind="stable")
-        owners, log, known, times = owners[order], log[order], known[order], times[order]
-        per_pair = np.repeat(count, size)[order]
-        other = known & (per_pair < least)
-        rare = np.empty(int(other.sum()), _RARE)
-        rare["ref"], rare["word"], rare["n"] = owners[other], keys[order][other], per_pair[other]
-        rare_part = bucket_of(rare["ref"], buckets)
-        head = runs(owners)
-        if len(head):
-            sums, knowns = np.add.reduceat(log * times, head), np.add.reduceat(known * times, head).astype(np.uint32)
-            part = bucket_of(owners[head], buckets)
-            cuts = runs(part)
-            for a, b in zip(cuts, np.r_[cuts[1:], len(part)]):
-                low, high = np.searchsorted(rare_part, [part[a], part[a] + 1])
-                out.append(("text", int(part[a]), int(b - a), owners[head][a:b].tobytes(), sums[a:b].tobytes(), knowns[a:b].tobytes(), rare[low:high].tobytes()))
-        return pd.DataFrame(out, columns=["kind", "key", "n", "owners", "sums", "known", "rare"])
+        out = [("all", 0, int(seen.sum())), ("distinct", 0, len(seen))]
+        begin = ids[np.cumsum(lengths) - lengths]
+        for kind, key, amount in (("id", ids, np.repeat(seen, lengths)), ("first", begin, seen), ("alone", begin, seen == 1)):
+            per_id = np.bincount(key, amount).astype(np.int64)
+            used = np.flatnonzero(per_id)
+            out += [(kind, i, c) for i, c in zip(used.tolist(), per_id[used].tolist())]
+        out += [("times", c, n) for c, n in zip(*(x.tolist() for x in np.unique(seen, return_counts=True)))]
+        made = [(*x, None, None, None, None) for x in out]
+        packed = (hashes[at].tobytes(), seen.tobytes(), lengths.astype(np.uint32).tobytes(), ids.astype(np.int32).tobytes())
+        made.append(("words", int(rows["bucket"].iloc[0]), len(seen), *packed))
+        return pd.DataFrame(made, columns=["kind", "key", "n", "words", "counts", "sizes", "ids"])
 
     return reduce
 
 
-def _base_sums(rows: pd.DataFrame) -> pd.DataFrame:
-    """Each text's sum of log10(c + 1) over its words, how many of them are known, and its words that are not broadcast."""
-    owners = np.frombuffer(b"".join(rows["owners"]), "u8")
-    sums, known = np.frombuffer(b"".join(rows["sums"]), "f8"), np.frombuffer(b"".join(rows["known"]), "u4")
-    order = np.lexsort((sums, owners))
-    owners, sums, known = owners[order], sums[order], known[order].astype(np.int64)
-    head = runs(owners)
-    if not len(head):
-        return pd.DataFrame({"ref": [], "base": [], "n_known": [], "rare": []})
-    refs = owners[head]
-    rare = np.frombuffer(b"".join(rows["rare"]), _RARE)
-    rare = rare[np.argsort(rare["ref"], kind="stable")]
-    pairs = np.empty(len(rare), _WORD)
-    pairs["word"], pairs["n"] = rare["word"], rare["n"]
-    low, high = np.searchsorted(rare["ref"], refs), np.searchsorted(rare["ref"], refs, "right")
-    return pd.DataFrame({
-        "ref": refs.view(np.int64), "base": np.add.reduceat(sums, head), "n_known": np.add.reduceat(known, head),
-        "rare": [pairs[a:b].tobytes() for a, b in zip(low, high)],
-    })
+def least_count(times: pd.DataFrame) -> int:
+    """The least count at which no more than LEXICON words occur as often; `times` (key, n) are n words with count key."""
+    times = times.sort_values("key", ascending=False)
+    fits = times["key"][times["n"].cumsum() <= LEXICON]
+    return int(fits.min()) if len(fits) else int(times["key"].max() + 1) if len(times) else 1
+
+
+def _frequent(least: int):
+    """Of packed words those that occur `least` times, packed."""
+
+    def task(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, counts, sizes, ids = (np.frombuffer(row[c], t) for c, t in (("words", "u8"), ("counts", "i8"), ("sizes", "u4"), ("ids", "i4")))
+                use = counts >= least
+                kept = (words[use], counts[use], sizes[use], ids[np.repeat(use, sizes)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["key"]], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in kept]], names=["key", "words", "counts", "sizes", "ids"]
+                )
+
+    return task
+
+
+def _others(least: int):
+    """Of packed words those that occur less often, a row each."""
+
+    def task(batches):
+        for batch in batches:
+            for row in batch.select(["words", "counts"]).to_pylist():
+                words, counts = np.frombuffer(row["words"], "i8"), np.frombuffer(row["counts"], "i8")
+                use = counts < least
+                yield pa.RecordBatch.from_arrays([pa.array(words[use]), pa.array(counts[use])], names=["word", "n"])
+
+    return task
 
 
 def word_ids(vocabulary, data, start, end):
@@ -217,28 +192,48 @@ def word_ids(vocabulary, data, start, end):
 # ---------------------------------------------------------------- subword sequences
 
 class Subwords:
-    """Ids of words, remembered between slices up to a bound."""
+    """Ids of words: those of a lexicon, and others remembered between slices up to a bound.
 
-    def __init__(self, vocabulary):
-        self.vocabulary = vocabulary
-        self.known, self.ids, self.sizes = {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    A word has a slot; slots below `fixed` are the lexicon's places.
+    """
 
-    def of(self, words, hashes):
-        """(ids, ids per word) of all words in order."""
-        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    def __init__(self, vocabulary, lexicon: dict | None = None):
+        self.vocabulary = vocabulary
+        lexicon = lexicon or {"words": np.zeros(0, np.uint64), "sizes": np.zeros(0, np.int64), "ids": np.zeros(0, np.int32)}
+        self.index, self.fixed = pd.Index(lexicon["words"]), len(lexicon["words"])
+        self.base = lexicon["ids"], lexicon["sizes"].astype(np.int64)
+        self._forget()
+
+    def _forget(self):
+        self.known, (self.ids, self.sizes) = {}, self.base
+        self.begin = np.cumsum(self.sizes) - self.sizes
+
+    def slots(self, words, hashes) -> np.ndarray:
+        """The slot of each word, until the next call."""
+        which, distinct = pd.factorize(hashes)
         if len(self.known) > REMEMBERED:
-            self.known, self.ids, self.sizes = {}, self.ids[:0], self.sizes[:0]
-        slots = np.array([self.known.get(h, -1) for h in distinct.tolist()], np.int64)
-        new = np.flatnonzero(slots < 0)
+            self._forget()
+        slots = self.index.get_indexer(distinct).astype(np.int64)
+        beside = np.flatnonzero(slots < 0)
+        slots[beside] = [self.known.get(h, -1) for h in distinct[beside].tolist()]
+        new = beside[slots[beside] < 0]
         if len(new):
-            at = first[new]
+            at = first_places(which, len(distinct))[new]
             ids, sizes = word_ids(self.vocabulary, words.data, words.start[at], words.end[at])
             slots[new] = len(self.sizes) + np.arange(len(new))
             self.known.update(zip(distinct[new].tolist(), slots[new].tolist()))
-            self.ids, self.sizes = np.r_[self.ids, ids], np.r_[self.sizes, sizes]
-        begin = np.r_[0, np.cumsum(self.sizes)[:-1]] if len(self.sizes) else self.sizes
-        slot = slots[which]
-        return self.ids[ragged(begin[slot], self.sizes[slot])], self.sizes[slot]
+            self.begin = np.r_[self.begin, len(self.ids) + np.cumsum(sizes) - sizes]
+            self.ids, self.sizes = np.r_[self.ids, ids.astype(np.int32)], np.r_[self.sizes, sizes]
+        return slots[which]
+
+    def take(self, slots: np.ndarray):
+        """(ids, ids per word) of words by their slots, in order."""
+        sizes = self.sizes[slots]
+        return self.ids[ragged(self.begin[slots], sizes)], sizes
+
+    def of(self, words, hashes):
+        """(ids, ids per word) of all words in order."""
+        return self.take(self.slots(words, hashes))
 
 
 class Layout:
@@ -290,6 +285,23 @@ def _exp(z: np.ndarray) -> np.ndarray:
     return np.exp(z, out=z)
 
 
+def _tanh(z: np.ndarray) -> np.ndarray:
+    """In place, by one exponential; beyond 40 it is 1."""
+    z *= 2
+    np.exp(np.clip(z, -40, 40, out=z), out=z)
+    z += 1
+    np.divide(-2, z, out=z)
+    z += 1
+    return z
+
+
+def _shares(z: np.ndarray, whole: np.float32) -> np.ndarray:
+    """Each row's exponentials in place, so that they sum to `whole`."""
+    z = _exp(z)
+    z *= (whole / (z @ np.ones(z.shape[1], np.float32)))[:, None]
+    return z
+
+
 class Attention:
     """One causal self-attention layer: what is attended to and the last input give the group of the next id's class,
     and the class in it.
@@ -319,9 +331,13 @@ class Attention:
 
     def _step(self, name: str, grad: np.ndarray, at=...) -> None:
         # Squares of smaller numbers would leave the range of normal floats.
-        grad = np.where(np.abs(grad) < 1e-18, 0, grad).astype(np.float32)
-        self.seen[name][at] += grad * grad
-        self.w[name][at] -= np.float32(RATE if name == "embed" else RATE / 3) * grad / np.sqrt(self.seen[name][at])
+        grad = grad.astype(np.float32)
+        grad[np.abs(grad) < 1e-18] = 0
+        seen = self.seen[name][at] + grad * grad
+        self.seen[name][at] = seen
+        grad *= np.float32(RATE if name == "embed" else RATE / 3)
+        grad /= np.sqrt(seen, out=seen)
+        self.w[name][at] -= grad
 
     def train(self, windows: np.ndarray, targets: np.ndarray, seed: int) -> None:
         """One pass of Adagrad over windows of input rows (n, WINDOW) and target classes, -1 where there is none."""
@@ -329,7 +345,9 @@ class Attention:
         span = windows.shape[1]
         far = np.arange(span)[:, None] - np.arange(span)[None, :]
         causal, lag = far >= 0, np.maximum(far, 0)
+        lags = lag[causal]
         scale = np.float32(1 / np.sqrt(WIDTH))
+        ones = np.ones(span, np.float32)
         order = rng.permutation(len(windows))
         for a in range(0, len(order), BATCH):
             x, y = windows[order[a:a + BATCH]], targets[order[a:a + BATCH]].ravel()
@@ -337,51 +355,61 @@ class Attention:
             e = w["embed"][rows]
             into = np.hstack([w["query"] * scale, w["key"], w["value"], w["last"]])
             q, k, v, u = np.split((e @ into).reshape(*x.shape, 4 * WIDTH), 4, axis=2)
+            # Sums over the inputs a place sees are divided by the sum of their weights at last, forth and back.
             p = np.matmul(q, k.transpose(0, 2, 1))
             np.exp(np.clip(p, -20, 20, out=p), out=p)
             p *= np.where(causal, np.exp(np.clip(w["near"][lag], -20, 20)), np.float32(0))
-            p *= (x != NOTHING)[:, None, :]
-            p /= np.maximum(p.sum(axis=2, keepdims=True), 1e-9)
+            padded = np.flatnonzero((x == NOTHING).any(axis=1))
+            if len(padded):
+                p[padded] *= (x[padded] != NOTHING)[:, None, :]
+            per = 1 / np.maximum(p.reshape(-1, span) @ ones, 1e-9)[:, None]
+            seen = np.matmul(p, v).reshape(-1, WIDTH)
+            seen *= per
             h = np.ones((len(rows), WIDTH + 1), np.float32)
-            h[:, :WIDTH] = np.tanh(np.matmul(p, v) + u).reshape(-1, WIDTH)
+            h[:, :WIDTH] = _tanh(seen + u.reshape(-1, WIDTH))
             # Groups of classes, then the classes of each target's group; targets come by group.
-            valid = np.flatnonzero(y >= 0)
-            valid = valid[np.argsort(y[valid].astype(np.int16), kind="stable")]
+            valid = np.argsort(y.astype(np.int16), kind="stable")
+            valid = valid[np.searchsorted(y[valid], 0):]
             part = np.float32(1 / max(1, len(valid)))
             own, group, h_valid = y[valid] % GROUP, y[valid] // GROUP, h[valid]
-            z = _exp(h_valid @ w["top"])
-            z *= part / (z @ np.ones(TOPS, np.float32))[:, None]
-            z[np.arange(len(z)), group] -= part
+            place = np.arange(len(valid))
+            z = _shares(h_valid @ w["top"], part)
+            z[place, group] -= part
             grad = {"top": h_valid.T @ z, "out": np.zeros(SHAPES["out"], np.float32)}
             back = z @ w["top"][:WIDTH].T
-            cuts = np.searchsorted(group, np.arange(TOPS + 1))
-            for g in np.flatnonzero(np.diff(cuts)):
-                here = slice(cuts[g], cuts[g + 1])
-                out = w["out"][g]
-                z = _exp(h_valid[here] @ out)
-                z *= part / (z @ np.ones(GROUP, np.float32))[:, None]
-                z[np.arange(len(z)), own[here]] -= part
-                grad["out"][g] = h_valid[here].T @ z
-                back[here] += z @ out[:WIDTH].T
-            dh = np.zeros((len(rows), WIDTH), np.float32)
-            dh[valid] = back
-            dh *= 1 - h[:, :WIDTH] * h[:, :WIDTH]
-            d = dh.reshape(*x.shape, WIDTH)
+            cuts = np.searchsorted(group, np.arange(TOPS + 1)).tolist()
+            held = [(g, c, d) for g, (c, d) in enumerate(zip(cuts, cuts[1:])) if c < d]
+            z = np.empty((len(valid), GROUP), np.float32)
+            for g, c, d in held:
+                np.matmul(h_valid[c:d], w["out"][g], out=z[c:d])
+            z = _shares(z, part)
+            z[place, own] -= part
+            for g, c, d in held:
+                np.matmul(h_valid[c:d].T, z[c:d], out=grad["out"][g])
+                back[c:d] += z[c:d] @ w["out"][g, :WIDTH].T
+            back *= 1 - np.square(h_valid[:, :WIDTH])
+            through = np.zeros((*x.shape, 4 * WIDTH), np.float32)
+            dq, dk, dv, du = np.split(through, 4, axis=2)
+            flat = through.reshape(-1, 4 * WIDTH)
+            flat[valid, 3 * WIDTH:] = back
+            d = flat[:, 3 * WIDTH:] * per
+            less = np.einsum("ij,ij->i", d, seen)
+            d = d.reshape(*x.shape, WIDTH)
             ds = np.matmul(d, v.transpose(0, 2, 1))
-            ds -= (ds * p).sum(axis=2, keepdims=True)
+            ds -= less.reshape(*x.shape, 1)
             ds *= p
-            grad["near"] = np.bincount(lag[causal], ds.sum(axis=0)[causal], span)
-            through = np.concatenate(
-                [np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(p.transpose(0, 2, 1), d), d], axis=2
-            ).reshape(-1, 4 * WIDTH)
-            grad["query"], grad["key"], grad["value"], grad["last"] = np.split(e.T @ through, 4, axis=1)
+            grad["near"] = np.bincount(lags, ds.sum(axis=0)[causal], span)
+            np.matmul(ds, k, out=dq)
+            np.matmul(ds.transpose(0, 2, 1), q, out=dk)
+            np.matmul(p.transpose(0, 2, 1), d, out=dv)
+            grad["query"], grad["key"], grad["value"], grad["last"] = np.split(e.T @ flat, 4, axis=1)
             grad["query"] = grad["query"] * scale
             by_row = np.argsort(rows.astype(np.int16), kind="stable")
             head = runs(rows[by_row])
-            embed = np.add.reduceat((through @ into.T)[by_row], head, axis=0)
+            embed = np.add.reduceat((flat @ into.T)[by_row], head, axis=0)
             for name, g in grad.items():
                 self._step(name, g)
-            self._step("embed", embed, rows[by_row][head])
+            self._step("embed", embed, rows[by_row[head]])
 
     def tables(self):
         """Query, key, value and last-input vectors of every input row, ready to look up."""
@@ -400,32 +428,38 @@ class Attention:
         near = np.where(far >= 0, np.exp(np.clip(self.w["near"][np.clip(far, 0, 2 * STRIDE - 1)], -20, 20)), 0).astype(np.float32)
         all_and_first = np.stack([np.ones(TOPS), np.arange(TOPS) < FIRST_TOPS], axis=1).astype(np.float32)
         target, begins = np.empty(kinds.shape, np.float32), np.empty(kinds.shape, np.float32)
+        ones = np.ones(2 * STRIDE, np.float32)
         for a in range(0, len(rows), chunk):
             x = rows[a:a + chunk]
             own = x[:, STRIDE:]
             p = np.matmul(q[own], k[x].transpose(0, 2, 1))
             np.exp(np.clip(p, -20, 20, out=p), out=p)
             p *= near
-            p *= (x != NOTHING)[:, None, :]
-            h = np.ones((*own.shape, WIDTH + 1), np.float32)
-            seen = np.matmul(p, v[x])
-            seen /= np.maximum(p.sum(axis=2, keepdims=True), 1e-9)
-            seen += u[own]
-            np.tanh(seen, out=h[:, :, :WIDTH])
-            h = h.reshape(-1, WIDTH + 1)
+            padded = np.flatnonzero((x == NOTHING).any(axis=1))
+            p[padded] *= (x[padded] != NOTHING)[:, None, :]
+            seen = np.matmul(p, v[x]).reshape(-1, WIDTH)
+            seen /= np.maximum(p.reshape(-1, 2 * STRIDE) @ ones, 1e-9)[:, None]
+            seen += u[own.ravel()]
+            h = np.ones((len(seen), WIDTH + 1), np.float32)
+            h[:, :WIDTH] = _tanh(seen)
+            # Targets come by group.
             y = kinds[a:a + chunk].ravel()
+            by_group = np.argsort(y.astype(np.int16), kind="stable")
+            h, y = h[by_group], y[by_group]
+            place = np.arange(len(y))
             z = _exp(h @ self.w["top"])
             sums = z @ all_and_first
-            begins[a:a + chunk] = np.log(sums[:, 1] / sums[:, 0]).reshape(-1, STRIDE)
-            chance = z[np.arange(len(y)), y // GROUP] / sums[:, 0]
-            by_group = np.argsort(y.astype(np.int16), kind="stable")
-            cuts = np.searchsorted(y[by_group] // GROUP, np.arange(TOPS + 1))
-            log = np.log(chance)
-            for g in np.flatnonzero(np.diff(cuts)):
-                at = by_group[cuts[g]:cuts[g + 1]]
-                z = _exp(h[at] @ self.w["out"][g])
-                log[at] += np.log(z[np.arange(len(at)), y[at] % GROUP] / (z @ np.ones(GROUP, np.float32)))
-            target[a:a + chunk] = log.reshape(-1, STRIDE)
+            begin = sums[:, 1] / sums[:, 0]
+            chance = z[place, y // GROUP] / sums[:, 0]
+            cuts = np.searchsorted(y // GROUP, np.arange(TOPS + 1)).tolist()
+            z = np.empty((len(y), GROUP), np.float32)
+            for g, (c, d) in enumerate(zip(cuts, cuts[1:])):
+                np.matmul(h[c:d], self.w["out"][g], out=z[c:d])
+            z = _shares(z, np.float32(1))
+            # Chances may be too small for their product.
+            both = np.empty((2, len(y)), np.float32)
+            both[0, by_group], both[1, by_group] = np.log(chance) + np.log(z[place, y % GROUP]), np.log(begin)
+            target[a:a + chunk], begins[a:a + chunk] = both.reshape(2, -1, STRIDE)
         return target, begins
 
 
@@ -455,15 +489,17 @@ def sequences(layout: Layout, ids: np.ndarray, per_text: np.ndarray):
 
 
 class Model:
-    """Layout, attention weights, counts of frequent words and of all words by class; scores whole texts."""
+    """Layout, attention weights, and counts of frequent words and of all words by class; scores whole texts."""
 
     def __init__(self, fields: dict):
         vars(self).update(fields)
 
-    def score(self, words, hashes, subwords: Subwords, rare: np.ndarray) -> np.ndarray:
-        """log10 probability of each text, whatever its length; `rare` (word, n) are words of theirs beside the lexicon."""
-        n = words.per_doc()
-        ids, per_word = subwords.of(words, hashes)
+    def score(self, words, subwords: Subwords):
+        """(log10 probability, base sum, known words) of each text, whatever its length, without the words beside the
+        lexicon; and of each of those the text, hash, log of its share's part per count, and log of its spelling's part."""
+        n, hashes = words.per_doc(), words.hashes()
+        slots = subwords.slots(words, hashes)
+        ids, per_word = subwords.take(slots)
         per_text = np.bincount(words.doc, per_word, words.docs).astype(np.int64)
         rows, kinds, shares, places = sequences(self.layout, ids, per_text)
         target, begins = Attention(self.weights).log_classes(rows, kinds)
@@ -474,33 +510,33 @@ class Model:
         is_word = np.ones(len(sizes), bool)
         is_word[np.cumsum(units) - 1] = False
         sizes[is_word] = per_word
-        first = np.r_[0, np.cumsum(sizes)[:-1]]
+        first = np.cumsum(sizes) - sizes
         log = target[first] - begins[first]
         spelled = target + shares
         spelled[first] = shares[first]
         spelling = np.add.reduceat(spelled, first)[is_word] + begins[np.r_[first[1:], 0]][is_word]
-        count = np.zeros(len(hashes))
-        own, at = np.unique(rare["word"], return_index=True)
-        for keys, counts in ((self.lexicon, self.counts), (own, rare["n"][at])):
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-                count = np.where(keys[at] == hashes, counts[at], count)
-        begin = np.r_[0, np.cumsum(per_word)[:-1]].astype(np.int64)[:len(hashes)]
-        kind = self.layout.kind[ids[begin]]
-        share, part = count / np.maximum(1.0, self.totals)[kind], self.part[kind]
-        log[is_word] += np.log(part * share + (1 - part) * np.exp(spelling))
-        return np.add.reduceat(log, np.r_[0, np.cumsum(units)[:-1]]) / np.log(10)
+        kind = self.layout.kind[ids[np.cumsum(per_word) - per_word]]
+        share, spelling = self.log_share[kind], self.log_rest[kind] + spelling
+        frequent = slots < subwords.fixed
+        counts = self.lexicon["counts"][slots[frequent]].astype(np.float64)
+        mixed = np.zeros(len(slots))
+        mixed[frequent] = np.logaddexp(share[frequent] + np.log(counts), spelling[frequent])
+        log[is_word] += mixed
+        base = np.bincount(words.doc[frequent], np.log10(counts + 1), words.docs)
+        known = np.bincount(words.doc[frequent], minlength=words.docs)
+        other = ~frequent
+        score = np.add.reduceat(log, np.cumsum(units) - units) / np.log(10)
+        return score, base, known, (words.doc[other], hashes[other], share[other], spelling[other])
 
     @staticmethod
-    def fields(layout: Layout, weights, words: pd.DataFrame, firsts: pd.DataFrame, once: pd.DataFrame) -> dict:
-        """`words` (key, n) are the lexicon, `firsts` (key, n) the training words by first id, `once` those that occur once.
+    def fields(layout: Layout, weights, lexicon: dict, firsts: pd.DataFrame, once: pd.DataFrame) -> dict:
+        """`lexicon` are the frequent words, `firsts` (key, n) the training words by first id, `once` those that occur once.
         The part of shares in a class is what words leave that would be unknown without their only occurrence."""
-        key = words["key"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(key)
         totals, alone = (np.bincount(layout.kind[c["key"].to_numpy(np.int64)], c["n"].to_numpy(float), CLASSES) for c in (firsts, once))
+        part = np.clip(1 - (alone + 0.5) / (totals + 1), LEAST_PART, 1 - LEAST_PART)
         return {
-            "layout": vars(layout), "weights": weights, "lexicon": key[order], "counts": words["n"].to_numpy(float)[order],
-            "totals": totals, "part": np.clip(1 - (alone + 0.5) / (totals + 1), LEAST_PART, 1 - LEAST_PART),
+            "layout": vars(layout), "weights": weights, "lexicon": lexicon,
+            "log_share": np.log(part / np.maximum(1.0, totals)), "log_rest": np.log1p(-part),
         }
 
     @classmethod
@@ -524,12 +560,12 @@ def _codes(layout: Layout):
     return kind, np.r_[layout.row, BEGIN, NOTHING], np.r_[layout.kind, -1, -1]
 
 
-def _windows(held, held_layout, copies: int):
+def _windows(held, held_layout, copies: int, held_lexicon=None):
     """Training windows by copy: each text's ids and its end in order, each a target once. A window has the code before
     its first target, then its targets' codes."""
 
     def task(batches):
-        subwords, layout = Subwords(Vocabulary.of(held.value)), layout_of(held_layout.value)
+        subwords, layout = Subwords(Vocabulary.of(held.value), held_lexicon and held_lexicon.value), layout_of(held_layout.value)
         kind, begin, nothing = _codes(layout)[0], layout.end + 1, layout.end + 2
         found, copy, waiting = [], [], 0
 
@@ -619,61 +655,97 @@ def whole_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("ref"), (~held_out(F.col(id_col))).alias("train"))
 
 
+def lexicon_of(stats: DataFrame, least: int) -> dict:
+    """words, counts, sizes, ids of the words that occur `least` times, by hash."""
+    packed = stats.where("kind = 'words'").select("key", "words", "counts", "sizes", "ids")
+    found = packed.mapInArrow(_frequent(least), "key long, words binary, counts binary, sizes binary, ids binary").toPandas().sort_values("key")
+    return {c: np.frombuffer(b"".join(found[c]), t) for c, t in (("words", "u8"), ("counts", "i8"), ("sizes", "u4"), ("ids", "i4"))}
+
+
 def learn(texts: DataFrame, tokenizer_file: str):
-    """(model, base sums by text, words in training, distinct words, training rows) from rows of whole_texts."""
+    """(model, counts of words beside its lexicon, words in training, distinct words, training rows) from rows of
+    whole_texts."""
     spark = texts.sparkSession
     vocabulary = Vocabulary(tokenizer_file)
     fields = spark.sparkContext.broadcast(vars(vocabulary))
-    volume = text_volume(texts)
-    buckets = buckets_for(volume / BYTES_PER_PAIR)
-    least = max(1, volume // (BYTES_PER_WORD * LEXICON))
-    spread = texts.select("ref", "train", "text").mapInArrow(_spread(buckets), COUNTED)
-    stats = materialise(spread.groupBy("bucket").applyInPandas(_count(fields, least, buckets), STATS), "stats")
-    base = materialise(
-        stats.where("kind = 'text'").groupBy("key").applyInPandas(_base_sums, "ref long, base double, n_known long, rare binary"), "base"
-    )
-    sums = stats.where("kind in ('all', 'distinct')").groupBy("kind").agg(F.sum("n").alias("n")).collect()
-    totals = {"all": 0, "distinct": 0} | {r["kind"]: r["n"] for r in sums}
-    rows = texts.where("train").count()
-    # A word takes two bytes at least, so these are at most BYTES_PER_WORD * LEXICON words; and ids as the vocabulary has.
-    lexicon = stats.where("kind = 'word'").select("key", "n").toPandas()
-    ids, firsts, once = (stats.where(F.col("kind") == k).groupBy("key").agg(F.sum("n").alias("n")).toPandas() for k in ("id", "first", "alone"))
+    training = texts.where("train")
+    buckets = buckets_for(text_volume(texts) / BYTES_PER_PAIR)
+    tally = training.select("text").mapInArrow(_tally(buckets), TALLY)
+    stats = materialise(tally.groupBy("bucket").applyInPandas(_count(fields), STATS), "stats")
+    kinds = stats.where("kind != 'words'").groupBy("kind", "key").agg(F.sum("n").alias("n")).toPandas()
+    ids, firsts, once, times = (kinds[kinds["kind"] == k][["key", "n"]] for k in ("id", "first", "alone", "times"))
+    words, distinct = (int(kinds["n"][kinds["kind"] == k].sum()) for k in ("all", "distinct"))
+    rows = training.count()
+    least = least_count(times)
+    lexicon = lexicon_of(stats, least)
     begins = np.array([vocabulary.content[s] == 32 if n else False for s, n in zip(vocabulary.starts, vocabulary.lengths)])
     layout = Layout(dict(zip(ids["key"].tolist(), ids["n"].tolist())), rows, begins)
-    held_layout = spark.sparkContext.broadcast(vars(layout))
+    held_layout, held_lexicon = spark.sparkContext.broadcast(vars(layout)), spark.sparkContext.broadcast(lexicon)
     # Rows of one text have seats of their own, so its copies are dealt out too.
-    seated = texts.where("train").select(F.xxhash64("ref", "doc_id").alias("seat"), "text")
+    seated = training.select(F.xxhash64("ref", "doc_id").alias("seat"), "text")
     # At least as many windows as the texts can have; a copy has no more than COPY_WINDOWS but by chance.
     copies = max(1, -(-(int(ids["n"].sum()) // WINDOW + rows) // COPY_WINDOWS))
-    windows = seated.mapInArrow(_windows(fields, held_layout, copies), "copy long, codes binary")
+    windows = seated.mapInArrow(_windows(fields, held_layout, copies, held_lexicon), "copy long, codes binary")
     dealt = windows.repartition(max(2 * parallelism(spark), copies // TASK_COPIES), "copy").groupBy("copy").applyInPandas(
         _dealt(_codes(layout)[0]), ", ".join(f"part{k} binary" for k in range(ROUNDS))
     )
-    weights = train(materialise(dealt, "windows"), held_layout, layout.bias)
-    return Model.fields(layout, weights, lexicon, firsts, once), base, totals["all"], totals["distinct"], rows
+    with scratch(spark):  # the windows are of no use after training
+        weights = train(materialise(dealt, "windows"), held_layout, layout.bias)
+    others = stats.where("kind = 'words'").mapInArrow(_others(least), "word long, n long")
+    return Model.fields(layout, weights, lexicon, firsts, once), others, words, distinct, rows
+
 
+RARE = "array<struct<word: bigint, share: double, spelling: double>>"
 
-def scored(texts: DataFrame, base: DataFrame, model: dict, tokenizer_file: str) -> DataFrame:
-    """doc_id, n_words, score, base, n_known of every row of whole_texts; each whole."""
+
+def scored(texts: DataFrame, others: DataFrame, model: dict, tokenizer_file: str) -> DataFrame:
+    """doc_id, n_words, score, base, n_known of every row of whole_texts; each whole.
+
+    The words beside the lexicon go to their counts and back as sums by row; texts stay where they are read.
+    """
     context = texts.sparkSession.sparkContext
     fields, held = context.broadcast(vars(Vocabulary(tokenizer_file))), context.broadcast(model)
 
     def task(batches):
-        subwords, scorer = Subwords(Vocabulary.of(fields.value)), Model.of(held.value)
+        scorer = Model.of(held.value)
+        subwords = Subwords(Vocabulary.of(fields.value), scorer.lexicon)
         for batch in batches:
             for first, column in slices(batch.column("text"), PASS):
                 words = words_of(column)
                 own = batch.slice(first, len(column))
-                rare = np.frombuffer(b"".join(own.column("rare").drop_null().to_pylist()), _WORD)
-                score = scorer.score(words, words.hashes(), subwords, rare)
+                score, base, known, (doc, *rare) = scorer.score(words, subwords)
+                word, share, spelling = (pa.array(x) for x in (rare[0].view(np.int64), *rare[1:]))
+                items = pa.StructArray.from_arrays([word, share, spelling], names=["word", "share", "spelling"])
+                places = pa.array(np.searchsorted(doc, np.arange(len(column) + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [own.column("doc_id"), pa.array(words.per_doc().astype(np.int64)), pa.array(score), own.column("base"), own.column("n_known")],
-                    names=["doc_id", "n_words", "score", "base", "n_known"],
+                    [
+                        own.column("row"), own.column("doc_id"), pa.array(words.per_doc().astype(np.int64)), pa.array(score), pa.array(base),
+                        pa.array(known.astype(np.int64)), pa.ListArray.from_arrays(places, items),
+                    ],
+                    names=["row", "doc_id", "n_words", "score", "base", "n_known", "rare"],
                 )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    joined = texts.select("doc_id", "ref", "text").join(base, "ref", "left").drop("ref")
-    return joined.mapInArrow(task, f"doc_id {kind}, n_words long, score double, base double, n_known long")
+    numbered = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    parts = materialise(
+        numbered.mapInArrow(task, f"row long, doc_id {kind}, n_words long, score double, base double, n_known long, rare {RARE}"), "parts"
+    )
+    n = F.coalesce("n", F.lit(0))
+    counted = parts.select("row", F.inline("rare")).join(others, "word", "left")
+    by_count = F.col("share") + F.log(n)
+    mixed = F.greatest(by_count, "spelling") + F.log1p(F.exp(-F.abs(by_count - F.col("spelling"))))
+    sums = counted.groupBy("row").agg(
+        F.sum(F.when(n > 0, mixed).otherwise(F.col("spelling"))).alias("more_score"),
+        F.sum(F.log10(n + 1)).alias("more_base"), F.count(F.when(n > 0, 1)).alias("more_known"),
+    )
+
+    def whole(name):
+        return F.col(name) + F.coalesce(f"more_{name}", F.lit(0))
+
+    return parts.drop("rare").withColumnRenamed("n_known", "known").join(sums, "row", "left").select(
+        "doc_id", "n_words", (F.col("score") + F.coalesce("more_score", F.lit(0.0)) / F.lit(float(np.log(10)))).alias("score"),
+        whole("base").alias("base"), whole("known").alias("n_known"),
+    )
 
 
 def language_scores(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -684,13 +756,13 @@ def language_scores(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id"
     repeated text or id is a row and counts in training. An empty table gives an empty result; other columns are ignored.
     """
     texts = whole_texts(docs, id_col, text_col)
-    model, base, words, distinct, rows = learn(texts, tokenizer_file)
+    model, others, words, distinct, rows = learn(texts, tokenizer_file)
     total, kinds = words + rows, distinct + (rows > 0)
-    found = scored(texts, base, model, tokenizer_file)
+    found = scored(texts, others, model, tokenizer_file)
     tokens = F.col("n_words") + 1
     return found.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), tokens.alias("n_tokens"),
-        (F.coalesce("n_known", F.lit(0)) + F.lit(int(rows > 0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.coalesce("base", F.lit(0.0)) + F.lit(float(np.log10(rows + 1))) - tokens * F.lit(float(np.log10(total + kinds + 1)))).alias("base_score"),
+        (F.col("n_known") + F.lit(int(rows > 0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + F.lit(float(np.log10(rows + 1))) - tokens * F.lit(float(np.log10(total + kinds + 1)))).alias("base_score"),
         "score",
     )

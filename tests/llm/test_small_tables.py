@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import pathlib
 import re
 import zlib
 
@@ -603,6 +604,36 @@ def test_language_scores_do_not_depend_on_the_lexicon(docs, monkeypatch):
     assert [r[3] for r in part] == pytest.approx([r[3] for r in whole], rel=1e-6)
 
 
+def test_language_scores_keep_less_than_the_texts(spark):
+    """What stays in the shared folder after training and scoring: words, not their pairs with texts, nor the windows."""
+    from kinfold.sources import workspace
+
+    rng = np.random.default_rng(8)
+    pool = ["".join(w) for w in rng.choice(list("abcdefghij"), (300, 6))]
+    body = [" ".join(rng.choice(pool, 500)) for _ in range(300)]
+    with workspace.scratch(spark) as paths:
+        docs = spark.createDataFrame(list(enumerate(body)), "doc_id long, text string").repartition(3)
+        assert lm.language_scores(docs, TOKENIZER).count() == 300
+        held = sum(f.stat().st_size for p in paths for f in pathlib.Path(p.removeprefix("file:")).rglob("*.parquet"))
+    assert 0 < held < 0.2 * sum(map(len, body))
+
+
+def test_the_lexicon_has_the_most_frequent_words(monkeypatch):
+    times = pd.DataFrame({"key": [3, 1, 9, 4], "n": [2, 50, 1, 2]})
+    for most, least in ((55, 1), (54, 3), (5, 3), (4, 4), (1, 9), (0, 10)):
+        monkeypatch.setattr(lm, "LEXICON", most)
+        assert lm.least_count(times) == least
+    assert lm.least_count(times.iloc[:0]) == 1
+
+
+def test_words_are_tallied_once_a_task():
+    texts_ = ["the cat The", None, "dog\tthe cat"] * 50
+    batch = pa.RecordBatch.from_arrays([pa.array(texts_)], names=["text"])
+    rows = [r for p in lm._tally(4)([batch, batch]) for r in p.to_pylist()]
+    found = [(w, int(n)) for r in rows for w, n in zip(r["spelling"].decode().split(), np.frombuffer(r["counts"], "u4"))]
+    assert sorted(found) == [("cat", 200), ("dog", 100), ("the", 300)]
+
+
 class Held:
     def __init__(self, value):
         self.value = value
