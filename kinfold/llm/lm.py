@@ -285,23 +285,6 @@ def _exp(z: np.ndarray) -> np.ndarray:
     return np.exp(z, out=z)
 
 
-def _tanh(z: np.ndarray) -> np.ndarray:
-    """In place, by one exponential; beyond 40 it is 1."""
-    z *= 2
-    np.exp(np.clip(z, -40, 40, out=z), out=z)
-    z += 1
-    np.divide(-2, z, out=z)
-    z += 1
-    return z
-
-
-def _shares(z: np.ndarray, whole: np.float32) -> np.ndarray:
-    """Each row's exponentials in place, so that they sum to `whole`."""
-    z = _exp(z)
-    z *= (whole / (z @ np.ones(z.shape[1], np.float32)))[:, None]
-    return z
-
-
 class Attention:
     """One causal self-attention layer: what is attended to and the last input give the group of the next id's class,
     and the class in it.
@@ -345,9 +328,7 @@ class Attention:
         span = windows.shape[1]
         far = np.arange(span)[:, None] - np.arange(span)[None, :]
         causal, lag = far >= 0, np.maximum(far, 0)
-        lags = lag[causal]
-        scale = np.float32(1 / np.sqrt(WIDTH))
-        ones = np.ones(span, np.float32)
+        scale, ones = np.float32(1 / np.sqrt(WIDTH)), np.ones(GROUP, np.float32)
         order = rng.permutation(len(windows))
         for a in range(0, len(order), BATCH):
             x, y = windows[order[a:a + BATCH]], targets[order[a:a + BATCH]].ravel()
@@ -355,61 +336,60 @@ class Attention:
             e = w["embed"][rows]
             into = np.hstack([w["query"] * scale, w["key"], w["value"], w["last"]])
             q, k, v, u = np.split((e @ into).reshape(*x.shape, 4 * WIDTH), 4, axis=2)
-            # Sums over the inputs a place sees are divided by the sum of their weights at last, forth and back.
             p = np.matmul(q, k.transpose(0, 2, 1))
             np.exp(np.clip(p, -20, 20, out=p), out=p)
             p *= np.where(causal, np.exp(np.clip(w["near"][lag], -20, 20)), np.float32(0))
             padded = np.flatnonzero((x == NOTHING).any(axis=1))
-            if len(padded):
-                p[padded] *= (x[padded] != NOTHING)[:, None, :]
-            per = 1 / np.maximum(p.reshape(-1, span) @ ones, 1e-9)[:, None]
-            seen = np.matmul(p, v).reshape(-1, WIDTH)
-            seen *= per
+            p[padded] *= (x[padded] != NOTHING)[:, None, :]
+            p /= np.maximum(p.sum(axis=2, keepdims=True), 1e-9)
             h = np.ones((len(rows), WIDTH + 1), np.float32)
-            h[:, :WIDTH] = _tanh(seen + u.reshape(-1, WIDTH))
+            h[:, :WIDTH] = np.tanh(np.matmul(p, v) + u).reshape(-1, WIDTH)
             # Groups of classes, then the classes of each target's group; targets come by group.
-            valid = np.argsort(y.astype(np.int16), kind="stable")
-            valid = valid[np.searchsorted(y[valid], 0):]
+            valid = np.flatnonzero(y >= 0)
+            valid = valid[np.argsort(y[valid].astype(np.int16), kind="stable")]
             part = np.float32(1 / max(1, len(valid)))
             own, group, h_valid = y[valid] % GROUP, y[valid] // GROUP, h[valid]
-            place = np.arange(len(valid))
-            z = _shares(h_valid @ w["top"], part)
-            z[place, group] -= part
+            z = _exp(h_valid @ w["top"])
+            z *= part / (z @ np.ones(TOPS, np.float32))[:, None]
+            z[np.arange(len(z)), group] -= part
             grad = {"top": h_valid.T @ z, "out": np.zeros(SHAPES["out"], np.float32)}
             back = z @ w["top"][:WIDTH].T
-            cuts = np.searchsorted(group, np.arange(TOPS + 1)).tolist()
-            held = [(g, c, d) for g, (c, d) in enumerate(zip(cuts, cuts[1:])) if c < d]
-            z = np.empty((len(valid), GROUP), np.float32)
-            for g, c, d in held:
-                np.matmul(h_valid[c:d], w["out"][g], out=z[c:d])
-            z = _shares(z, part)
-            z[place, own] -= part
-            for g, c, d in held:
-                np.matmul(h_valid[c:d].T, z[c:d], out=grad["out"][g])
-                back[c:d] += z[c:d] @ w["out"][g, :WIDTH].T
-            back *= 1 - np.square(h_valid[:, :WIDTH])
-            through = np.zeros((*x.shape, 4 * WIDTH), np.float32)
-            dq, dk, dv, du = np.split(through, 4, axis=2)
-            flat = through.reshape(-1, 4 * WIDTH)
-            flat[valid, 3 * WIDTH:] = back
-            d = flat[:, 3 * WIDTH:] * per
-            less = np.einsum("ij,ij->i", d, seen)
-            d = d.reshape(*x.shape, WIDTH)
+            cuts = np.searchsorted(group, np.arange(TOPS + 1))
+            held = [(g, slice(cuts[g], cuts[g + 1])) for g in np.flatnonzero(np.diff(cuts))]
+            z, sums = np.empty((len(valid), GROUP), np.float32), np.empty(len(valid), np.float32)
+            for g, here in held:
+                np.matmul(h_valid[here], w["out"][g], out=z[here])
+            z = _exp(z)
+            for g, here in held:
+                np.matmul(z[here], ones, out=sums[here])
+            z *= (part / sums)[:, None]
+            z[np.arange(len(z)), own] -= part
+            for g, here in held:
+                np.matmul(h_valid[here].T, z[here], out=grad["out"][g])
+                back[here] += z[here] @ w["out"][g, :WIDTH].T
+            dh = np.zeros((len(rows), WIDTH), np.float32)
+            dh[valid] = back
+            dh *= 1 - h[:, :WIDTH] * h[:, :WIDTH]
+            d = dh.reshape(*x.shape, WIDTH)
             ds = np.matmul(d, v.transpose(0, 2, 1))
-            ds -= less.reshape(*x.shape, 1)
+            ds -= (ds * p).sum(axis=2, keepdims=True)
             ds *= p
-            grad["near"] = np.bincount(lags, ds.sum(axis=0)[causal], span)
+            grad["near"] = np.bincount(lag[causal], ds.sum(axis=0)[causal], span)
+            through = np.empty((*x.shape, 4 * WIDTH), np.float32)
+            dq, dk, dv, du = np.split(through, 4, axis=2)
             np.matmul(ds, k, out=dq)
             np.matmul(ds.transpose(0, 2, 1), q, out=dk)
             np.matmul(p.transpose(0, 2, 1), d, out=dv)
-            grad["query"], grad["key"], grad["value"], grad["last"] = np.split(e.T @ flat, 4, axis=1)
+            du[...] = d
+            through = through.reshape(-1, 4 * WIDTH)
+            grad["query"], grad["key"], grad["value"], grad["last"] = np.split(e.T @ through, 4, axis=1)
             grad["query"] = grad["query"] * scale
             by_row = np.argsort(rows.astype(np.int16), kind="stable")
             head = runs(rows[by_row])
-            embed = np.add.reduceat((flat @ into.T)[by_row], head, axis=0)
+            embed = np.add.reduceat((through @ into.T)[by_row], head, axis=0)
             for name, g in grad.items():
                 self._step(name, g)
-            self._step("embed", embed, rows[by_row[head]])
+            self._step("embed", embed, rows[by_row][head])
 
     def tables(self):
         """Query, key, value and last-input vectors of every input row, ready to look up."""
@@ -427,8 +407,8 @@ class Attention:
         far = (np.arange(STRIDE)[:, None] + STRIDE) - np.arange(2 * STRIDE)[None, :]
         near = np.where(far >= 0, np.exp(np.clip(self.w["near"][np.clip(far, 0, 2 * STRIDE - 1)], -20, 20)), 0).astype(np.float32)
         all_and_first = np.stack([np.ones(TOPS), np.arange(TOPS) < FIRST_TOPS], axis=1).astype(np.float32)
+        ones = np.ones(GROUP, np.float32)
         target, begins = np.empty(kinds.shape, np.float32), np.empty(kinds.shape, np.float32)
-        ones = np.ones(2 * STRIDE, np.float32)
         for a in range(0, len(rows), chunk):
             x = rows[a:a + chunk]
             own = x[:, STRIDE:]
@@ -437,29 +417,30 @@ class Attention:
             p *= near
             padded = np.flatnonzero((x == NOTHING).any(axis=1))
             p[padded] *= (x[padded] != NOTHING)[:, None, :]
-            seen = np.matmul(p, v[x]).reshape(-1, WIDTH)
-            seen /= np.maximum(p.reshape(-1, 2 * STRIDE) @ ones, 1e-9)[:, None]
-            seen += u[own.ravel()]
-            h = np.ones((len(seen), WIDTH + 1), np.float32)
-            h[:, :WIDTH] = _tanh(seen)
-            # Targets come by group.
+            h = np.ones((*own.shape, WIDTH + 1), np.float32)
+            seen = np.matmul(p, v[x])
+            seen /= np.maximum(p.sum(axis=2, keepdims=True), 1e-9)
+            seen += u[own]
+            np.tanh(seen, out=h[:, :, :WIDTH])
+            h = h.reshape(-1, WIDTH + 1)
             y = kinds[a:a + chunk].ravel()
-            by_group = np.argsort(y.astype(np.int16), kind="stable")
-            h, y = h[by_group], y[by_group]
-            place = np.arange(len(y))
             z = _exp(h @ self.w["top"])
             sums = z @ all_and_first
-            begin = sums[:, 1] / sums[:, 0]
-            chance = z[place, y // GROUP] / sums[:, 0]
-            cuts = np.searchsorted(y // GROUP, np.arange(TOPS + 1)).tolist()
-            z = np.empty((len(y), GROUP), np.float32)
-            for g, (c, d) in enumerate(zip(cuts, cuts[1:])):
-                np.matmul(h[c:d], self.w["out"][g], out=z[c:d])
-            z = _shares(z, np.float32(1))
-            # Chances may be too small for their product.
-            both = np.empty((2, len(y)), np.float32)
-            both[0, by_group], both[1, by_group] = np.log(chance) + np.log(z[place, y % GROUP]), np.log(begin)
-            target[a:a + chunk], begins[a:a + chunk] = both.reshape(2, -1, STRIDE)
+            begins[a:a + chunk] = np.log(sums[:, 1] / sums[:, 0]).reshape(-1, STRIDE)
+            chance = z[np.arange(len(y)), y // GROUP] / sums[:, 0]
+            by_group = np.argsort(y.astype(np.int16), kind="stable")
+            cuts = np.searchsorted(y[by_group] // GROUP, np.arange(TOPS + 1))
+            h, own = h[by_group], y[by_group] % GROUP
+            z, inside = np.empty((len(y), GROUP), np.float32), np.empty(len(y), np.float32)
+            held = [(g, slice(cuts[g], cuts[g + 1])) for g in np.flatnonzero(np.diff(cuts))]
+            for g, here in held:
+                np.matmul(h[here], self.w["out"][g], out=z[here])
+            z = _exp(z)
+            for g, here in held:
+                np.matmul(z[here], ones, out=inside[here])
+            log = np.log(chance)
+            log[by_group] += np.log(z[np.arange(len(y)), own] / inside)
+            target[a:a + chunk] = log.reshape(-1, STRIDE)
         return target, begins
 
 
